@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, common, fair_mix, mpeg_audio, simhash, spm
+from deltaloom.llm import chat, common, fair_mix, langid, mpeg_audio, quality_llr, simhash, spm
+from deltaloom.llm.samples import remainder
 
 #: Folder of the public tokenizers' files; ``LLM_TOKENIZERS`` names another one.
 TOKENIZERS = os.environ.get("LLM_TOKENIZERS", "/opt/tokenizers")
@@ -19,6 +20,12 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op3_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    ratios = quality_llr.fit(docs, common.table(spark, sf_dir, "labels"))
+    return quality_llr.rate(docs.select("doc_id", "text"), ratios).drop("text")
+
+
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = fair_mix.plan_mix(fair_mix.queue_of(common.table(spark, sf_dir, "documents")))
     return mixed.select(F.col("m_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -33,6 +40,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encoding_digest(common.table(spark, sf_dir, "documents"), MODEL)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = langid.detect(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -48,4 +61,4 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op4_fair_mix, op5_simhash, op6_sentencepiece, op8_chat_format)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format)}
