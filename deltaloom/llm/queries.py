@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, common, fair_mix, langid, mpeg_audio, quality_llr, simhash, spm
+from deltaloom.llm import chat, common, fair_mix, langid, mpeg_audio, quality_llr, simhash, spm, toxicity
 from deltaloom.llm.samples import remainder
 
 #: Folder of the public tokenizers' files; ``LLM_TOKENIZERS`` names another one.
@@ -60,5 +60,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format, op9_toxicity)}
