@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, common, fair_mix, langid, mpeg_audio, quality_llr, simhash, spm, toxicity
+from deltaloom.llm import chat, common, fair_mix, langid, mpeg_audio, pii, quality_llr, simhash, spm, toxicity
 from deltaloom.llm.samples import remainder
 
 #: Folder of the public tokenizers' files; ``LLM_TOKENIZERS`` names another one.
@@ -66,5 +66,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return pii.find(docs.select("doc_id", "text"), pii.disclosing(docs)).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format, op9_toxicity, op10_personal_data)}
