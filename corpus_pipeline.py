@@ -9,10 +9,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from deltaloom.llm import common, fair_mix, queries, simhash, spm
+from deltaloom.llm import common, fair_mix, langid, pii, queries, simhash, spm
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, whose language cannot be told, go; all others stay as they are."""
+    found = langid.detect(docs, langid.train(docs), prefix="m_")
+    return found.filter(F.col("m_lang_pred") != langid.UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.dedup(docs)
 
 
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in every text is generalised or removed; n_chars is counted anew."""
+    done = pii.sanitise(docs)
+    return done.select(*[F.char_length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return fair_mix.mix_documents(docs)
@@ -30,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spm.encoding_digest(docs, queries.MODEL)
 
 
-STAGES = [("near-duplicates", near_duplicates), ("mixing", mix_sources), ("encoding", encode)]
+STAGES = [("language", identify_language), ("near-duplicates", near_duplicates), ("personal data", sanitise), ("mixing", mix_sources), ("encoding", encode)]
 
 ORACLE_SQL = None
 
