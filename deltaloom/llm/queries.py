@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm import chat, common, fair_mix, langid, mpeg_audio, pii, quality_llr, simhash, spm, toxicity
+from deltaloom.llm import chat, common, fair_mix, html_crf, langid, mpeg_audio, pii, quality_llr, simhash, spm, toxicity
 from deltaloom.llm.samples import remainder
 
 #: Folder of the public tokenizers' files; ``LLM_TOKENIZERS`` names another one.
@@ -20,6 +20,11 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_digest(common.table(spark, sf_dir, "documents"))
 
 
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_crf.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks")
+
+
 def op3_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     ratios = quality_llr.fit(docs, common.table(spark, sf_dir, "labels"))
@@ -72,4 +77,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format, op9_toxicity, op10_personal_data)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_html_crf, op3_quality_ratio, op4_fair_mix, op5_simhash, op6_sentencepiece, op7_language, op8_chat_format, op9_toxicity, op10_personal_data)}
