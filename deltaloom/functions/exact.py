@@ -10,7 +10,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -67,19 +67,27 @@ def nearest_real(total: Fraction, near: float) -> np.float32:
     return min(finite, key=lambda f: (abs(Fraction(float(f)) - total), int(f.view(np.uint32)) & 1))
 
 
-@F.pandas_udf(DoubleType())
-def rounded_sum(sums: pd.Series) -> pd.Series:
-    return pd.Series([round_once(dict(s) if s is not None else None) for s in sums], dtype="float64")
+def _rounded(sums: pa.Array, counts: list | None, real: bool) -> pa.Array:
+    counts = counts or [None] * len(sums)
+    return pa.array([None if x is None else round_once(dict(x), n, real) for x, n in zip(sums.to_pylist(), counts, strict=True)], pa.float32() if real else pa.float64())
 
 
-@F.pandas_udf(FloatType())
-def rounded_real_sum(sums: pd.Series) -> pd.Series:
-    return pd.Series([round_once(dict(s) if s is not None else None, real=True) for s in sums], dtype="float32")
+# Arrow, because pandas cannot tell NaN from NULL.
 
 
-@F.pandas_udf(DoubleType())
-def rounded_mean(sums: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([round_once(dict(s) if s is not None else None, k) for s, k in zip(sums, n, strict=True)], dtype="float64")
+@F.arrow_udf(DoubleType())
+def rounded_sum(sums: pa.Array) -> pa.Array:
+    return _rounded(sums, None, False)
+
+
+@F.arrow_udf(FloatType())
+def rounded_real_sum(sums: pa.Array) -> pa.Array:
+    return _rounded(sums, None, True)
+
+
+@F.arrow_udf(DoubleType())
+def rounded_mean(sums: pa.Array, n: pa.Array) -> pa.Array:
+    return _rounded(sums, n.to_pylist(), False)
 
 
 def merge_sums(a: Column, b: Column) -> Column:

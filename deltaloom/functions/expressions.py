@@ -152,7 +152,10 @@ class Compiler:
         if out.name in S.INTEGERS:
             args = [self.value(e.a, out), self.value(e.b, out)]
         else:
-            p, q = fitted(op, a if a.name != "unknown" else b, b if b.name != "unknown" else a)
+            a, b = (a if a.name != "unknown" else b), (b if b.name != "unknown" else a)
+            if op == "*" and wide(a, b):
+                return self.wide_product(self.value(e.a, a), self.value(e.b, b), a, b)
+            p, q = fitted(op, a, b)
             args = [self.value(e.a, p), self.value(e.b, q)]
         safe = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide, "%": F.try_mod}[op]
         plain = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: x / y, "%": lambda x, y: x % y}[op]
@@ -161,6 +164,17 @@ class Compiler:
             v.err = first([args[0].err, args[1].err, F.when(args[0].col.isNotNull() & (args[1].col == 0), F.lit(ZERO)).when(args[0].col.isNotNull() & args[1].col.isNotNull() & v.col.isNull(), F.lit(RANGE))])
         return Value(v.col.cast(f"decimal({out.precision},{out.scale})") if out.name == "numeric" else v.col, v.err)
 
+    def wide_product(self, a: Value, b: Value, p: SqlType, q: SqlType) -> Value:
+        """A product of which Spark would round digits away: exact under whichever split of the whole digits holds both operands."""
+        (_, s), (_, r) = S.digits(p), S.digits(q)
+        room = 37 - s - r
+        tries = [F.try_multiply(a.col.try_cast(f"decimal({x + s},{s})"), b.col.try_cast(f"decimal({room - x + r},{r})")) for x in sorted({max(1, room * k // 6) for k in range(1, 6)})]
+        out = F.coalesce(*tries)
+        failed = a.col.isNotNull() & b.col.isNotNull() & out.isNull()
+        if self.guard:
+            return Value(out, first([a.err, b.err, F.when(failed, F.lit(RANGE))]))
+        return Value(F.when(failed, F.raise_error(F.lit(RANGE)).cast(f"decimal(38,{s + r})")).otherwise(out))
+
     def floats(self, op: str, a: Value, b: Value) -> Value:
         """Float arithmetic; a result beyond the range, or a product or quotient that vanishes, fails."""
         x, y = a.col, b.col
@@ -270,16 +284,18 @@ def infinite(x: Column) -> Column:
     return F.abs(x) == F.lit(float("inf"))
 
 
+def wide(a: SqlType, b: SqlType) -> bool:
+    """Whether Spark rounds a product of these types: it keeps six digits after the point at most where 38 are not enough."""
+    (p, s), (q, r) = S.digits(a), S.digits(b)
+    return p + q + 1 > 38 and 6 < s + r < 36
+
+
 def fitted(op: str, a: SqlType, b: SqlType) -> tuple[SqlType, SqlType]:
     """Operand types under which Spark's result keeps every digit after the point, where 38 digits allow it."""
     (p, s), (q, r) = S.digits(a), S.digits(b)
     if op in "+-":
         most = 37 - max(s, r)
         return S.numeric(min(p, most + s), s), S.numeric(min(q, most + r), r)
-    if op == "*" and p + q + 1 > 38:
-        room = max(0, 37 - s - r)
-        x = min(p - s, max(room // 2, room - (q - r)))
-        return S.numeric(x + s, s), S.numeric(min(q - r, room - x) + r, r)
     return S.numeric(p, s), S.numeric(q, r)
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.operators.full import ERROR, JoinPlan, compiler_of, joined, rows_of
-from deltaloom.operators.partials import SIGN, Partials, same
+from deltaloom.operators.partials import SIGN, Partials
 from deltaloom.plans.definition import Checked
+from deltaloom.plans.nodes import Col
 
 OPS = ("insert", "update", "delete", "recompute", "truncate")
 
@@ -23,7 +24,11 @@ def images(changes: DataFrame, key: tuple[str, ...]) -> DataFrame:
     floor = changes.filter("op = 'truncate'").agg(F.max("seq")).first()[0]
     if floor is not None:
         changes = changes.filter(F.col("seq") > F.lit(floor))
-    changes = changes.filter("op IN ('insert', 'update', 'delete')")
+    return split_moved(changes.filter("op IN ('insert', 'update', 'delete')"), key)
+
+
+def split_moved(changes: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Changes in which a change of ``key`` is a delete and an insert."""
     moved = reduce(lambda a, b: a | b, [~F.col(f"old.`{k}`").eqNullSafe(F.col(f"new.`{k}`")) for k in key])
     none_old, none_new = (F.lit(None).cast(changes.schema[c].dataType) for c in ("old", "new"))
     both = F.when(
@@ -87,8 +92,6 @@ def join_one_to_one(d: Checked, nets: dict[str, DataFrame], snapshots, guard: bo
 
 def read_columns(d: Checked, s: int = 0) -> list[str]:
     """Columns of the s-th table that the definition reads, its group and join keys included."""
-    from deltaloom.plans.nodes import Col
-
     side = d.text.tables[s].side
     exprs = [e for _, e in d.fields] + [e for e in (d.text.where,) if e is not None] + list(d.text.group_by)
     found = [x.name for e in exprs for x in e.walk() if isinstance(x, Col) and (not d.text.joins or x.table == side)]
@@ -98,8 +101,6 @@ def read_columns(d: Checked, s: int = 0) -> list[str]:
 
 def aggregate(d: Checked, p: Partials, changes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Partials of the changes, and the sides that fail (r, state), if any can."""
-    from deltaloom.plans import types as S
-
     rows = sides(changes, read_columns(d) or list(d.relations[0].key))
     c = compiler_of(d, True, "r")
     if d.text.where is not None:
@@ -110,20 +111,19 @@ def aggregate(d: Checked, p: Partials, changes: DataFrame) -> tuple[DataFrame, D
         rows = rows.withColumn(ERROR, err)
         failed = rows.filter(F.col(ERROR).isNotNull()).select(SIGN, "r", F.col(ERROR).alias("state"))
         rows = rows.filter(F.col(ERROR).isNull())
-    keys = {k: F.col(f"r.`{k}`").cast(S.to_spark(t)) for k, t in p.keys.items()}
-    return p.of_rows(rows, keys, c, F.col(SIGN)), failed
+    return p.of_rows(rows, p.key_columns("r"), c, F.col(SIGN)), failed
 
 
 def probed(d: Checked, p: Partials, groups: DataFrame, source: DataFrame) -> DataFrame:
     """State of the groups whose extreme may have gone, from the source as it is now."""
-    names = list(p.keys)
-    rows = source.alias("a").join(groups.alias("b"), same(names), "left_semi")
+    on = reduce(lambda a, b: a & b, [x.eqNullSafe(F.col(f"b.`{k}`")) for k, x in p.key_columns("a").items()])
+    rows = source.alias("a").join(groups.alias("b"), on, "left_semi")
     c = compiler_of(d, True)
     if d.text.where is not None:
         rows = rows.filter(c.value(d.text.where).col)
     if (err := p.errors(c)) is not None:
         rows = rows.filter(err.isNull())
-    return p.of_rows(rows, {k: F.col(f"`{k}`") for k in names}, c)
+    return p.of_rows(rows, p.key_columns(), c)
 
 
 def join_delta(j: JoinPlan, dp: DataFrame | None, dm: DataFrame | None, p_old: DataFrame, m_old: DataFrame, m_new: DataFrame) -> DataFrame:

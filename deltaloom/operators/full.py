@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.expressions import Compiler, first
-from deltaloom.operators.partials import N, Arg, Partials
+from deltaloom.operators.partials import N, Arg, Partials, key_value
 from deltaloom.plans import types as S
 from deltaloom.plans.definition import Checked
 from deltaloom.plans.nodes import Expr
@@ -85,7 +85,7 @@ def full_state(d: Checked, frames: Frames, guard: bool = False) -> DataFrame:
             rows = rows.filter(c.value(d.text.where).col)
         if (err := p.errors(c)) is not None:
             rows = rows.filter(err.isNull())
-        return p.of_rows(rows, {k: F.col(f"`{k}`").cast(S.to_spark(t)) for k, t in p.keys.items()}, c)
+        return p.of_rows(rows, p.key_columns(), c)
     j = JoinPlan(d)
     left, right = (j.side(s, frames(t.name)) for s, t in enumerate(d.text.tables))
     return j.total(j.matched(left, right), j.unmatched(left, right) if j.outer else None)
@@ -107,7 +107,7 @@ class JoinPlan:
 
     def keys(self, s: int, at: str = "") -> dict[str, Column]:
         col = lambda n: F.col(f"{at}.`{n}`" if at else f"`{n}`")
-        return {g: col(g).cast(S.to_spark(self.d.types[g])) for g in self.groups[s]} | {k: col(n) for k, n in zip(self.k, self.on[s], strict=True)}
+        return {g: key_value(col(g), self.d.types[g]) for g in self.groups[s]} | {k: col(n) for k, n in zip(self.k, self.on[s], strict=True)}
 
     def keep(self, s: int, rows: DataFrame, at: str = "") -> DataFrame:
         """Rows of a side that can count: members of its part of WHERE, and with a join key unless an outer join keeps them."""

@@ -78,6 +78,10 @@ class Partials:
     def schema(self) -> T.StructType:
         return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in [*((k, S.to_spark(v)) for k, v in self.keys.items()), *self.columns.items()]))
 
+    def key_columns(self, at: str = "") -> dict[str, Column]:
+        """The group's columns of source rows, which may stand in ``at``."""
+        return {k: key_value(F.col(f"{at}.`{k}`" if at else f"`{k}`"), t) for k, t in self.keys.items()}
+
     def errors(self, compiler: Compiler) -> Column | None:
         """Why a row's arguments cannot be computed, if they cannot."""
         return first(compiler.value(a.expr).err for a in self.args)
@@ -217,6 +221,11 @@ class Partials:
         return parts.groupBy(*[f"`{k}`" for k in self.keys]).agg(*out)
 
 
+def key_value(x: Column, t: SqlType) -> Column:
+    """A group key as it is kept: char(n) without its padding, which its equality ignores."""
+    return F.rtrim(x) if t.name == "bpchar" else x.cast(S.to_spark(t))
+
+
 def same(names: list[str], a: str = "a", b: str = "b") -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in names])
 

@@ -98,6 +98,16 @@ class ChangeLog:
             self.apply(markers)
         return self.engine.manifest["seq"]
 
+    def trim(self) -> int:
+        """Delete commits that the engine has applied; returns how many."""
+        done = self.engine.manifest["seq"]
+        names = [n for n in self.files.list("log/commits") if n.endswith(".json") and int(n.removesuffix(".json")) <= done]
+        for n in names:
+            for p in json.loads(self.files.read(f"log/commits/{n}"))["tables"]:
+                self.files.delete(f"log/{p}")
+            self.files.delete(f"log/commits/{n}")
+        return len(names)
+
     def stream(self, checkpoint: str, *, most: int = 1000, available_now: bool = False) -> StreamingQuery:
         """Drain the log by Structured Streaming. Its batch number makes a replayed batch a no-op; its markers are few and small."""
         self.files.fs.mkdirs(self.files.path("log/commits"))

@@ -53,6 +53,9 @@ class Files:
         p = self.path(name)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self.path(name))
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:
@@ -113,8 +116,8 @@ class Store:
 
     # tables
 
-    def empty(self, name: str, schema: T.StructType, key: Iterable[str], bucket_by: Iterable[str] | None = None) -> Entry:
-        return Entry(name, json.dumps(schema.jsonValue()), tuple(key), tuple(bucket_by or key), self.buckets, {})
+    def empty(self, name: str, schema: T.StructType, key: Iterable[str], bucket_by: Iterable[str] | None = None, buckets: int | None = None) -> Entry:
+        return Entry(name, json.dumps(schema.jsonValue()), tuple(key), tuple(bucket_by or key), buckets or self.buckets, {})
 
     def read(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
         """The rows of all or some buckets, without the bucket number."""
@@ -130,7 +133,8 @@ class Store:
         names = [f.name for f in e.struct]
         touched = list(range(e.buckets)) if touched is None else list(touched)
         placed = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in e.struct]).withColumn(BUCKET, bucket_of(e.bucket_by, e.buckets))
-        placed = placed.repartition(max(1, len(touched)), BUCKET).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in e.key if k in names])
+        place = F.array_position(F.lit(touched), F.col(BUCKET)) - 1 if touched else F.lit(0)  # a task for each bucket
+        placed = placed.repartitionById(max(1, len(touched)), place.cast("int")).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in e.key if k in names])
         placed.write.partitionBy(BUCKET).parquet(f"{self.root}/{version}")
         there = {n.split("=")[1] for n in self.files.list(version) if n.startswith(f"{BUCKET}=")}
         versions = {b: v for b, v in e.versions.items() if int(b) not in touched} | {b: version for b in there}

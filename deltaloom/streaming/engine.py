@@ -34,6 +34,8 @@ from deltaloom.sources.store import Entry, Store, feed, same_key
 WAITING, BACKFILLING, CATCHING_UP, LIVE, QUARANTINED, PAUSED = "waiting_to_backfill", "backfilling", "catching_up", "live", "quarantined", "paused"
 #: Failures of one column, or held keys of a transform, from which it is stopped.
 FUSE = 5
+#: Rows of a source for which one bucket is made; a batch rewrites whole buckets, and a task writes one.
+BUCKET_ROWS = 2_000_000
 POISON = "__poison"
 POISON_SCHEMA = T.StructType([*[T.StructField(n, T.StringType()) for n in ("transform", "src_table", "key", "field", "state")], T.StructField("seq", T.LongType())])
 
@@ -72,10 +74,14 @@ class Engine:
             if kind.name not in S.KEYS:
                 raise refuse("UnsupportedPrimaryKeyType", f"{k} {kind}")
         m["sources"][name] = {"key": key, "unique": [list(u) for u in unique], "partitions": list(partitions), "types": declared, "labels": {k: list(v) for k, v in (labels or {}).items()}}
-        e = self.store.empty(name, rows.schema, key)
-        self.store.put(m, self.store.write(e, rows))
+        size = max(self.store.buckets, -(-rows.count() // BUCKET_ROWS))
+        self.store.put(m, self.store.write(self.store.empty(name, rows.schema, key, buckets=size), rows))
         self._commit(m)
 
+    def _buckets(self, m: dict, d: Checked) -> int:
+        """Buckets of a target: as many as the largest table that it reads has."""
+        return max(self.store.entry(m, r.name).buckets for r in d.relations)
+
     def _relation(self, m: dict, name: str) -> Relation:
         bare = name.rpartition(".")[2]
         for x in (name, bare):
@@ -320,7 +326,7 @@ class Engine:
         try:
             if d.kind in ("one_to_one", "join_one_to_one"):
                 rows = full(d, frames, guard=True)
-                entry = self.store.empty(name, self._target_schema(d), d.key)
+                entry = self.store.empty(name, self._target_schema(d), d.key, buckets=self._buckets(m, d))
                 if self._can_fail(rows):
                     rows = self._stash(m, rows)
                     self._hold(m, d, rows.filter(F.col(ERROR).isNotNull()))
@@ -335,7 +341,7 @@ class Engine:
                     state = j.total(j.matched(left, right), j.unmatched(left, right) if j.outer else None)
                 else:
                     state = full_state(d, frames)
-                entry = self.store.empty(name, p.schema, d.key)
+                entry = self.store.empty(name, p.schema, d.key, buckets=self._buckets(m, d))
                 self.store.put(m, self.store.write(entry, state))
         except PySparkException as e:
             x |= {"status": QUARANTINED if d.kind == "join" else PAUSED, "error": str(e)[:500]}
@@ -357,7 +363,7 @@ class Engine:
         j = JoinPlan(d)
         for s, (label, t) in enumerate(zip("pm", d.text.tables, strict=True)):
             schema = T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in j.side_columns(s).items()))
-            e = self.store.empty(f"{d.target}.__{label}", schema, j.side_key(s), j.k)
+            e = self.store.empty(f"{d.target}.__{label}", schema, j.side_key(s), j.k, self._buckets(m, d))
             self.store.put(m, self.store.write(e, j.side(s, self._frame(m, t.name))))
 
     # batches
@@ -470,24 +476,28 @@ class Engine:
             m["transforms"][name] |= {"status": QUARANTINED, "error": str(e)[:500]}
             return None
 
-    def _net(self, m: dict, name: str, raws: dict[str, DataFrame]) -> DataFrame:
-        """Net changes by key; a row that is read again counts, though it has not changed."""
-        key = tuple(m["sources"][name]["key"]) if name in m["sources"] else self._checked(m, name).key
-        raw = raws[name]
-        again = raw.filter(F.col("old").eqNullSafe(F.col("new"))).select(*delta.key_of(key), "old", "new")
-        net = delta.fold(raw.filter(~F.col("old").eqNullSafe(F.col("new"))), key)
+    def _net(self, m: dict, name: str, raw: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """Net changes of a table by ``key``; a row that is read again counts, though it has not changed."""
+        same_row = F.col("old").eqNullSafe(F.col("new"))
+        again = raw.filter(same_row).select(*delta.key_of(key), "old", "new")
+        own = tuple(m["sources"][name]["key"]) if name in m["sources"] else key
+        net = delta.fold(raw.filter(~same_row), own)
+        if set(own) != set(key):  # another unique key: in the end one row at most holds each of its values
+            net = net.select(F.lit(0).alias("seq"), F.lit(0).alias("change_id"), "old", "new")
+            net = delta.split_moved(net, key).select(*delta.key_of(key), "old", "new").groupBy(*[f"`{k}`" for k in key])
+            net = net.agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
         return net.unionByName(again.alias("a").join(net.alias("b"), same_key("a", "b", key), "left_anti"))
 
     def _one_to_one(self, m: dict, d: Checked, raws: dict[str, DataFrame]) -> DataFrame | None:
         x = m["transforms"][d.target]
-        net = self._net(m, d.relations[0].name, raws)
+        net = self._net(m, d.relations[0].name, raws[d.relations[0].name], d.key)
         healthy = [n for n, _ in d.fields if n not in x["paused_columns"]]
         keys = net.select(*[f"`{k}`" for k in d.key])
         rows = rows_of(d, net.filter("new IS NOT NULL").select("new.*"), True, only=healthy)
         return self._put_rows(m, d, keys, rows, healthy)
 
     def _join_one_to_one(self, m: dict, d: Checked, raws: dict[str, DataFrame]) -> DataFrame | None:
-        nets = {t.name: self._net(m, r.name, raws) for t, r in zip(d.text.tables, d.relations, strict=True) if r.name in raws}
+        nets = {t.name: self._net(m, r.name, raws[r.name], r.key) for t, r in zip(d.text.tables, d.relations, strict=True) if r.name in raws}
         keys, rows = delta.join_one_to_one(d, nets, lambda n: self._frame(m, n), True)
         return self._put_rows(m, d, keys, rows, [n for n, _ in d.fields])
 
@@ -657,6 +667,8 @@ class Engine:
         name = self._name(m, name)
         d = self._checked(m, name)
         source = d.relations[0]
+        if set(key) != set(source.key):
+            raise refuse("KeyNotHeld", f"{name} {key}: the key is {', '.join(source.key)}")
         row = self.spark.createDataFrame([key]).select(*[F.col(k).cast(S.to_spark(source.columns[k])).alias(k) for k in source.key])
         text = row.select(F.to_json(F.struct(*[f"`{k}`" for k in source.key]))).first()[0]
         if self.quarantined(name).filter(F.col("key") == text).isEmpty():
@@ -671,8 +683,30 @@ class Engine:
         self._commit(m)
         return self.quarantined(name).filter(F.col("key") == text).isEmpty()
 
+    def correct_partition(self, name: str, values: dict[str, object], rows: DataFrame | None = None) -> bool:
+        """A partition of a source attached or replaced (``rows``), or dropped or emptied (None): its rows and what is grouped from them are corrected."""
+        m = self.manifest
+        if set(values) != set(m["sources"][name]["partitions"]):
+            raise refuse("PartitionedSource", f"{name} is partitioned by {m['sources'][name]['partitions']}")
+        here = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.lit(v)) for k, v in values.items()])
+        e = self.store.entry(m, name)
+        was = self.store.read(e).filter(here)
+        now = self.spark.createDataFrame([], e.struct) if rows is None else rows.filter(here)
+        shifted = feed(e, was, now).select(F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update").alias("op"), "old", "new")
+        return self.process({name: shifted})
+
     # reports
 
+    def schema_dump(self) -> str:
+        """Targets as CREATE TABLE statements."""
+        m = self.manifest
+        out = []
+        for n in m["transforms"]:
+            d = self._checked(m, n)
+            columns = ", ".join(f'"{c}" {t}' for c, t in d.types.items())
+            out.append(f'CREATE TABLE "{n}" ({columns}, UNIQUE ({", ".join(chr(34) + k + chr(34) for k in d.key)}));\n')
+        return "".join(out)
+
     def definitions(self) -> dict[str, dict]:
         return {n: {k: x[k] for k in ("text", "grammar", "reads", "status")} for n, x in self.manifest["transforms"].items()}
 
@@ -735,8 +769,21 @@ class Engine:
         lines += [f'deltaloom_held_keys{{transform="{quote_table(n)}"}} {x["held"]}' for n, x in m["transforms"].items()]
         return "\n".join([*lines, *[f'deltaloom_status{{transform="{quote_table(n)}",status="{x["status"]}"}} 1' for n, x in m["transforms"].items()]]) + "\n"
 
+    def detect_capture_disruptions(self) -> list[str]:
+        """Tables of which a file folder is gone; their readers have to be paused and resumed once the source is registered again."""
+        m = self.manifest
+        return sorted({n for n, e in m["tables"].items() for b, v in e["versions"].items() if not self.store.files.exists(f"{v}/__b={b}")})
+
+    def rebucket(self, name: str, buckets: int) -> None:
+        """Give a table that has grown (a source, or a target with its hidden parts) another number of buckets."""
+        m = self.manifest
+        for part in [t for t in m["tables"] if t == name or t.startswith(f"{name}.__")]:
+            e = self.store.entry(m, part)
+            self.store.put(m, self.store.write(replace(e, buckets=buckets, versions={}), self.store.read(e)))
+        self._commit(m)
+
     def vacuum(self) -> int:
-        """Delete files that the latest manifest does not name; returns the number of folders."""
+        """Delete files that the latest manifest does not name, and older manifests; returns the number of folders."""
         live = {v for e in self.manifest["tables"].values() for v in e["versions"].values()}
         gone = 0
         for name in self.store.files.list("data"):
@@ -744,6 +791,8 @@ class Engine:
                 if version not in live:
                     self.store.files.delete(version)
                     gone += 1
+        for n in [n for n in self.store.files.list("manifest") if n.endswith(".json")][:-1]:
+            self.store.files.delete(f"manifest/{n}")
         self.store.files.delete("tmp")
         return gone
 

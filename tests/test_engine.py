@@ -147,7 +147,7 @@ def test_log_stream_and_tokens(spark, tmp_path):
     assert log.drain() == 2
     assert {tuple(x) for x in e.table("t").collect()} == {(2, 1)}
     assert "deltaloom_changes_total" in e.metrics()
-    assert e.vacuum() > 0
+    assert e.vacuum() > 0 and log.trim() == 2 and log.pending() == []
     assert e.self_check("t")["ok"]
 
 
@@ -233,6 +233,75 @@ def test_lifecycle(spark, tmp_path):
     assert other.restore_definitions_sql(dump) == ["t", "u"]
 
 
+def test_partitions_are_corrected_and_tables_rebucketed(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2)
+    schema = "id int, p string, v int"
+    rows = spark.createDataFrame([(1, "x", 5), (2, "x", 6), (3, "y", 7)], schema)
+    e.source("s", rows, ["id"], partitions=["p"])
+    e.apply("TRANSFORM t FROM s GROUP BY p SELECT SUM(v) AS v, MAX(v) AS top")
+    e.build()
+    e.correct_partition("s", {"p": "z"}, spark.createDataFrame([(9, "z", 1)], schema))
+    e.correct_partition("s", {"p": "x"}, spark.createDataFrame([(1, "x", 4)], schema))
+    assert {tuple(r) for r in e.table("t").collect()} == {("x", 4, 4), ("y", 7, 7), ("z", 1, 1)}
+    e.correct_partition("s", {"p": "y"})
+    e.rebucket("t", 5)
+    e.rebucket("s", 3)
+    e.correct_partition("s", {"p": "z"}, spark.createDataFrame([(9, "z", 2)], schema))
+    assert {tuple(r) for r in e.table("t").collect()} == {("x", 4, 4), ("z", 2, 2)}
+    assert e.self_check("t")["ok"] and e.detect_capture_disruptions() == []
+    assert 'CREATE TABLE "t" ("p" text, "v" bigint, "top" integer' in e.schema_dump()
+    with pytest.raises(EngineError, match="PartitionedSource"):
+        e.correct_partition("s", {"id": 1})
+
+
+def test_a_declared_key_other_than_the_first(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2)
+    schema = "id int, code string, v int"
+    rows = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], schema)
+    e.source("s", rows, ["id"], unique=[["code"]])
+    e.apply("TRANSFORM t FROM s KEY (code) SELECT v AS v")
+    e.build()
+    e.process({"s": snapshot_diff(rows, spark.createDataFrame([(1, "b", 7), (2, "c", 8)], schema), ["id"])})
+    assert {tuple(r) for r in e.table("t").collect()} == {("b", 7), ("c", 8)}
+    assert e.self_check("t")["ok"]
+
+
+def test_rows_are_read_again_on_demand(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=1)
+    rows = spark.createDataFrame([(1, 5), (2, 6)], "id int, v int")
+    e.source("s", rows, ["id"])
+    e.apply("TRANSFORM t FROM s SELECT v + 1 AS w")
+    e.build()
+    m = e.manifest
+    e.store.put(m, e.store.write(e.store.entry(m, "t"), e.table("t").withColumn("w", F.lit(0))))
+    e._commit(m)
+    image = F.struct(*rows.columns)
+    e.process({"s": rows.filter("id = 1").select(F.lit("recompute").alias("op"), image.alias("old"), F.when(F.lit(False), image).alias("new"))})
+    assert {tuple(r) for r in e.table("t").collect()} == {(1, 6), (2, 0)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from deltaloom.__main__ import main
+
+    spark.createDataFrame([(1, 5), (2, 5)], "id int, v int").write.parquet(str(tmp_path / "s"))
+
+    def run(*args):
+        code = main(["--root", str(tmp_path / "e"), *args], spark)
+        out = capsys.readouterr()
+        return code, out.out + out.err
+
+    assert run("source", "s", str(tmp_path / "s"), "id")[0] == 0
+    assert "defined" in run("apply", "TRANSFORM t FROM s GROUP BY v SELECT COUNT(*) AS n")[1]
+    assert run("run")[1].startswith('{"built": ["t"]')
+    assert '"status": "live"' in run("status")[1] and '"ok": true' in run("check", "t")[1]
+    assert run("apply", "TRANSFORM t FROM s SELECT v AS x") == (1, "T0141 TargetTableExists: t\n")
+    code, dump = run("dump")
+    (tmp_path / "dump.sql").write_text(dump)
+    assert code == 0 and run("release", "t", "v=5")[0] == 1
+    assert main(["--root", str(tmp_path / "f"), "source", "s", str(tmp_path / "s"), "id"], spark) == 0
+    assert main(["--root", str(tmp_path / "f"), "restore", str(tmp_path / "dump.sql")], spark) == 0
+
+
 def test_schema_drift_pauses_readers(spark, tmp_path):
     e = Engine(spark, str(tmp_path), buckets=2)
     e.source("s", spark.createDataFrame([(1, 10)], "id int, v int"), ["id"])
