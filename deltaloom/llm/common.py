@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once; bounds its memory.
 SLICE_CHARS = 2_000_000
@@ -43,5 +44,19 @@ def texts_of(column) -> list[str]:
     return [v if isinstance(v, str) else "" for v in values]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def add_fields(df: DataFrame, struct: Column, fields: list[str], prefix: str = "") -> DataFrame:
+    """``df`` with the fields of a struct, computed once, as columns; columns of their names (after ``prefix``) are replaced, all others stay."""
+    got = unused(df, "m_got")
+    return df.withColumn(got, struct).withColumns({prefix + f: F.col(f"`{got}`.{f}") for f in fields}).drop(got)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

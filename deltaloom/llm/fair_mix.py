@@ -135,5 +135,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     decided = plan_mix(queue_of(docs, keep={"m_row": row}, **options), **plan)
     decided = decided.groupBy("m_id", "m_row").agg(F.max("copies").alias("m_copies")).filter("m_copies > 0")
-    joined = docs.withColumn("m_row_", row).join(decided, (F.col(f"`{id_col}`").eqNullSafe(F.col("m_id"))) & (F.col("m_row_") == F.col("m_row")))
-    return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*[f"`{c}`" for c in docs.columns])
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), row.alias("row"))
+    joined = own.join(decided, F.col(f"d.`{id_col}`").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row")))
+    return joined.select("d", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select("d.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.chain import Crf, viterbi
-from deltaloom.llm.common import slices, texts_of
+from deltaloom.llm.common import add_fields, slices, texts_of
 from deltaloom.llm.html_pages import labelled_pages
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -224,5 +224,4 @@ def extract(pages: DataFrame, model: Model | None = None, *, html_col: str = "ht
                 out.append((text, len(text), len(blocks)))
         return pd.DataFrame(out, columns=["text", "n_chars", "n_blocks"])
 
-    got = pages.withColumn("m_got", main_text(F.col(f"`{html_col}`")))
-    return got.withColumns({n: F.col(f"m_got.{n}") for n in ("text", "n_chars", "n_blocks")}).drop("m_got")
+    return add_fields(pages, main_text(F.col(f"`{html_col}`")), ["text", "n_chars", "n_blocks"])

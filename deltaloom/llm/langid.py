@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.chain import viterbi
-from deltaloom.llm.common import slices, texts_of
+from deltaloom.llm.common import add_fields, slices, texts_of
 from deltaloom.llm.grams import Bytes
 from deltaloom.llm.samples import SAMPLE_CHARS, draw, remainder
 
@@ -194,6 +194,4 @@ def detect(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
                 out.append(row)
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    got = docs.withColumn("m_got", predict(F.col(f"`{text_col}`")))
-    fields = [x.split()[0] for x in schema.split(", ")]
-    return got.withColumns({prefix + f: F.col(f"m_got.{f}") for f in fields}).drop("m_got")
+    return add_fields(docs, predict(F.col(f"`{text_col}`")), [x.split()[0] for x in schema.split(", ")], prefix)

@@ -13,15 +13,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import durable, slices, texts_of
+from deltaloom.llm.common import add_fields, durable, texts_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -96,14 +98,27 @@ def normal(word: str) -> str:
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def neighbours(text: str, span: Span, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
+class Cover:
+    """Which characters entities cover."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = [s.start for s in spans]
+        self.reach = list(accumulate((s.end for s in spans), max))
+
+    def touches(self, a: int, b: int) -> bool:
+        """Whether an entity overlaps [a, b)."""
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.reach[i - 1] > a
+
+
+def neighbours(text: str, span: Span, cover: Cover) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of up to WINDOW whole words on either side within REACH characters, without words that touch an entity."""
     low, high = max(0, span.start - REACH), min(len(text), span.end + REACH)
     left = [m for m in WORDS.finditer(text, low, span.start) if m.start() > low or not low]
     right = [m for m in WORDS.finditer(text, span.end, high) if m.end() < high or high == len(text)]
     for m in [*left[-WINDOW:], *right[:WINDOW]]:
         a, b = m.span()
-        if not any(s.start < b and a < s.end for s in spans):
+        if not cover.touches(a, b):
             inner = m[0].lower()
             term = inner.strip(EDGE)
             if any(c.isalpha() for c in term):
@@ -114,9 +129,10 @@ def neighbours(text: str, span: Span, spans: list[Span]) -> Iterator[tuple[str,
 def windows(text: str) -> Iterator[tuple[str, int, int]]:
     """(term, kind, hash of the entity's value) of all entities of a text."""
     spans = base_spans(text)
+    cover = Cover(spans)
     for s in spans:
         value = xxhash.xxh64_intdigest(text[s.start : s.end].lower().encode("utf-8", "replace"), s.kind) >> 1
-        yield from ((term, s.kind, value) for term, _, _ in neighbours(text, s, spans))
+        yield from ((term, s.kind, value) for term, _, _ in neighbours(text, s, cover))
         yield "", s.kind, value
 
 
@@ -164,7 +180,8 @@ def term_spans(text: str, spans: list[Span], terms: set[tuple[str, int]]) -> lis
     """Spans of the words beside an entity that disclose its kind."""
     if not terms:
         return []
-    return sorted({Span(a, len(KINDS), b) for s in spans for term, a, b in neighbours(text, s, spans) if (term, s.kind) in terms}, key=lambda s: s.start)
+    cover = Cover(spans)
+    return sorted({Span(a, len(KINDS), b) for s in spans for term, a, b in neighbours(text, s, cover) if (term, s.kind) in terms}, key=lambda s: s.start)
 
 
 def sanitise_text(text: str, spans: list[Span]) -> str:
@@ -213,13 +230,11 @@ def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised
         def found(column: pd.Series) -> pd.DataFrame:
             return rows_of(list(column), [shared.value] * len(column))
 
-        got = docs.withColumn("m_got", found(F.col(f"`{text_col}`")))
-    else:
-        got = _find_joined(docs, terms, text_col, schema, rows_of)
-    return got.withColumns({n: F.col(f"m_got.{n}") for n in names}).drop("m_got")
+        return add_fields(docs, found(F.col(f"`{text_col}`")), names)
+    return _find_joined(docs, terms, text_col, schema, names, rows_of)
 
 
-def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str, rows_of) -> DataFrame:
+def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str, names: list[str], rows_of) -> DataFrame:
     """``find`` where the terms are too many to travel: equal texts share the pairs that hold beside their entities."""
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.length(f"`{text_col}`"))
 
@@ -235,11 +250,15 @@ def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str,
     def found(column: pd.Series, pairs: pd.Series) -> pd.DataFrame:
         return rows_of(list(column), [{(p["term"], p["kind"]) for p in x} if x is not None else set() for x in pairs])
 
-    joined = docs.withColumn("m_key", key).join(own, "m_key", "left")
-    return joined.withColumn("m_got", found(F.col(f"`{text_col}`"), F.col("m_pairs"))).drop("m_key", "m_pairs")
+    key_col, pairs_col = unused(docs, "m_key"), unused(docs, "m_pairs")
+    own = own.select(F.col("m_key").alias(key_col), F.col("m_pairs").alias(pairs_col))
+    joined = docs.withColumn(key_col, key).join(own, key_col, "left")
+    return add_fields(joined, found(F.col(f"`{text_col}`"), F.col(pairs_col)), names).drop(key_col, pairs_col)
 
 
 def sanitise(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every text sanitised; its other columns stay."""
-    done = find(docs.select("*", F.col(f"`{text_col}`").alias("m_text")), disclosing(docs, text_col=text_col), text_col="m_text", sanitised=True)
-    return done.select(*[F.col("sanitised_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(*[F.col(f"`{c}`").alias(f"m_{i}") for i, c in enumerate(docs.columns)])
+    text = f"m_{docs.columns.index(text_col)}"
+    done = find(own, disclosing(docs, text_col=text_col), text_col=text, sanitised=True)
+    return done.select(*[F.col("sanitised_text" if f"m_{i}" == text else f"m_{i}").alias(c) for i, c in enumerate(docs.columns)])

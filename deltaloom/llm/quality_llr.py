@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import slices, texts_of
+from deltaloom.llm.common import add_fields, slices, texts_of
 from deltaloom.llm.grams import Bytes
 from deltaloom.llm.samples import draw
 
@@ -133,5 +133,4 @@ def rate(docs: DataFrame, ratios: Ratios, *, text_col: str = "text", threshold:
                 out.append((*base, failed, bool(not failed and score >= threshold), float(score)))
         return pd.DataFrame(out, columns=[x.split()[0] for x in FIELDS.split(", ")])
 
-    got = docs.withColumn("m_got", judge(F.col(f"`{text_col}`")))
-    return got.withColumns({x.split()[0]: F.col(f"m_got.{x.split()[0]}") for x in FIELDS.split(", ")}).drop("m_got")
+    return add_fields(docs, judge(F.col(f"`{text_col}`")), [x.split()[0] for x in FIELDS.split(", ")])

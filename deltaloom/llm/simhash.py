@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import durable, slices, texts_of
+from deltaloom.llm.common import durable, slices, texts_of, unused
 
 SEED, BITS, DISTANCE, FAN = 42, 64, 3, 16
 #: Codes in a group beyond which it is dealt again, and rows of one task.
@@ -53,12 +53,13 @@ def fingerprint(text: str) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, ``code`` (the fingerprint's bits as a signed long) and the kept columns of each row; null text has no words."""
     own = [F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep]]
-    rows = docs.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text"))
+    text = unused(docs, "m_text")
+    rows = docs.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", code bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = texts_of(pdf.pop("m_text"))
+            texts = texts_of(pdf.pop(text))
             codes = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
             yield pdf.astype({c: "Int64" for c in pdf if pdf[c].dtype == float}).assign(code=codes.view(np.int64))
 
@@ -226,12 +227,12 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of near-duplicate texts: the one with the least id (then content hash). Columns stay."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    coded = durable(fingerprints(docs.select("*", row.alias("m_row")), id_col=id_col, text_col=text_col, keep=("m_row",)))
-    found = near_duplicates(coded, id_col=id_col)
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("m_row"))).alias("k")).select(F.col(f"k.{id_col}").alias("m_id"), F.col("k.m_row").alias("m_row"))
-    joined = docs.withColumn("m_row_", row).join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("m_id")) & (F.col("m_row_") == F.col("m_row")), "left_semi")
-    return joined.dropDuplicates([id_col, "m_row_"]).select(*[f"`{c}`" for c in docs.columns])
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    narrow = own.select(F.col("id").alias("m_id"), "row", F.col(f"d.`{text_col}`").alias("text"))
+    found = near_duplicates(durable(fingerprints(narrow, id_col="m_id", keep=("row",))), id_col="m_id")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("m_id").isNull(), "m_id", "row")).alias("k")).select("k.m_id", F.col("k.row").alias("m_row"))
+    joined = own.join(kept, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row")), "left_semi")
+    return joined.dropDuplicates(["id", "row"]).select("d.*")
 
 
 def hex_code(column: str) -> Column:

@@ -105,17 +105,18 @@ class Normaliser:
             n, to = self.prefix(text, at)
             if was_space:
                 to = to.lstrip(b" ")
-            for b in to:
+            kept = to == text[at : at + n]  # then byte for byte
+            for i, b in enumerate(to):
                 piece = self.space if b == 32 else bytes((b,))
                 out += piece
-                origin += [at] * len(piece)
+                origin += [at + i * kept] * len(piece)
             if to or not was_space:
                 was_space = self.trim and to.endswith(b" ")
             at += n
         if self.trim:
             while out.endswith(self.space):
+                end = origin[len(out) - len(self.space)]
                 del out[-len(self.space) :], origin[-len(self.space) :]
-                end = origin[len(out)] if len(origin) > len(out) else end
         if self.dummy and self.after:
             out += self.space
             origin += [end] * len(self.space)

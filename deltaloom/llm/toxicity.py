@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.chain import Crf, marginals
-from deltaloom.llm.common import slices, texts_of
+from deltaloom.llm.common import add_fields, slices, texts_of
 from deltaloom.llm.samples import SAMPLE_CHARS, draw, remainder
 
 #: Rows drawn per label for training, tokens on which the field is trained, and the score from which a document is toxic.
@@ -174,8 +174,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
             out.append(rows)
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    got = docs.withColumn("m_got", judge(F.col(f"`{text_col}`")))
-    return got.withColumns({n: F.col(f"m_got.{n}") for n in names}).drop("m_got")
+    return add_fields(docs, judge(F.col(f"`{text_col}`")), names)
 
 
 def offending(text: str, words: list[str], toxic: np.ndarray) -> list[dict]:
