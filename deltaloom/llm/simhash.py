@@ -33,6 +33,8 @@ GROUP, TASK_ROWS = 50_000, 200_000
 #: (query, node) pairs that an index looks at together.
 FRONTIER = 4_000_000
 FULL = (1 << 64) - 1
+#: A code that stands in more than one of so many rows is joined by broadcast.
+HEAVY = 1000
 
 
 def fingerprint(text: str) -> int:
@@ -213,7 +215,7 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     never a component's name, unless all of its ids are null. An empty table gives an empty result. ``coded``
     is read several times and should be durable.
     """
-    nodes = durable(coded.groupBy("code").agg(F.min(f"`{id_col}`").alias("m_least")))
+    nodes = durable(coded.groupBy("code").agg(F.min(f"`{id_col}`").alias("m_least"), F.count(F.lit(1)).alias("m_rows")))
     dealt = deal(nodes)
     n = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 4 // TASK_ROWS)
     dealt = dealt.repartition(n, "mask", F.col("code").bitwiseAND(F.col("mask")))
@@ -221,8 +223,13 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     linked = labels.join(nodes, labels["node"] == nodes["code"]).select("code", "label", "m_least")
     least = linked.groupBy("label").agg(F.min("m_least").alias("component_id"))
     named = linked.join(least, "label").select("code", "component_id")
-    named = nodes.join(named, "code", "left").select("code", F.coalesce("component_id", "m_least").alias("component_id"))
-    return coded.join(named, "code")
+    named = durable(nodes.join(named, "code", "left").select("code", F.coalesce("component_id", "m_least").alias("component_id"), "m_rows"))
+    # a code with more than a thousandth of the rows would be one task's; there are under a thousand of them
+    few = (named.agg(F.sum("m_rows")).first()[0] or 0) // HEAVY
+    heavy, light = (named.filter(c).drop("m_rows") for c in (F.col("m_rows") > few, F.col("m_rows") <= few))
+    rows = coded.drop("component_id")
+    rest = rows.join(F.broadcast(heavy.select("code")), "code", "left_anti").join(light, "code")
+    return rows.join(F.broadcast(heavy), "code").unionByName(rest)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
