@@ -237,9 +237,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     narrow = own.select(F.col("id").alias("m_id"), "row", F.col(f"d.`{text_col}`").alias("text"))
     found = near_duplicates(durable(fingerprints(narrow, id_col="m_id", keep=("row",))), id_col="m_id")
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("m_id").isNull(), "m_id", "row")).alias("k")).select("k.m_id", F.col("k.row").alias("m_row"))
-    joined = own.join(kept, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row")), "left_semi")
-    return joined.dropDuplicates(["id", "row"]).select("d.*")
+    first = F.struct(F.col("m_id").isNull().alias("null"), "m_id", F.col("row").alias("m_row"), "n")
+    kept = found.groupBy("component_id", "m_id", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("component_id").agg(F.min(first).alias("k"))
+    kept = durable(kept.select("k.m_id", "k.m_row", "k.n"))
+    at = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row"))
+    repeated = own.join(kept.filter("n > 1"), at, "left_semi").dropDuplicates(["id", "row"])  # whole rows that stand there several times
+    return own.join(kept.filter("n = 1"), at, "left_semi").unionByName(repeated).select("d.*")
 
 
 def hex_code(column: str) -> Column:
