@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from deltaloom.plans import types as S
 from deltaloom.plans.nodes import Agg, Between, Binary, Bool, Call, Case, Cast, Col, Expr, Extract, In, IsNull, Neg, Not, Null, Number, Text, Typed
 from deltaloom.plans.types import DOUBLE, SqlType
-from deltaloom.plans.typing import Scope, infer, scale_of
+from deltaloom.plans.typing import Scope, infer, literal_digits, scale_of
 
 RANGE, ZERO, DATE_RANGE = "22003", "22012", "22008"
 #: Days since 1970 of the first and last date that both sides know.
@@ -153,6 +153,7 @@ class Compiler:
             args = [self.value(e.a, out), self.value(e.b, out)]
         else:
             a, b = (a if a.name != "unknown" else b), (b if b.name != "unknown" else a)
+            a, b = (S.numeric(*literal_digits(x, t)) for x, t in ((e.a, a), (e.b, b)))
             if op == "*" and wide(a, b):
                 return self.wide_product(self.value(e.a, a), self.value(e.b, b), a, b)
             p, q = fitted(op, a, b)

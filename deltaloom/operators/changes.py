@@ -19,9 +19,8 @@ from deltaloom.plans.nodes import Col
 OPS = ("insert", "update", "delete", "recompute", "truncate")
 
 
-def images(changes: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Changes with images; an update of the key becomes a delete and an insert. Changes before the last truncate, and truncates, are gone."""
-    floor = changes.filter("op = 'truncate'").agg(F.max("seq")).first()[0]
+def images(changes: DataFrame, key: tuple[str, ...], floor: int | None) -> DataFrame:
+    """Changes with images; an update of the key becomes a delete and an insert. Changes up to ``floor``, the last truncate, are gone."""
     if floor is not None:
         changes = changes.filter(F.col("seq") > F.lit(floor))
     return split_moved(changes.filter("op IN ('insert', 'update', 'delete')"), key)

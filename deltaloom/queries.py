@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for each operator, and independent SQL for each.
 
-Money columns are doubles that hold cents, so both sides cast them to decimal(18,2) first. Results show decimals as doubles
+Money columns are doubles that hold cents, so both sides cast them to decimals first. Results show decimals as doubles
 and dates and times as text, so that two engines' values can be compared.
 """
 
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table with money as decimals; lineitem, which has no key, gets one of all its columns."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     plain = rows
-    rows = rows.withColumns({c: F.col(c).cast("decimal(18,2)") for c in rows.columns if c in MONEY})
+    rows = rows.withColumns({c: F.col(c).cast("decimal(12,2)") for c in rows.columns if c in MONEY})
     return rows.withColumn("l_key", F.xxhash64(*plain.columns)) if name == "lineitem" else rows
 
 
@@ -232,7 +232,7 @@ def order_changes(orders: DataFrame) -> list[DataFrame]:
     left = orders.filter("o_orderkey % 7 <> 0")
     raised = left.filter("o_orderkey % 5 = 0")
     first = deletes(orders.filter("o_orderkey % 7 = 0")).unionByName(updates(raised, o_totalprice=F.col("o_totalprice") + 10, o_orderstatus=F.lit("P")))
-    now = left.filter("o_orderkey % 5 <> 0").unionByName(raised.withColumns({"o_totalprice": (F.col("o_totalprice") + 10).cast("decimal(18,2)"), "o_orderstatus": F.lit("P")}))
+    now = left.filter("o_orderkey % 5 <> 0").unionByName(raised.withColumns({"o_totalprice": (F.col("o_totalprice") + 10).cast("decimal(12,2)"), "o_orderstatus": F.lit("P")}))
     new = orders.filter("o_orderkey % 11 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000)
     return [first, inserts(new).unionByName(updates(now.filter("o_orderkey % 13 = 1"), o_custkey=F.col("o_custkey") % 10 + 1))]
 

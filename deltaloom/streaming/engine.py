@@ -12,7 +12,7 @@ import time
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -40,6 +40,14 @@ POISON = "__poison"
 POISON_SCHEMA = T.StructType([*[T.StructField(n, T.StringType()) for n in ("transform", "src_table", "key", "field", "state")], T.StructField("seq", T.LongType())])
 
 
+@dataclass(frozen=True)
+class Changed:
+    """Changes of one table in a batch: every image pair (``raw``), and one net pair for each key (``net``, with the key's columns; rows to be read again have equal images)."""
+
+    raw: DataFrame
+    net: DataFrame
+
+
 class Engine:
     """A database of sources and maintained targets under ``root``, a folder that driver and executors share."""
 
@@ -244,7 +252,7 @@ class Engine:
         self.store.put(m, entry)
         if self._readers(m, d.target):
             before = target.select(*[F.col(f"`{n}`") if n in target.columns else F.lit(None).alias(n) for n in names])
-            self._propagate(m, {d.target: self._stash(m, feed(entry, before, self.store.read(entry)))})
+            self._propagate(m, {d.target: self._changes_of(m, d, feed(entry, before, self.store.read(entry)))})
 
     def _target_schema(self, d: Checked) -> T.StructType:
         return T.StructType.fromDDL(", ".join(f"`{n}` {S.to_spark(t)}" for n, t in d.types.items()))
@@ -352,7 +360,7 @@ class Engine:
         if before is not None and self._readers(m, name):
             after = self.store.entry(m, name)
             shaped = replace(before, schema=json.dumps(self._target_schema(d).jsonValue()))
-            self._propagate(m, {name: self._stash(m, feed(shaped, self._shown(d, self.store.read(before)), self._shown(d, self.store.read(after))))})
+            self._propagate(m, {name: self._changes_of(m, d, feed(shaped, self._shown(d, self.store.read(before)), self._shown(d, self.store.read(after))))})
 
     @staticmethod
     def _can_fail(rows: DataFrame) -> bool:
@@ -415,8 +423,8 @@ class Engine:
             m["transforms"][r] |= {"status": PAUSED, "error": f"schema of {name} changed: {want.simpleString()} to {got.simpleString()}"}
         return True
 
-    def _take_in(self, m: dict, name: str, rows: DataFrame, seq: int) -> DataFrame:
-        """Bring a source's snapshot up to date; returns its changes with images."""
+    def _take_in(self, m: dict, name: str, rows: DataFrame, seq: int) -> Changed:
+        """Bring a source's snapshot up to date; returns its changes."""
         e = self.store.entry(m, name)
         key = tuple(m["sources"][name]["key"])
         if "seq" not in rows.columns:
@@ -424,15 +432,16 @@ class Engine:
         if "change_id" not in rows.columns:
             rows = rows.withColumn("change_id", F.monotonically_increasing_id())
         rows = self._stash(m, rows.select("op", "seq", "change_id", *[F.col(c).cast(e.struct).alias(c) for c in ("old", "new")]))
-        ops = {r["op"]: r["count"] for r in rows.groupBy("op").count().collect()}
+        no_key = reduce(lambda a, b: a | b, [(F.col(side).isNotNull() & F.col(f"{side}.`{k}`").isNull()) for side in ("old", "new") for k in key])
+        seen = {r["op"]: r for r in rows.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(no_key, 1)).alias("no_key"), F.max("seq").alias("last")).collect()}
+        ops = {op: r["n"] for op, r in seen.items()}
         if bad := set(ops) - set(delta.OPS):
             raise ValueError(f"unknown op {sorted(map(str, bad))}")
-        imaged = delta.images(rows, key)
-        no_key = reduce(lambda a, b: a | b, [k.isNull() for k in delta.key_of(key)])
-        if ops and not imaged.filter(no_key).isEmpty():
+        if any(r["no_key"] for r in seen.values()):
             for r in self._readers(m, name):
                 m["transforms"][r] |= {"status": PAUSED, "error": str(refuse("NullInNotNullKey", name))}
-            imaged = imaged.filter(~no_key)
+            rows = rows.filter(~F.coalesce(no_key, F.lit(False)))
+        imaged = delta.images(rows, key, seen["truncate"]["last"] if "truncate" in seen else None)
         snapshot = self.store.read(e)
         if "truncate" in ops:
             gone = snapshot.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("change_id"), F.struct(*[f"`{f.name}`" for f in e.struct]).cast(e.struct).alias("old"), F.lit(None).cast(e.struct).alias("new"))
@@ -441,15 +450,25 @@ class Engine:
             named = rows.filter("op = 'recompute'").select(*delta.key_of(key)).distinct()
             held = snapshot.alias("a").join(named.alias("b"), same_key("a", "b", key), "left_semi").select(F.struct(*[f"`{f.name}`" for f in e.struct]).cast(e.struct).alias("r"))
             imaged = imaged.unionByName(held.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("change_id"), F.col("r").alias("old"), F.col("r").alias("new")))
-        imaged = self._stash(m, imaged)
-        net = self._keep(delta.fold(imaged, key))
-        touched = self.store.touched(e, net)
-        entry = self.store.upsert(e, net.select(*[f"`{k}`" for k in key]), net.filter("new IS NOT NULL").select("new.*"), touched)
+        net = imaged.select(*delta.key_of(key), "old", "new")
+        keys = [f"`{k}`" for k in key]
+        many = self._keep(net.groupBy(*keys).count().filter("count > 1").select(*keys))
+        if not many.isEmpty():  # only keys that change several times are folded
+            several = imaged.select("*", *delta.key_of(key)).alias("a").join(many.alias("b"), same_key("a", "b", key), "left_semi")
+            once = net.alias("a").join(many.alias("b"), same_key("a", "b", key), "left_anti")
+            net = self._keep(once.unionByName(delta.fold(several.select("seq", "change_id", "old", "new"), key)))
+        moved = net.filter(~F.col("old").eqNullSafe(F.col("new")))
+        entry = self.store.upsert(e, moved.select(*keys), moved.filter("new IS NOT NULL").select("new.*"), self.store.touched(e, net))
         self.store.put(m, entry)
         self._count(m, changes_total=sum(ops.values()))
-        return imaged
+        return Changed(imaged, net)
 
-    def _propagate(self, m: dict, raws: dict[str, DataFrame]) -> None:
+    def _changes_of(self, m: dict, d: Checked, rows: DataFrame) -> Changed:
+        """A target's (old, new) rows, one for each key, for its readers."""
+        rows = self._stash(m, rows)
+        return Changed(rows, rows.select(*delta.key_of(d.key), "old", "new"))
+
+    def _propagate(self, m: dict, raws: dict[str, Changed]) -> None:
         """Bring every live definition up to date with changes of the tables in ``raws``: those whose tables are up to date at once, then their readers."""
         waiting = [n for n, x in m["transforms"].items() if x["status"] == LIVE]
         while waiting:
@@ -464,40 +483,37 @@ class Engine:
             rows.unpersist()
         self._kept.clear()
 
-    def _advance(self, m: dict, name: str, raws: dict[str, DataFrame]) -> DataFrame | None:
+    def _advance(self, m: dict, name: str, raws: dict[str, Changed]) -> Changed | None:
         """Bring one definition up to date; returns its own changes if anything reads it."""
         d = self._checked(m, name)
         try:
             out = {"one_to_one": self._one_to_one, "join_one_to_one": self._join_one_to_one, "aggregate": self._aggregate, "join": self._join}[d.kind](m, d, raws)
             if out is None or not self._readers(m, name):
                 return None
-            return self._stash(m, out.select(F.lit(m["seq"]).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("change_id"), "old", "new"))
+            return self._changes_of(m, d, out)
         except PySparkException as e:
             m["transforms"][name] |= {"status": QUARANTINED, "error": str(e)[:500]}
             return None
 
-    def _net(self, m: dict, name: str, raw: DataFrame, key: tuple[str, ...]) -> DataFrame:
-        """Net changes of a table by ``key``; a row that is read again counts, though it has not changed."""
-        same_row = F.col("old").eqNullSafe(F.col("new"))
-        again = raw.filter(same_row).select(*delta.key_of(key), "old", "new")
-        own = tuple(m["sources"][name]["key"]) if name in m["sources"] else key
-        net = delta.fold(raw.filter(~same_row), own)
-        if set(own) != set(key):  # another unique key: in the end one row at most holds each of its values
-            net = net.select(F.lit(0).alias("seq"), F.lit(0).alias("change_id"), "old", "new")
-            net = delta.split_moved(net, key).select(*delta.key_of(key), "old", "new").groupBy(*[f"`{k}`" for k in key])
-            net = net.agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
-        return net.unionByName(again.alias("a").join(net.alias("b"), same_key("a", "b", key), "left_anti"))
-
-    def _one_to_one(self, m: dict, d: Checked, raws: dict[str, DataFrame]) -> DataFrame | None:
+    def _net(self, m: dict, changed: Changed, relation: Relation) -> DataFrame:
+        """Net changes of a table by the key that the definition keys it by."""
+        key = relation.key
+        if relation.is_target or set(m["sources"][relation.name]["key"]) == set(key):
+            return changed.net
+        net = changed.net.select(F.lit(0).alias("seq"), F.lit(0).alias("change_id"), "old", "new")  # another unique key: in the end one row at most holds each of its values
+        net = delta.split_moved(net, key).select(*delta.key_of(key), "old", "new").groupBy(*[f"`{k}`" for k in key])
+        return net.agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+
+    def _one_to_one(self, m: dict, d: Checked, raws: dict[str, Changed]) -> DataFrame | None:
         x = m["transforms"][d.target]
-        net = self._net(m, d.relations[0].name, raws[d.relations[0].name], d.key)
+        net = self._net(m, raws[d.relations[0].name], d.relations[0])
         healthy = [n for n, _ in d.fields if n not in x["paused_columns"]]
         keys = net.select(*[f"`{k}`" for k in d.key])
         rows = rows_of(d, net.filter("new IS NOT NULL").select("new.*"), True, only=healthy)
         return self._put_rows(m, d, keys, rows, healthy)
 
-    def _join_one_to_one(self, m: dict, d: Checked, raws: dict[str, DataFrame]) -> DataFrame | None:
-        nets = {t.name: self._net(m, r.name, raws[r.name], r.key) for t, r in zip(d.text.tables, d.relations, strict=True) if r.name in raws}
+    def _join_one_to_one(self, m: dict, d: Checked, raws: dict[str, Changed]) -> DataFrame | None:
+        nets = {t.name: self._net(m, raws[r.name], r) for t, r in zip(d.text.tables, d.relations, strict=True) if r.name in raws}
         keys, rows = delta.join_one_to_one(d, nets, lambda n: self._frame(m, n), True)
         return self._put_rows(m, d, keys, rows, [n for n, _ in d.fields])
 
@@ -531,10 +547,10 @@ class Engine:
         self.store.put(m, self.store.upsert(e, keys, rows.drop(ERROR), touched))
         return self.store.changed(e, keys, rows.drop(ERROR), touched)
 
-    def _aggregate(self, m: dict, d: Checked, raws: dict[str, DataFrame]) -> DataFrame | None:
+    def _aggregate(self, m: dict, d: Checked, raws: dict[str, Changed]) -> DataFrame | None:
         p = Partials(d.fields, key_types(d), d.scope)
         source = d.relations[0].name
-        parts, failed = delta.aggregate(d, p, raws[source])
+        parts, failed = delta.aggregate(d, p, raws[source].raw)
         if failed is not None:
             self._hold_sides(m, d, failed)
         return self._put_groups(m, d, p, parts, source)
@@ -561,14 +577,14 @@ class Engine:
         new = self.store.read(entry, touched).alias("a").join(merged.select(*names).alias("b"), same_key("a", "b", p.keys), "left_semi")
         return feed(shaped, self._shown(d, old), self._shown(d, new))
 
-    def _join(self, m: dict, d: Checked, raws: dict[str, DataFrame]) -> DataFrame | None:
+    def _join(self, m: dict, d: Checked, raws: dict[str, Changed]) -> DataFrame | None:
         j = JoinPlan(d)
         deltas: list[DataFrame | None] = [None, None]
         entries = [self.store.entry(m, f"{d.target}.__{s}") for s in "pm"]
         touched: list[list[int]] = [[], []]
         for s, r in enumerate(d.relations):
             if r.name in raws:
-                signed = delta.sides(raws[r.name], delta.read_columns(d, s))
+                signed = delta.sides(raws[r.name].raw, delta.read_columns(d, s))
                 part = j.side(s, signed, F.col("__w"), "r")
                 columns = [c for c in j.side_columns(s)]
                 live = reduce(lambda a, b: a | b, [F.col(c) != 0 if t != "map<int,decimal(38,0)>" else F.size(c) > 0 for c, t in j.side_columns(s).items() if c.startswith("__") and c not in j.k])
@@ -679,7 +695,7 @@ class Engine:
 
             out = self._put_rows(m, d, row, rows_of(d, joined(d, lambda n: self._frame(m, n), now), True), [n for n, _ in d.fields])
             if self._readers(m, name):
-                self._propagate(m, {name: self._stash(m, out.select(F.lit(0).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("change_id"), "old", "new"))})
+                self._propagate(m, {name: self._changes_of(m, d, out)})
         self._commit(m)
         return self.quarantined(name).filter(F.col("key") == text).isEmpty()
 
