@@ -87,8 +87,9 @@ def count_grams(texts: list[bytes]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRUSTED_ROWS) -> Ratios:
     """Count n-grams of all documents and of about ``rows`` trusted ones (quality 1 in ``labels``).
 
-    A task sends its counts in blocks of buckets, which are added up in parallel; the driver
-    gets one number for each bucket.
+    A task sends its counts once, in blocks of buckets; they are summed bucket by bucket, so that no
+    task ever holds what all the others sent, and the driver gets one number for each bucket. No documents,
+    or no trusted ones, give ratios of 0.
     """
     trusted = draw(labels.filter("quality = 1").select(F.col("doc_id").alias("m_id"), "quality").distinct(), "quality", "m_id", rows).select("m_id", F.lit(1).alias("m_trusted"))
     rows_in = docs.select(F.col(f"`{id_col}`").alias("m_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text"))
@@ -105,13 +106,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         blocks = total.reshape(2, -1, BLOCK)
         yield pd.DataFrame([(k, b, blocks[k, b]) for k in range(2) for b in range(blocks.shape[1])], columns=["kind", "block", "counts"])
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each task
-        return pd.DataFrame({"kind": [key[0]], "block": [key[1]], "counts": [np.sum(pdf["counts"].tolist(), axis=0)]})
-
-    schema = "kind int, block int, counts array<bigint>"
+    sent = rows_in.mapInPandas(count, "kind int, block int, counts array<bigint>")
+    each = sent.select("kind", "block", F.posexplode("counts").alias("at", "n")).filter("n > 0")
+    sums = each.groupBy("kind", (F.col("block") * BLOCK + F.col("at")).alias("bucket")).agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    for r in rows_in.mapInPandas(count, schema).groupBy("kind", "block").applyInPandas(add, schema).collect():
-        table[r["kind"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = r["counts"]
+    table[sums["kind"].to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(np.int64)
     return Ratios.of(table[1], table[0])
 
 
@@ -119,7 +118,11 @@ FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 
 
 def rate(docs: DataFrame, ratios: Ratios, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add the fields of ``FIELDS`` to every row; columns of these names are replaced. Null text has no words and is not kept."""
+    """Add the fields of ``FIELDS`` to every row; columns of these names are replaced, all others stay.
+
+    Null and empty texts have no words and are not kept; a score equal to the threshold is kept; repeated rows get
+    equal results; very long texts are rated whole, alone in their slice. No rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     @F.pandas_udf(FIELDS)
