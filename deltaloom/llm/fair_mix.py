@@ -23,7 +23,7 @@ from deltaloom.llm.common import durable
 #: Words as the contract counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash ranges of one source, and ranges of one unit of virtual time.
-HASH_RANGES, TIME_RANGES, LAST_RANGE = 1024, 8192, 4 * 8192
+HASH_RANGES, TIME_RANGES, LAST_RANGE = 8192, 32768, 4 * 32768
 
 
 def size_of(text: Column) -> Column:
