@@ -208,7 +208,8 @@ FIELDS = "text string, n_chars bigint, n_blocks bigint"
 def extract(pages: DataFrame, model: Model | None = None, *, html_col: str = "html") -> DataFrame:
     """Add text (the article's blocks joined by two line feeds; empty if there are none), n_chars and n_blocks (of the whole page) to every row.
 
-    Null and empty pages give an empty text; columns of these names are replaced.
+    Null and empty pages give an empty text. Ties between labels go to "not article". Very long pages are read whole;
+    repeated rows get equal results, no rows give no rows. Columns of these names are replaced, all others stay.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 

@@ -166,7 +166,10 @@ SPANS = "lang_pred string, score double, spans array<struct<start:int,end:int,la
 
 def detect(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = False, prefix: str = "") -> DataFrame:
     """Add lang_pred (``und`` if the text is null or has no letter), score (that language's share of the letters; 0 for ``und``) and,
-    if asked for, spans (ranges of words, end exclusive, whose labels agree). Columns of these names, after ``prefix``, are replaced."""
+    if asked for, spans (ranges of words, end exclusive, whose labels agree). Columns of these names, after ``prefix``, are replaced.
+
+    Ties go to the language that comes first by code point. Repeated rows get equal results, very long texts are labelled
+    whole, no rows give no rows; a model that knows no language calls everything ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = SPANS if spans else SPANS.rsplit(", ", 1)[0]
 

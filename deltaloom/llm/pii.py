@@ -206,6 +206,7 @@ FIELDS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha25
 def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised: bool = False) -> DataFrame:
     """Add the fields of ``FIELDS`` and, if asked for, ``sanitised_text`` (null for null) to every row; columns of these names are replaced.
 
+    Null text is empty. Very long texts are searched whole, repeated rows get equal results, no rows give no rows.
     ``terms`` are pairs from ``disclosing``. Up to ``BROADCAST_TERMS`` of them travel with the tasks; more
     are first joined to the words beside entities, and each row gets its own.
     """
@@ -257,7 +258,7 @@ def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str,
 
 
 def sanitise(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with every text sanitised; its other columns stay."""
+    """``docs`` with every text sanitised (null stays null); its other columns stay, whatever their names."""
     own = docs.select(*[F.col(f"`{c}`").alias(f"m_{i}") for i, c in enumerate(docs.columns)])
     text = f"m_{docs.columns.index(text_col)}"
     done = find(own, disclosing(docs, text_col=text_col), text_col=text, sanitised=True)

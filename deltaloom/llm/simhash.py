@@ -233,7 +233,11 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of near-duplicate texts: the one with the least id (then content hash). Columns stay."""
+    """One row of each component of near-duplicate texts: the one with the least id, then the least hash of all its columns.
+
+    Null ids come last. Rows equal in every column count once. Null text has no words, like empty text, and such rows are
+    near-duplicates of each other. Columns stay, whatever their names; no rows give no rows.
+    """
     own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     narrow = own.select(F.col("id").alias("m_id"), "row", F.col(f"d.`{text_col}`").alias("text"))
     found = near_duplicates(durable(fingerprints(narrow, id_col="m_id", keep=("row",))), id_col="m_id")

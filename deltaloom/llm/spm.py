@@ -195,7 +195,7 @@ DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha2
 
 
 def encoding_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encode and decode every whole text of (doc_id, text); null is empty.
+    """Encode and decode every whole text of (doc_id, text); null is empty, other columns are ignored, repeated rows stay.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of what decode(ids)
     gives, spans_sha256 of the pieces' byte bounds (start, end as little-endian 32-bit integers).

@@ -155,7 +155,8 @@ SPANS = "spans array<struct<start:int,end:int,probability:double>>"
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = False) -> DataFrame:
     """Add score, predicted and, if asked for, the offending spans (code points of the text, end exclusive).
 
-    Null and empty texts are scored like any other, by a text without tokens. Columns of these names are replaced.
+    Null and empty texts are scored like any other, by a text without tokens; very long ones whole, alone in their slice.
+    A score of exactly 0.3 is toxic. Repeated rows get equal results, no rows give no rows. Columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"{FIELDS}, {SPANS}" if spans else FIELDS
