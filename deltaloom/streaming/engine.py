@@ -71,8 +71,11 @@ class Engine:
         m["number"] += 1
         self.store.commit(m)
 
-    def source(self, name: str, rows: DataFrame, key: Iterable[str], *, unique: Iterable[Iterable[str]] = (), partitions: Iterable[str] = (), types: dict[str, str] | None = None, labels: dict[str, Iterable[str]] | None = None) -> None:
-        """Register a source with its rows as of now. ``types`` names columns that Spark holds as text (uuid, enum, bpchar, ...), ``labels`` an enum's values."""
+    def source(self, name: str, rows: DataFrame, key: Iterable[str], *, unique: Iterable[Iterable[str]] = (), partitions: Iterable[str] = (), types: dict[str, str] | None = None, labels: dict[str, Iterable[str]] | None = None, verify: bool = True) -> None:
+        """Register a source with its rows as of now. ``types`` names columns that Spark holds as text (uuid, enum, bpchar, ...), ``labels`` an enum's values.
+
+        ``verify`` checks that ``key`` and each of ``unique`` hold every value once (NULLs, which the key may not have, aside).
+        """
         m, key = self.manifest, tuple(key)
         if name in m["sources"] or name in m["transforms"]:
             raise refuse("TargetTableExists", name)
@@ -81,6 +84,13 @@ class Engine:
             kind = S.of_spark(rows.schema[k].dataType, declared.get(k))
             if kind.name not in S.KEYS:
                 raise refuse("UnsupportedPrimaryKeyType", f"{k} {kind}")
+        if verify:
+            for k in (key, *map(tuple, unique)):
+                full_key = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in k])
+                if not rows.filter(full_key).groupBy(*[f"`{c}`" for c in k]).count().filter("count > 1").isEmpty():
+                    raise refuse("KeyNotBacked", f"{name} ({', '.join(k)}) holds a value twice")
+            if not rows.filter(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in key])).isEmpty():
+                raise refuse("NullInNotNullKey", f"{name} ({', '.join(key)})")
         m["sources"][name] = {"key": key, "unique": [list(u) for u in unique], "partitions": list(partitions), "types": declared, "labels": {k: list(v) for k, v in (labels or {}).items()}}
         size = max(self.store.buckets, -(-rows.count() // BUCKET_ROWS))
         self.store.put(m, self.store.write(self.store.empty(name, rows.schema, key, buckets=size), rows))
@@ -395,13 +405,15 @@ class Engine:
             return False
         raws, began = {}, time.time()
         top = m["seq"] + 1 if seq is None else seq
-        for name, rows in changes.items():
-            if name not in m["sources"]:
-                raise refuse("SourceTableNotFound", name)
-            if self._drifted(m, name, rows):
-                continue
-            raws[name] = self._take_in(m, name, rows, top)
-        self._propagate(m, raws)
+        if unknown := [n for n in changes if n not in m["sources"]]:
+            raise refuse("SourceTableNotFound", ", ".join(unknown))
+        try:
+            for name, rows in changes.items():
+                if not self._drifted(m, name, rows):
+                    raws[name] = self._take_in(m, name, rows, top)
+            self._propagate(m, raws)
+        finally:
+            self._release()
         m["batch"] = m["batch"] + 1 if batch_id is None else batch_id
         m["seq"] = max(m["seq"], top)
         self._count(m, batches_total=1, batch_seconds_total=time.time() - began)
@@ -479,9 +491,9 @@ class Engine:
                 for name, out in zip(stale, pool.map(lambda n: self._advance(m, n, raws), stale), strict=True):
                     if out is not None:
                         raws[name] = out
-        for rows in self._kept:
-            rows.unpersist()
-        self._kept.clear()
+    def _release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
 
     def _advance(self, m: dict, name: str, raws: dict[str, Changed]) -> Changed | None:
         """Bring one definition up to date; returns its own changes if anything reads it."""

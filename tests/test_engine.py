@@ -266,6 +266,21 @@ def test_a_declared_key_other_than_the_first(spark, tmp_path):
     assert e.self_check("t")["ok"]
 
 
+def test_keys_are_verified(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=1)
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 6), (2, 7, 8), (None, 8, 9)], "id int, u int, v int")
+    with pytest.raises(EngineError, match="KeyNotBacked"):
+        e.source("s", rows, ["id"])
+    with pytest.raises(EngineError, match="NullInNotNullKey"):
+        e.source("s", rows.filter("v <> 8"), ["id"])
+    e.source("s", rows.filter("v < 8"), ["id"], unique=[["u"]])
+    e.apply("TRANSFORM t FROM s SELECT v AS w")
+    e.build()
+    image = F.struct(*rows.columns)
+    e.process({"s": rows.filter("v > 8").select(F.lit("insert").alias("op"), F.when(F.lit(False), image).alias("old"), image.alias("new"))})
+    assert e.status("t")["status"] == "paused" and "NullInNotNullKey" in e.status("t")["error"]
+
+
 def test_rows_are_read_again_on_demand(spark, tmp_path):
     e = Engine(spark, str(tmp_path), buckets=1)
     rows = spark.createDataFrame([(1, 5), (2, 6)], "id int, v int")
