@@ -31,7 +31,10 @@ TERM = "term"
 WINDOW, REACH, SUPPORT, ALPHA = 3, 80, 5, 0.7
 #: Terms that may travel with every task; more are joined instead.
 BROADCAST_TERMS = 200_000
+#: Terms that a task counts before it hands its counts on.
+TALLY = 300_000
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+EDGE_BYTES = EDGE.encode()
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -98,6 +101,16 @@ def normal(word: str) -> str:
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def terms_in(text: str) -> set[bytes]:
+    """The normal forms, as UTF-8, of all words of a text; bytes split at the very spaces that end a word of WORDS."""
+    return {w.strip(EDGE_BYTES) for w in set(text.lower().encode("utf-8", "replace").split())}
+
+
+def tally(total: dict[bytes, int]) -> pd.DataFrame:
+    rows = [(w.decode(), n) for w, n in total.items()]
+    return pd.DataFrame([r for r in rows if any(c.isalpha() for c in r[0])], columns=["term", "n"])
+
+
 class Cover:
     """Which characters entities cover."""
 
@@ -151,23 +164,19 @@ def disclosing(docs: DataFrame, *, text_col: str = "text", support: int = SUPPOR
     if not sizes:
         return pairs.select("term", "kind").limit(0)
     pairs = pairs.filter("term <> ''")
-    terms = pairs.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        wanted = docs.sparkSession.sparkContext.broadcast({r[0] for r in terms.collect()})
-
-        def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total: dict[str, int] = {}
-            for pdf in batches:
-                for t in texts_of(pdf["m_text"]):
-                    for w in {x.strip(EDGE) for x in set(t.lower().split())} & wanted.value:
-                        total[w] = total.get(w, 0) + 1
-            yield pd.DataFrame(list(total.items()), columns=["term", "n"])
-
-        counted = texts.mapInPandas(hold, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    else:
-        edge = f"^[{re.escape(EDGE)}]+|[{re.escape(EDGE)}]+$"
-        words = texts.select(F.explode(F.array_distinct(F.transform(F.split(F.lower("m_text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, edge, "")))).alias("term"))
-        counted = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[bytes, int] = {}
+        for pdf in batches:
+            for t in texts_of(pdf["m_text"]):
+                for w in terms_in(t):
+                    total[w] = total.get(w, 0) + 1
+            if len(total) > TALLY:
+                yield tally(total)
+                total = {}
+        yield tally(total)
+
+    counted = texts.mapInPandas(hold, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
     total = float(docs.count())
     p_kind = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, n / total)))])
     held = pairs.join(counted, "term")

@@ -116,3 +116,17 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and [r["text"] for r in kept.filter("doc_id IS NULL").collect()] == ["[PHONE]"]
     empty = docs.limit(0)
     assert P.sanitise(empty).count() == 0 and P.find(empty, P.disclosing(empty)).count() == 0
+
+
+def test_words_end_at_ascii_spaces_only(spark, monkeypatch):
+    texts = [f"reader {i} saw nothing of note" for i in range(200)]
+    texts += [f"call Telefon\u00a0: +49 30 12345{i:02} or foo\u3000bar" for i in range(12)] + [f"foo saw bar {i}" for i in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    spans = []
+    for most in (P.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(P, "BROADCAST_TERMS", most)
+        terms = P.disclosing(docs)
+        got = {(r["term"], r["kind"]) for r in terms.collect()}
+        assert got == slow_disclosing(texts, P.SUPPORT, P.ALPHA) and {("telefon\u00a0", 3), ("foo\u3000bar", 3)} <= got
+        spans.append(sorted((r["doc_id"], r["spans"]) for r in P.find(docs, terms).collect()))
+    assert spans[0] == spans[1]
