@@ -1,11 +1,11 @@
 """Personal data: base patterns, and terms of the corpus that disclose protected entities.
 
 Protected entities are the values that the base patterns find (emails, addresses, cards, phones). A term
-near an entity discloses its kind k if their pointwise mutual information
-over the corpus, PMI(t; k) = log p(t, k) / (p(t) p(k)), reaches ``ALPHA`` times the
-information of k itself, -log p(k). The pair's count is the number of different values of k that the
-term stands beside, so that copies of one document count once; p(t) is the share of all documents
-that hold the term. Near an entity of kind k, a term that discloses k is sanitised as well.
+near an entity discloses e, its kind or its very value, if their pointwise mutual information
+over the corpus, PMI(t; e) = log p(t, e) / (p(t) p(e)), reaches ``ALPHA`` times the
+information of e itself, -log p(e). All three are shares of documents: those that hold the term beside
+e, the term, and e; documents of equal text count once. Near e, a term that discloses e is sanitised
+as well. What stands in every document has no information and is disclosed by nothing.
 Base entities are generalised to their kind, disclosing terms are removed.
 """
 
@@ -27,7 +27,7 @@ from deltaloom.llm.common import add_fields, durable, texts_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words beside an entity that are looked at and the characters they lie in; different values that a pair needs; share of -log p(k) that discloses.
+#: Words beside an entity that are looked at and the characters they lie in; documents that a pair needs; share of -log p(e) that discloses.
 WINDOW, REACH, SUPPORT, ALPHA = 3, 80, 5, 0.7
 #: Terms that may travel with every task; more are joined instead.
 BROADCAST_TERMS = 200_000
@@ -45,6 +45,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 
+#: The value of a row about a whole kind, and the kind of a row about a term alone.
+ANY, NONE = -1, -1
+#: Of each term the (kind, value) that it discloses.
+Terms = dict[str, set[tuple[int, int]]]
+
+
 @dataclass(frozen=True)
 class Span:
     start: int
@@ -108,7 +114,7 @@ def terms_in(text: str) -> set[bytes]:
 
 def tally(total: dict[bytes, int]) -> pd.DataFrame:
     rows = [(w.decode(), n) for w, n in total.items()]
-    return pd.DataFrame([r for r in rows if any(c.isalpha() for c in r[0])], columns=["term", "n"])
+    return pd.DataFrame([r for r in rows if any(c.isalpha() for c in r[0])], columns=["term", "n"]).assign(kind=NONE, value=ANY)
 
 
 class Cover:
@@ -139,58 +145,67 @@ def neighbours(text: str, span: Span, cover: Cover) -> Iterator[tuple[str, int,
                 yield term, a, a + len(m[0].strip(EDGE))
 
 
+def entities(text: str, spans: list[Span]) -> set[tuple[int, int]]:
+    """(kind, value) of the entities: of each its kind alone, with value ANY, and the hash of its text."""
+    hashed = {(s.kind, xxhash.xxh64_intdigest(text[s.start : s.end].lower().encode("utf-8", "replace"), s.kind) >> 1) for s in spans}
+    return hashed | {(k, ANY) for k, _ in hashed}
+
+
 def windows(text: str) -> Iterator[tuple[str, int, int]]:
     """(term, kind, hash of the entity's value) of all entities of a text."""
     spans = base_spans(text)
     cover = Cover(spans)
     for s in spans:
-        value = xxhash.xxh64_intdigest(text[s.start : s.end].lower().encode("utf-8", "replace"), s.kind) >> 1
-        yield from ((term, s.kind, value) for term, _, _ in neighbours(text, s, cover))
-        yield "", s.kind, value
+        for kind, value in entities(text, [s]):
+            if value != ANY:
+                yield from ((term, kind, value) for term, _, _ in neighbours(text, s, cover))
+                yield "", kind, value
 
 
 def disclosing(docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
-    """(term, kind) pairs that disclose, from all documents. Null texts hold nothing; no documents give no pairs."""
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text"))
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = {w for t in texts_of(pdf["m_text"]) if "@" in t or DIGIT.search(t) for w in windows(t)}
-            yield pd.DataFrame(list(rows), columns=["term", "kind", "value"])
+    """(term, kind, value) that disclose, from all documents: a kind (value ANY), or one entity by the hash of its value.
 
-    pairs = texts.mapInPandas(near, "term string, kind int, value bigint").distinct().groupBy("term", "kind").agg(F.count("*").alias("n_pair"))
-    pairs = durable(pairs.filter((F.col("n_pair") >= support) | (F.col("term") == "")))
-    sizes = {r["kind"]: r["n_pair"] for r in pairs.filter("term = ''").collect()}  # a row for each kind
-    if not sizes:
-        return pairs.select("term", "kind").limit(0)
-    pairs = pairs.filter("term <> ''")
+    Null texts hold nothing; no documents give no rows.
+    """
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text")).distinct()
 
-    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[bytes, int] = {}
+        n = 0
         for pdf in batches:
+            rows = []
             for t in texts_of(pdf["m_text"]):
+                n += 1
                 for w in terms_in(t):
                     total[w] = total.get(w, 0) + 1
+                if "@" in t or DIGIT.search(t):
+                    near = set(windows(t))
+                    rows += near | {(term, kind, ANY) for term, kind, _ in near}
+            yield pd.DataFrame(rows, columns=["term", "kind", "value"]).assign(n=1)
             if len(total) > TALLY:
                 yield tally(total)
                 total = {}
         yield tally(total)
-
-    counted = texts.mapInPandas(hold, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = float(docs.count())
-    p_kind = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, n / total)))])
-    held = pairs.join(counted, "term")
-    information = -F.log(p_kind[F.col("kind")])
+        yield pd.DataFrame([("", NONE, ANY, n)], columns=["term", "kind", "value", "n"])
+
+    counts = texts.mapInPandas(count, "term string, kind int, value bigint, n bigint")
+    counts = durable(counts.groupBy("term", "kind", "value").agg(F.sum("n").alias("n")).filter((F.col("n") >= support) | (F.col("kind") == NONE)))
+    pairs = counts.filter(f"term <> '' AND kind <> {NONE}").withColumnRenamed("n", "n_pair")
+    terms = counts.filter(f"term <> '' AND kind = {NONE}").select("term", F.col("n").alias("n_term"))
+    wanted = counts.filter(f"term = '' AND kind <> {NONE}").select("kind", "value", F.col("n").alias("n_entity"))
+    total = float(counts.filter(f"term = '' AND kind = {NONE}").agg(F.sum("n")).first()[0] or 1)
+    information = -F.log(F.col("n_entity") / total)
     pmi = F.log(F.col("n_pair") / total) - F.log(F.col("n_term") / total) + information
-    return durable(held.filter(pmi >= alpha * information).select("term", "kind"))
+    held = pairs.join(terms, "term").join(wanted, ["kind", "value"])
+    return durable(held.filter((pmi >= alpha * information) & (information > 0)).select("term", "kind", "value"))
 
 
-def term_spans(text: str, spans: list[Span], terms: set[tuple[str, int]]) -> list[Span]:
-    """Spans of the words beside an entity that disclose its kind."""
+def term_spans(text: str, spans: list[Span], terms: Terms) -> list[Span]:
+    """Spans of the words beside an entity that disclose its kind or the entity itself."""
     if not terms:
         return []
     cover = Cover(spans)
-    return sorted({Span(a, len(KINDS), b) for s in spans for term, a, b in neighbours(text, s, cover) if (term, s.kind) in terms}, key=lambda s: s.start)
+    return sorted({Span(a, len(KINDS), b) for s in spans for term, a, b in neighbours(text, s, cover) if term in terms and not terms[term].isdisjoint(entities(text, [s]))}, key=lambda s: s.start)
 
 
 def sanitise_text(text: str, spans: list[Span]) -> str:
@@ -212,11 +227,18 @@ def listed(spans: list[Span]) -> str:
 FIELDS = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 
 
+def by_term(rows) -> Terms:
+    out: Terms = {}
+    for r in rows:
+        out.setdefault(r["term"], set()).add((r["kind"], r["value"]))
+    return out
+
+
 def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised: bool = False) -> DataFrame:
     """Add the fields of ``FIELDS`` and, if asked for, ``sanitised_text`` (null for null) to every row; columns of these names are replaced.
 
     Null text is empty. Very long texts are searched whole, repeated rows get equal results, no rows give no rows.
-    ``terms`` are pairs from ``disclosing``. Up to ``BROADCAST_TERMS`` of them travel with the tasks; more
+    ``terms`` come from ``disclosing``. Up to ``BROADCAST_TERMS`` of them travel with the tasks; more
     are first joined to the words beside entities, and each row gets its own.
     """
     schema = FIELDS + ", sanitised_text string" * sanitised
@@ -234,7 +256,7 @@ def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised
         return pd.DataFrame(rows, columns=names)
 
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        shared = docs.sparkSession.sparkContext.broadcast({(r["term"], r["kind"]) for r in terms.collect()})
+        shared = docs.sparkSession.sparkContext.broadcast(by_term(terms.collect()))
 
         @F.pandas_udf(schema)
         def found(column: pd.Series) -> pd.DataFrame:
@@ -250,15 +272,15 @@ def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str,
 
     def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(k, term, kind) for k, t in zip(pdf["m_key"], texts_of(pdf["m_text"]), strict=True) for term, kind, _ in windows(t) if term}
-            yield pd.DataFrame(list(rows), columns=["m_key", "term", "kind"])
+            rows = {(k, term, kind, v) for k, t in zip(pdf["m_key"], texts_of(pdf["m_text"]), strict=True) for term, kind, value in windows(t) if term for v in (value, ANY)}
+            yield pd.DataFrame(list(rows), columns=["m_key", "term", "kind", "value"])
 
-    words = docs.select(key.alias("m_key"), F.col(f"`{text_col}`").alias("m_text")).mapInPandas(beside, "m_key bigint, term string, kind int").distinct()
-    own = words.join(terms, ["term", "kind"], "left_semi").groupBy("m_key").agg(F.collect_list(F.struct("term", "kind")).alias("m_pairs"))
+    words = docs.select(key.alias("m_key"), F.col(f"`{text_col}`").alias("m_text")).mapInPandas(beside, "m_key bigint, term string, kind int, value bigint").distinct()
+    own = words.join(terms, ["term", "kind", "value"], "left_semi").groupBy("m_key").agg(F.collect_list(F.struct("term", "kind", "value")).alias("m_pairs"))
 
     @F.pandas_udf(schema)
     def found(column: pd.Series, pairs: pd.Series) -> pd.DataFrame:
-        return rows_of(list(column), [{(p["term"], p["kind"]) for p in x} if x is not None else set() for x in pairs])
+        return rows_of(list(column), [by_term(x) if x is not None else {} for x in pairs])
 
     key_col, pairs_col = unused(docs, "m_key"), unused(docs, "m_pairs")
     own = own.select(F.col("m_key").alias(key_col), F.col("m_pairs").alias(pairs_col))
