@@ -1,11 +1,10 @@
 """Personal data: base patterns, and terms of the corpus that disclose protected entities.
 
 Protected entities are the values that the base patterns find (emails, addresses, cards, phones). A term
-near an entity discloses e, its kind or its very value, if their pointwise mutual information
-over the corpus, PMI(t; e) = log p(t, e) / (p(t) p(e)), reaches ``ALPHA`` times the
-information of e itself, -log p(e). All three are shares of documents: those that hold the term beside
-e, the term, and e; documents of equal text count once. Near e, a term that discloses e is sanitised
-as well. What stands in every document has no information and is disclosed by nothing.
+discloses e, an entity's kind or its very value, if their pointwise mutual information over the corpus, PMI(t; e) = log p(t, e) / (p(t) p(e)), reaches ``ALPHA`` times the
+information of e itself, -log p(e). All three are shares of documents: those that hold the term and
+e, the term, and e; documents of equal text count once. In every document that holds e, each
+occurrence of a term that discloses e is sanitised as well. What stands in every document has no information and is disclosed by nothing.
 Base entities are generalised to their kind, disclosing terms are removed.
 """
 
@@ -27,8 +26,8 @@ from deltaloom.llm.common import add_fields, durable, texts_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words beside an entity that are looked at and the characters they lie in; documents that a pair needs; share of -log p(e) that discloses.
-WINDOW, REACH, SUPPORT, ALPHA = 3, 80, 5, 0.7
+#: Documents that a pair needs; share of -log p(e) that discloses.
+SUPPORT, ALPHA = 5, 0.7
 #: Terms that may travel with every task; more are joined instead.
 BROADCAST_TERMS = 200_000
 #: Terms that a task counts before it hands its counts on.
@@ -107,14 +106,15 @@ def normal(word: str) -> str:
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def terms_in(text: str) -> set[bytes]:
-    """The normal forms, as UTF-8, of all words of a text; bytes split at the very spaces that end a word of WORDS."""
+def terms_in(text: str, spans: list[Span]) -> set[bytes]:
+    """The normal forms, as UTF-8, of all words of a text that touch no entity; bytes split at the very spaces that end a word of WORDS."""
+    if spans:
+        return {term.encode("utf-8", "replace") for term, _, _ in places(text, Cover(spans))}
     return {w.strip(EDGE_BYTES) for w in set(text.lower().encode("utf-8", "replace").split())}
 
 
-def tally(total: dict[bytes, int]) -> pd.DataFrame:
-    rows = [(w.decode(), n) for w, n in total.items()]
-    return pd.DataFrame([r for r in rows if any(c.isalpha() for c in r[0])], columns=["term", "n"]).assign(kind=NONE, value=ANY)
+def lettered(terms) -> list[str]:
+    return [w for w in (x.decode() for x in terms) if any(c.isalpha() for c in w)]
 
 
 class Cover:
@@ -130,16 +130,12 @@ class Cover:
         return i > 0 and self.reach[i - 1] > a
 
 
-def neighbours(text: str, span: Span, cover: Cover) -> Iterator[tuple[str, int, int]]:
-    """(term, start, end) of up to WINDOW whole words on either side within REACH characters, without words that touch an entity."""
-    low, high = max(0, span.start - REACH), min(len(text), span.end + REACH)
-    left = [m for m in WORDS.finditer(text, low, span.start) if m.start() > low or not low]
-    right = [m for m in WORDS.finditer(text, span.end, high) if m.end() < high or high == len(text)]
-    for m in [*left[-WINDOW:], *right[:WINDOW]]:
+def places(text: str, cover: Cover) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of all words of a text that touch no entity and have a letter."""
+    for m in WORDS.finditer(text):
         a, b = m.span()
         if not cover.touches(a, b):
-            inner = m[0].lower()
-            term = inner.strip(EDGE)
+            term = normal(m[0])
             if any(c.isalpha() for c in term):
                 a += len(m[0]) - len(m[0].lstrip(EDGE))
                 yield term, a, a + len(m[0].strip(EDGE))
@@ -152,60 +148,79 @@ def entities(text: str, spans: list[Span]) -> set[tuple[int, int]]:
 
 
 def windows(text: str) -> Iterator[tuple[str, int, int]]:
-    """(term, kind, hash of the entity's value) of all entities of a text."""
+    """(term, kind, hash of the entity's value) of each term and each entity of a text; "" is the entity alone."""
     spans = base_spans(text)
-    cover = Cover(spans)
-    for s in spans:
-        for kind, value in entities(text, [s]):
-            if value != ANY:
-                yield from ((term, kind, value) for term, _, _ in neighbours(text, s, cover))
-                yield "", kind, value
+    words = lettered(terms_in(text, spans)) if spans else []
+    yield from ((term, kind, value) for kind, value in entities(text, spans) if value != ANY for term in ["", *words])
 
 
 def disclosing(docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """(term, kind, value) that disclose, from all documents: a kind (value ANY), or one entity by the hash of its value.
 
-    Null texts hold nothing; no documents give no rows.
+    Null texts hold nothing; no documents give no rows. Values in fewer than ``support`` documents cannot be disclosed
+    as such; the terms of documents with other ones are joined to them, their number being the document's terms
+    times its values.
     """
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text")).distinct()
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text")).withColumn("m_key", F.xxhash64("m_text"))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(k, *e) for k, t in zip(pdf["m_key"], pdf["m_text"], strict=True) if "@" in t or DIGIT.search(t) for e in entities(t, base_spans(t))}
+            yield pd.DataFrame(list(rows), columns=["m_key", "kind", "value"])
+
+    held = durable(texts.mapInPandas(hold, "m_key bigint, kind int, value bigint").distinct())
+    sizes = durable(held.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support))
+    values = sizes.filter(F.col("value") != ANY).select("kind", "value")
+    few = values.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    # without it, terms of all documents with entities are sent to the join
+    often = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]) for r in values.collect()}) if few else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[bytes, int] = {}
+        total: list[dict[bytes, int]] = [{} for _ in range(len(KINDS) + 1)]  # the last of all documents
+        columns = ["term", "kind", "m_key", "n"]
+
+        def tally() -> pd.DataFrame:
+            rows = [(w, k if k < len(KINDS) else NONE, None, own[x]) for k, own in enumerate(total) for x in own for w in lettered([x])]
+            return pd.DataFrame(rows, columns=columns).astype({"m_key": "Int64"})
+
         n = 0
         for pdf in batches:
-            rows = []
-            for t in texts_of(pdf["m_text"]):
+            for key, t in zip(pdf["m_key"], pdf["m_text"], strict=True):
                 n += 1
-                for w in terms_in(t):
-                    total[w] = total.get(w, 0) + 1
-                if "@" in t or DIGIT.search(t):
-                    near = set(windows(t))
-                    rows += near | {(term, kind, ANY) for term, kind, _ in near}
-            yield pd.DataFrame(rows, columns=["term", "kind", "value"]).assign(n=1)
-            if len(total) > TALLY:
-                yield tally(total)
-                total = {}
-        yield tally(total)
-        yield pd.DataFrame([("", NONE, ANY, n)], columns=["term", "kind", "value", "n"])
-
-    counts = texts.mapInPandas(count, "term string, kind int, value bigint, n bigint")
-    counts = durable(counts.groupBy("term", "kind", "value").agg(F.sum("n").alias("n")).filter((F.col("n") >= support) | (F.col("kind") == NONE)))
-    pairs = counts.filter(f"term <> '' AND kind <> {NONE}").withColumnRenamed("n", "n_pair")
-    terms = counts.filter(f"term <> '' AND kind = {NONE}").select("term", F.col("n").alias("n_term"))
-    wanted = counts.filter(f"term = '' AND kind <> {NONE}").select("kind", "value", F.col("n").alias("n_entity"))
-    total = float(counts.filter(f"term = '' AND kind = {NONE}").agg(F.sum("n")).first()[0] or 1)
+                spans = base_spans(t) if "@" in t or DIGIT.search(t) else []
+                terms = terms_in(t, spans)
+                for own in [total[-1], *[total[k] for k in {s.kind for s in spans}]]:
+                    for w in terms:
+                        own[w] = own.get(w, 0) + 1
+                if spans and (often is None or not often.value.isdisjoint(entities(t, spans))):
+                    yield pd.DataFrame({"term": lettered(terms), "kind": NONE, "m_key": key, "n": 1}).astype({"m_key": "Int64"})
+            if sum(map(len, total)) > TALLY:
+                yield tally()
+                total = [{} for _ in total]
+        yield tally()
+        yield pd.DataFrame([("", NONE, None, n)], columns=columns).astype({"m_key": "Int64"})
+
+    counts = texts.select("m_text").distinct().withColumn("m_key", F.xxhash64("m_text")).mapInPandas(count, "term string, kind int, m_key bigint, n bigint")
+    counts = counts.groupBy("term", "kind", "m_key").agg(F.sum("n").alias("n"))
+    counts = durable(counts.filter((F.col("n") >= support) | F.col("m_key").isNotNull() | (F.col("term") == "")))
+    total = float(counts.filter("term = ''").agg(F.sum("n")).first()[0] or 1)
+    sums = counts.filter("m_key IS NULL AND term <> ''")
+    terms = sums.filter(F.col("kind") == NONE).select("term", F.col("n").alias("n_term"))
+    of_kinds = sums.filter(F.col("kind") != NONE).select("term", "kind", F.lit(ANY).cast("bigint").alias("value"), F.col("n").alias("n_pair"))
+    beside = counts.filter("m_key IS NOT NULL").select("m_key", "term").join(held.join(values, ["kind", "value"], "left_semi"), "m_key")
+    of_values = beside.groupBy("term", "kind", "value").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
+    pairs = of_kinds.unionByName(of_values).join(terms, "term").join(sizes, ["kind", "value"])
     information = -F.log(F.col("n_entity") / total)
     pmi = F.log(F.col("n_pair") / total) - F.log(F.col("n_term") / total) + information
-    held = pairs.join(terms, "term").join(wanted, ["kind", "value"])
-    return durable(held.filter((pmi >= alpha * information) & (information > 0)).select("term", "kind", "value"))
+    return durable(pairs.filter((pmi >= alpha * information) & (information > 0)).select("term", "kind", "value"))
 
 
 def term_spans(text: str, spans: list[Span], terms: Terms) -> list[Span]:
-    """Spans of the words beside an entity that disclose its kind or the entity itself."""
-    if not terms:
+    """Spans of all words of a text that disclose the kind of one of its entities or the entity itself."""
+    if not terms or not spans:
         return []
-    cover = Cover(spans)
-    return sorted({Span(a, len(KINDS), b) for s in spans for term, a, b in neighbours(text, s, cover) if term in terms and not terms[term].isdisjoint(entities(text, [s]))}, key=lambda s: s.start)
+    held = entities(text, spans)
+    return [Span(a, len(KINDS), b) for term, a, b in places(text, Cover(spans)) if term in terms and not held.isdisjoint(terms[term])]
 
 
 def sanitise_text(text: str, spans: list[Span]) -> str:
@@ -239,7 +254,7 @@ def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised
 
     Null text is empty. Very long texts are searched whole, repeated rows get equal results, no rows give no rows.
     ``terms`` come from ``disclosing``. Up to ``BROADCAST_TERMS`` of them travel with the tasks; more
-    are first joined to the words beside entities, and each row gets its own.
+    are first joined to the words of texts with entities, and each row gets its own.
     """
     schema = FIELDS + ", sanitised_text string" * sanitised
     names = [x.split()[0] for x in schema.split(", ")]
@@ -267,15 +282,21 @@ def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised
 
 
 def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str, names: list[str], rows_of) -> DataFrame:
-    """``find`` where the terms are too many to travel: equal texts share the pairs that hold beside their entities."""
+    """``find`` where the terms are too many to travel: equal texts share the pairs of their terms and entities."""
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.length(f"`{text_col}`"))
 
-    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(k, term, kind, v) for k, t in zip(pdf["m_key"], texts_of(pdf["m_text"]), strict=True) for term, kind, value in windows(t) if term for v in (value, ANY)}
-            yield pd.DataFrame(list(rows), columns=["m_key", "term", "kind", "value"])
-
-    words = docs.select(key.alias("m_key"), F.col(f"`{text_col}`").alias("m_text")).mapInPandas(beside, "m_key bigint, term string, kind int, value bigint").distinct()
+            for k, t in zip(pdf["m_key"], texts_of(pdf["m_text"]), strict=True):
+                spans = base_spans(t) if "@" in t or DIGIT.search(t) else []
+                if spans:
+                    rows = [(k, None, *e) for e in entities(t, spans)] + [(k, w, NONE, ANY) for w in lettered(terms_in(t, spans))]
+                    yield pd.DataFrame(rows, columns=["m_key", "term", "kind", "value"])
+
+    both = docs.select(key.alias("m_key"), F.col(f"`{text_col}`").alias("m_text")).mapInPandas(parts, "m_key bigint, term string, kind int, value bigint")
+    both = durable(both.distinct())
+    held = both.filter("term IS NULL").drop("term")
+    words = both.filter("term IS NOT NULL").select("m_key", "term").join(held.join(terms.select("kind", "value").distinct(), ["kind", "value"], "left_semi"), "m_key")
     own = words.join(terms, ["term", "kind", "value"], "left_semi").groupBy("m_key").agg(F.collect_list(F.struct("term", "kind", "value")).alias("m_pairs"))
 
     @F.pandas_udf(schema)
