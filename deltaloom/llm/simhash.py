@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,13 +60,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", code bigint"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in batches:
-            texts = texts_of(pdf.pop(text))
+            texts = texts_of(pdf.column(text))
             codes = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-            yield pdf.astype({c: "Int64" for c in pdf if pdf[c].dtype == float}).assign(code=codes.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*[pdf.column(i) for i in range(pdf.num_columns - 1)], pa.array(codes.view(np.int64))], [*pdf.schema.names[:-1], "code"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -208,8 +209,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Add ``component_id`` to rows with ids and ``code``: the least id among all rows that links reach.
+def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id", label_col: str | None = None) -> DataFrame:
+    """Add ``component_id`` to rows with ids and ``code``: the least id among all rows that links reach; as ``label_col``, if
+    named, the component's least code, which no other component has even where ids repeat or are null.
 
     Rows of equal codes are linked, also those without words (code 0). Null ids take part in links but are
     never a component's name, unless all of its ids are null. An empty table gives an empty result. ``coded``
@@ -222,8 +224,9 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     labels = components(durable(dealt.mapInPandas(stars, "a bigint, b bigint").distinct()))
     linked = labels.join(nodes, labels["node"] == nodes["code"]).select("code", "label", "m_least")
     least = linked.groupBy("label").agg(F.min("m_least").alias("component_id"))
-    named = linked.join(least, "label").select("code", "component_id")
-    named = durable(nodes.join(named, "code", "left").select("code", F.coalesce("component_id", "m_least").alias("component_id"), "m_rows"))
+    named = linked.join(least, "label").select("code", "label", "component_id")
+    label = [F.coalesce("label", "code").alias(label_col)] if label_col else []
+    named = durable(nodes.join(named, "code", "left").select("code", F.coalesce("component_id", "m_least").alias("component_id"), *label, "m_rows"))
     # a code with more than a thousandth of the rows would be one task's; there are under a thousand of them
     few = (named.agg(F.sum("m_rows")).first()[0] or 0) // HEAVY
     heavy, light = (named.filter(c).drop("m_rows") for c in (F.col("m_rows") > few, F.col("m_rows") <= few))
@@ -240,9 +243,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     narrow = own.select(F.col("id").alias("m_id"), "row", F.col(f"d.`{text_col}`").alias("text"))
-    found = near_duplicates(durable(fingerprints(narrow, id_col="m_id", keep=("row",))), id_col="m_id")
+    found = near_duplicates(durable(fingerprints(narrow, id_col="m_id", keep=("row",))), id_col="m_id", label_col="m_label")
     first = F.struct(F.col("m_id").isNull().alias("null"), "m_id", F.col("row").alias("m_row"), "n")
-    kept = found.groupBy("component_id", "m_id", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("component_id").agg(F.min(first).alias("k"))
+    kept = found.groupBy("m_label", "m_id", "row").agg(F.count(F.lit(1)).alias("n")).groupBy("m_label").agg(F.min(first).alias("k"))
     kept = durable(kept.select("k.m_id", "k.m_row", "k.n"))
     at = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row"))
     repeated = own.join(kept.filter("n > 1"), at, "left_semi").dropDuplicates(["id", "row"])  # whole rows that stand there several times

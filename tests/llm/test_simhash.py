@@ -98,3 +98,13 @@ def test_nulls_repeats_and_empty_tables(spark):
 
 def test_very_long_text():
     assert D.fingerprint("w " * 300_000) == D.fingerprint("w w w")
+
+
+def test_dedup_keeps_a_row_of_each_component(spark):
+    texts = ["one two three four five six seven", "all of this is quite another thing", "nothing here is like the rest at all", "a fourth and last kind of text"]
+    big = (1 << 53) + 1
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[0])], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in D.dedup(docs).collect()) == sorted(texts)
+    mixed = spark.createDataFrame([(None, texts[0]), (big, texts[1]), (big + 2, texts[2])], "doc_id bigint, text string").coalesce(1)
+    assert {r["doc_id"] for r in D.fingerprints(mixed).collect()} == {None, big, big + 2}
+    assert {r["doc_id"] for r in D.dedup(mixed).collect()} == {None, big, big + 2}
