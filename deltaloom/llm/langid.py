@@ -133,9 +133,9 @@ class Model:
 
     @staticmethod
     def constant(scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """For each text its one language, where no span of another one gains as much as a switch costs; else -1.
+        """For each text its one language, where no span of another one gains half of what a switch costs; else -1.
 
-        Each span of a path with switches pays for one at least, so such a path cannot be better.
+        A path of n > 1 spans pays n - 1 switches, which is n / 2 at least, so such a path cannot be better.
         """
         out = np.full(lengths.size, -1)
         full = np.flatnonzero(lengths)
@@ -149,7 +149,7 @@ class Model:
         shifted = before - before[starts][owner] - span * owner[:, None]
         least = np.minimum.accumulate(shifted, axis=0)
         rise = np.maximum.reduceat((shifted + gain - least).max(1), starts)
-        out[full] = np.where(rise < SWITCH - 0.01, best, -1)
+        out[full] = np.where(rise < SWITCH / 2 - 0.01, best, -1)
         return out
 
 

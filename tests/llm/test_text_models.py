@@ -82,6 +82,30 @@ def test_constant_shortcut_is_viterbi():
         at += n
 
 
+def test_constant_shortcut_sees_two_block_texts():
+    from deltaloom.llm.chain import viterbi
+
+    planted = np.array([[10.0, -20, 0], [-20, 10, 0]])
+    assert langid.Model.constant(planted, np.array([2])).tolist() == [-1]
+    r = np.random.default_rng(5)
+    lengths = r.integers(2, 8, 400)
+    scores = r.normal(size=(lengths.sum(), 3)) * 0.5
+    at = 0
+    for n in lengths:
+        cut = r.integers(1, n)
+        rise = r.uniform(2, 12, 2)
+        scores[at : at + cut, 0] += rise[0] / cut
+        scores[at : at + cut, 1] -= 20 / cut
+        scores[at + cut : at + n, 1] += rise[1] / (n - cut)
+        scores[at + cut : at + n, 0] -= 20 / (n - cut)
+        at += n
+    got, best, at = langid.Model.constant(scores, lengths), viterbi(scores, lengths, -langid.SWITCH * (1 - np.eye(3))), 0
+    assert (got >= 0).any()
+    for n, label in zip(lengths, got, strict=True):
+        assert label < 0 or set(best[at : at + n].tolist()) == {label}
+        at += n
+
+
 def test_scripts():
     assert [langid.NAMES[langid.script(w)] for w in ("word", "слово", "λόγος", "単語", "한국", "كلمة", "ÿ")] == ["Latin", "Cyrillic", "Greek", "Han", "Hangul", "Arabic", "Latin"]
     assert langid.script("123") == -1
