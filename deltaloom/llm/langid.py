@@ -154,34 +154,34 @@ class Model:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on a sample of about ``rows`` documents per language, of those with a language whose crc32 remainder by 3 is not 1."""
-    known = docs.select(F.col(f"`{id_col}`").alias("m_id"), F.col(f"`{text_col}`").alias("m_text"), F.col(f"`{lang_col}`").alias("m_lang"))
-    known = known.filter(F.col("m_lang").isNotNull() & (F.col("m_lang") != UNKNOWN) & (remainder(F.col("m_id"), 3) != 1))
-    drawn = draw(known, "m_lang", "m_id", rows).filter(F.length("m_text") <= SAMPLE_CHARS)
+    """Fit on a sample of about ``rows`` documents per language, of those with a language and a text whose crc32 remainder by 3 is not 1; of longer texts the first SAMPLE_CHARS characters."""
+    known = docs.select(F.col(f"`{id_col}`").alias("m_id"), F.substring(F.col(f"`{text_col}`"), 1, SAMPLE_CHARS).alias("m_text"), F.col(f"`{lang_col}`").alias("m_lang"))
+    known = known.filter(F.col("m_lang").isNotNull() & F.col("m_text").isNotNull() & (F.col("m_lang") != UNKNOWN) & (remainder(F.col("m_id"), 3) != 1))
+    drawn = draw(known, "m_lang", "m_id", rows)
     return Model.fit(sorted((r["m_lang"], r["m_text"]) for r in drawn.select("m_lang", "m_text").collect()))
 
 
 SPANS = "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
 
-def detect(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = False, prefix: str = "") -> DataFrame:
+def detect(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool = False, letters: bool = False, prefix: str = "") -> DataFrame:
     """Add lang_pred (``und`` if the text is null or has no letter), score (that language's share of the letters; 0 for ``und``) and,
-    if asked for, spans (ranges of words, end exclusive, whose labels agree). Columns of these names, after ``prefix``, are replaced.
+    if asked for, spans (ranges of words, end exclusive, whose labels agree) and has_letter. Columns of these names, after ``prefix``, are replaced.
 
     Ties go to the language that comes first by code point. Repeated rows get equal results, very long texts are labelled
     whole, no rows give no rows; a model that knows no language calls everything ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = SPANS if spans else SPANS.rsplit(", ", 1)[0]
+    schema = (SPANS if spans else SPANS.rsplit(", ", 1)[0]) + ", has_letter boolean" * letters
 
     @F.pandas_udf(schema)
     def predict(column: pd.Series) -> pd.DataFrame:
         m, out = shared.value, []
         texts = texts_of(column)
         for part in slices(map(len, texts)):
-            labels, letters, lengths = m.label(texts[part])
+            labels, counts, lengths = m.label(texts[part])
             at = 0
             for text, n in zip(texts[part], lengths, strict=True):
-                own, size = labels[at : at + n], letters[at : at + n]
+                own, size = labels[at : at + n], counts[at : at + n]
                 at += n
                 total = size.sum()
                 if not total and any(c.isalpha() for c in text):
@@ -194,7 +194,7 @@ def detect(docs: DataFrame, model: Model, *, text_col: str = "text", spans: bool
                 if spans:
                     cuts = np.r_[0, np.flatnonzero(np.diff(own)) + 1, n] if n and m.languages else np.zeros(1, int)
                     row += ([{"start": int(a), "end": int(b), "lang": m.languages[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)],)
-                out.append(row)
+                out.append((*row, bool(total)) if letters else row)
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     return add_fields(docs, predict(F.col(f"`{text_col}`")), [x.split()[0] for x in schema.split(", ")], prefix)

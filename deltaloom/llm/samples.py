@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts longer than this are not drawn into a training sample (they are scored like any other).
+#: Texts longer than this are not drawn into a training sample, or cut for it by language ID (they are scored whole, like any other).
 SAMPLE_CHARS = 20_000
 GRAIN = 1_000_000
 

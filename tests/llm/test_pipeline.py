@@ -110,3 +110,8 @@ def test_held_out_flags(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
     for r in queries.op9_toxicity(spark, SF).collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_stage_without_a_usable_label(spark):
+    rows = [(i, f"some words to keep {i}", None, "a", 20) for i in range(5)] + [(9, "12 34", None, "a", 5)]
+    assert sorted(r["doc_id"] for r in C.identify_language(spark, spark.createDataFrame(rows, DOCS), SF).collect()) == [0, 1, 2, 3, 4]

@@ -106,6 +106,11 @@ def test_constant_shortcut_sees_two_block_texts():
         at += n
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, "слово дом мир " * 2_000, "ru") for i in range(6)] + [(i, None, "xx") for i in range(6)] + [(i, "word house world", "en") for i in range(6)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).languages == ["en", "ru"]
+
+
 def test_scripts():
     assert [langid.NAMES[langid.script(w)] for w in ("word", "слово", "λόγος", "単語", "한국", "كلمة", "ÿ")] == ["Latin", "Cyrillic", "Greek", "Han", "Hangul", "Arabic", "Latin"]
     assert langid.script("123") == -1
