@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of text that a Python worker handles at once; bounds its memory.
 SLICE_CHARS = 2_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, one of our own on a single machine; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -60,3 +66,30 @@ def add_fields(df: DataFrame, struct: Column, fields: list[str], prefix: str = "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def computed(rows: DataFrame, fields: str, compute: Callable[[list[str]], list[tuple]]) -> DataFrame:
+    """``rows``, whose last column is a text (null: empty), with ``fields`` (DDL) in that column's place.
+
+    ``compute`` gets texts of about SLICE_CHARS characters together and returns a tuple for each. All other columns pass as
+    Arrow, unseen, so that an integer beside nulls never becomes a float.
+    """
+    made = T.StructType.fromDDL(fields)
+    schema = T.StructType([*rows.schema.fields[:-1], *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [to_arrow_type(f.dataType) for f in made]
+        for batch in batches:
+            texts = texts_of(batch.column(batch.num_columns - 1))
+            for part in slices(map(len, texts)):
+                got = compute(texts[part])
+                kept = batch.slice(part.start, part.stop - part.start).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array([r[i] for r in got], t) for i, t in enumerate(types)]], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of all columns of a row. Maps count by their JSON, and which columns are null counts too."""
+    hashed = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(F.concat(*[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in df.columns]), *hashed)

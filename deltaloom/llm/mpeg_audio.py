@@ -1,9 +1,10 @@
 """MPEG audio columns: write and read streams of audio frames.
 
-The reader handles MPEG 1, 2 and 2.5, layers I to III: it skips and parses tags (ID3v2 at
+The reader handles MPEG 1, 2 and 2.5, layers I to III: it skips and parses tags (ID3v2.2 to 2.4 at
 the start, ID3v1 at the end), resynchronises after bytes that are no frame, reads the
 variable-bitrate tables (Xing or Info, and VBRI), verifies the 16-bit checksum of protected
-frames, and gives the exact duration and every frame's byte offset for seeking.
+frames of every layer, and gives the exact duration and every frame's byte offset for seeking.
+Frames of free format, whose header names no bitrate, count as junk.
 
 The writer stores any bytes without loss as an MPEG 2 layer III stream of 576 samples a frame
 (16 kHz, mono, checksums on): each frame has empty side information, so it decodes to silence, and
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import lru_cache
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import slices, texts_of
+from deltaloom.llm.common import computed
 
 UNIT = 576
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
@@ -53,6 +54,7 @@ class Header:
     size: int
     samples: int
     side: int
+    bound: int  # subbands that the channels do not share (layers I and II)
 
     @property
     def kind(self) -> tuple[int, int, int]:
@@ -75,7 +77,8 @@ def header(word: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
     size = (12 * bitrate * 1000 // rate + padding) * 4 if layer == 1 else samples // 8 * bitrate * 1000 // rate + padding
     side = 0 if layer != 3 else (17 if channels == 1 else 32) if first else (9 if channels == 1 else 17)
-    return Header(version, layer, not word[1] & 1, bitrate, rate, padding, channels, size, samples, side)
+    bound = 4 * (word[3] >> 4 & 3) + 4 if word[3] >> 6 == 1 else 32
+    return Header(version, layer, not word[1] & 1, bitrate, rate, padding, channels, size, samples, side, bound)
 
 
 def _crc_table() -> list[int]:
@@ -99,6 +102,54 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, n: int) -> int:
+    """The checksum of the first ``n`` bits of ``data``."""
+    c = crc16(data[: n // 8])
+    for i in range(n % 8):
+        bit = data[n // 8] >> (7 - i) & 1
+        c = (c << 1 ^ 0x8005 if c >> 15 ^ bit else c << 1) & 0xFFFF
+    return c
+
+
+#: Fixed values of layer II: of each allocation table the (subbands, bits of an allocation) from the lowest subband upwards.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def allocation_table(h: Header) -> str:
+    """Which allocation table a layer II frame uses: by sampling rate and bitrate of a channel."""
+    if h.version != 3:
+        return "lsf"
+    each = h.bitrate // h.channels
+    if each <= 48:
+        return "d" if h.rate == 32000 else "c"
+    return "a" if h.rate == 48000 or each <= 80 else "b"
+
+
+def protected_bits(body: bytes, h: Header) -> int:
+    """How many bits after the checksum it covers: side information (III), or allocations (I) and scale factor selectors (II)."""
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (h.bound * h.channels + 32 - h.bound)
+    widths = [w for n, w in ALLOCATIONS[allocation_table(h)] for _ in range(n)]
+    bound, at, used = min(h.bound, len(widths)), 0, 0
+    bits = int.from_bytes(body[:48].ljust(48, b"\0"), "big")  # 30 subbands of two channels take 30 bytes at most
+    for band, w in enumerate(widths):
+        shared = band >= bound
+        for _ in range(1 if shared else h.channels):
+            taken = bits >> (384 - at - w) & (1 << w) - 1
+            used += (h.channels if shared else 1) * (taken > 0)
+            at += w
+    return at + 2 * used
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether the checksum of a protected frame is that of its header's last two bytes and the bits that it covers."""
+    n = 16 + protected_bits(frame[6:], h)
+    covered = frame[2:4] + frame[6 : 6 + -(-n // 8)]
+    return 8 * len(covered) >= n and crc16_bits(covered, n) == int.from_bytes(frame[4:6], "big")
+
+
 def syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
@@ -109,13 +160,15 @@ def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
         return 0, {}
     size, tags = syncsafe(data[6:10]), {}
     body, at = data[10 : 10 + size], 0
-    while at + 10 <= len(body) and body[at : at + 4].isalnum():
-        n = syncsafe(body[at + 4 : at + 8]) if data[3] >= 4 else int.from_bytes(body[at + 4 : at + 8], "big")
-        name, value = body[at : at + 4].decode("latin-1"), body[at + 10 : at + 10 + n]
+    named, head = (3, 6) if data[3] == 2 else (4, 10)  # bytes of a frame's name and of its whole head
+    while at + head <= len(body) and body[at : at + named].isalnum():
+        sized = body[at + named : at + 2 * named]
+        n = syncsafe(sized) if data[3] >= 4 else int.from_bytes(sized, "big")
+        name, value = body[at : at + named].decode("latin-1"), body[at + head : at + head + n]
         if name[0] == "T" and value:
             code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(value[0], "latin-1")
             tags[name] = value[1:].decode(code, "replace").rstrip("\0").replace("\0", "=")
-        at += 10 + n
+        at += head + n
     return min(len(data), 10 + size + (10 if data[5] & 16 else 0)), tags
 
 
@@ -185,9 +238,9 @@ def read(data: bytes) -> Stream:
             at, lost = after, True
             continue
         table = vbr_table(data[at : at + h.size], h) if kind is None and out.vbr is None and h.layer == 3 else None
-        if h.protected and h.layer == 3:
+        if h.protected:
             out.checked += 1
-            out.bad_checksums += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            out.bad_checksums += not checksum_holds(data[at : at + min(h.size, 96)], h)
         if table is None:
             out.frames.append((at, h))
         else:
@@ -265,41 +318,35 @@ def parse_media(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     return media.withColumn("audio", parse(F.col(f"`{media_col}`")))
 
 
-DIGEST_SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_s double, n_frames bigint, seek_offsets array<bigint>"
+DIGEST = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_s double, n_frames bigint, seek_offsets array<bigint>"
 
 
 def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each whole text as a stream: id and ``media`` (binary). Null text is empty; equal texts give equal bytes."""
+    """Store each whole text as a stream: id and ``media`` (binary). Null text is empty; equal texts give equal bytes; ids of any size and type stay exact."""
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("m_text"))
+    return computed(rows, "media binary", lambda texts: [(write(pad(t.encode("utf-8", "surrogatepass"))),) for t in texts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "media": [write(pad(t.encode("utf-8", "surrogatepass"))) for t in texts_of(pdf["m_text"])]})
 
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("m_text"))
-    return rows.mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, media binary")
+def feature(s: Stream) -> str:
+    """What a stream is, in one line; equal streams have equal features."""
+    h, of_rate = s.frames[0][1], Counter(x.bitrate for _, x in s.frames)
+    told = {"frames": len(s.frames), "samples": s.samples, "duration": s.duration, "crc": f"{s.checked - s.bad_checksums}/{s.checked}", "junk": s.junk_bytes, "kbps": ",".join(f"{b}x{of_rate[b]}" for b in sorted(of_rate))}
+    return f"mpeg{VERSIONS[h.version]} layer{h.layer} {h.rate}Hz {h.channels}ch {s.vbr['kind']}={s.vbr['frames']} " + " ".join(f"{k}={v}" for k, v in told.items())
+
+
+def digest(text: str) -> tuple:
+    """The values of ``DIGEST``: the text is stored, and read back from the stored bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    media = write(pad(raw))
+    s = read(media)
+    back = payload_of(media, s)
+    return (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), float(s.duration), len(s.frames), [at for at, _ in s.frames])
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Store every text (doc_id, text) as a stream, read the bytes back and return what they hold.
+    """Store every text (doc_id, text) as a stream, read the bytes back and return what they hold (``DIGEST``) beside doc_id.
 
-    Null text is empty. The duration, offsets and feature come from the parsed stream alone.
+    Null text is empty, other columns are ignored, repeated rows stay, no rows give no rows. The duration, offsets and feature
+    come from the parsed stream alone.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = texts_of(pdf["text"])
-            for part in slices(map(len, texts)):
-                rows = []
-                for i, text in zip(pdf["doc_id"].iloc[part], texts[part], strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    media = write(pad(raw))
-                    s = read(media)
-                    back = payload_of(media, s)
-                    h = s.frames[0][1]
-                    rates = {b: sum(x.bitrate == b for _, x in s.frames) for b in sorted({x.bitrate for _, x in s.frames})}
-                    feature = f"mpeg{VERSIONS[h.version]} layer{h.layer} {h.rate}Hz {h.channels}ch {s.vbr['kind']}={s.vbr['frames']} frames={len(s.frames)} samples={s.samples} duration={s.duration} crc={s.checked - s.bad_checksums}/{s.checked} junk={s.junk_bytes} kbps=" + ",".join(f"{b}x{n}" for b, n in rates.items())
-                    rows.append((i, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, float(s.duration), len(s.frames), [at for at, _ in s.frames]))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")])
-                yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, DIGEST_SCHEMA)
+    return computed(docs.select(F.col("doc_id").cast("bigint"), F.col("text")), DIGEST, lambda texts: [digest(t) for t in texts])

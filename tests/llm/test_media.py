@@ -1,6 +1,7 @@
 """MPEG audio: what is written reads back exactly, and damage is found."""
 
 import hashlib
+import random
 import zlib
 from fractions import Fraction
 
@@ -78,6 +79,82 @@ def test_reader_resynchronises_and_counts_bad_checksums():
     assert len(t.frames) == len(s.frames) - 1 and t.junk_bytes == h.size
 
 
+def crc_of_bits(bits: str) -> int:
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if c >> 15 != int(b) else 0)) & 0xFFFF
+    return c
+
+
+def layer_one(r, mode: int, ext: int) -> bytes:
+    """A protected layer I frame with random allocations."""
+    word = bytes((0xFF, 0xFE, 0x90, mode << 6 | ext << 4))
+    own = 2 if mode != 3 else 1
+    bound = (ext + 1) * 4 if mode == 1 else 32
+    bits = "".join(f"{r.randrange(15):04b}" for _ in range(bound * own + 32 - bound))
+    return finish(word, bits, M.header(word).size, r)
+
+
+def layer_two(r, word: bytes, widths: list[int]) -> bytes:
+    """A protected layer II frame with random allocations and scale factor selectors."""
+    mode, ext = word[3] >> 6, word[3] >> 4 & 3
+    own = 2 if mode != 3 else 1
+    bound = (ext + 1) * 4 if mode == 1 else 32
+    bits, selectors = "", ""
+    for band, w in enumerate(widths):
+        for _ in range(own if band < bound else 1):
+            a = r.choice((0, r.randrange(1 << w)))
+            bits += f"{a:0{w}b}"
+            selectors += "".join(f"{r.randrange(4):02b}" for _ in range((1 if band < bound else own) * (a > 0)))
+    return finish(word, bits + selectors, M.header(word).size, r)
+
+
+def finish(word: bytes, bits: str, size: int, r) -> bytes:
+    crc = crc_of_bits(f"{word[2]:08b}{word[3]:08b}" + bits)
+    body = bits + "".join(r.choice("01") for _ in range(8 * (size - 6) - len(bits)))
+    return word + crc.to_bytes(2, "big") + int(body, 2).to_bytes(size - 6, "big")
+
+
+WIDTHS = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19,
+}
+
+
+@pytest.mark.parametrize(("mode", "ext"), [(0, 0), (1, 0), (1, 2), (2, 0), (3, 0)])
+@pytest.mark.parametrize("second", [None, (0xFC, 0xA4, "a"), (0xFC, 0xA0, "b"), (0xFC, 0x20, "c"), (0xFC, 0x28, "d"), (0xF4, 0xA0, "lsf")])
+def test_checksums_of_layers_one_and_two(mode, ext, second):
+    r = random.Random(f"{mode}{ext}{second}")
+    if second is None:
+        frame = lambda: layer_one(r, mode, ext)
+    else:
+        version, third, table = second
+        word = bytes((0xFF, version, third, mode << 6 | ext << 4))
+        each = M.header(word).bitrate // (1 if mode == 3 else 2)
+        if version == 0xFC:
+            table = ("d" if third & 12 == 8 else "c") if each <= 48 else "a" if third & 12 == 4 or each <= 80 else "b"
+        frame = lambda: layer_two(r, word, WIDTHS[table])
+    frames = [frame() for _ in range(5)]
+    got = M.read(b"".join(frames))
+    assert (got.checked, got.bad_checksums, len(got.frames)) == (5, 0, 5)
+    bad = bytearray(frames[2])
+    bad[6] ^= 16  # an allocation
+    got = M.read(b"".join([*frames[:2], bytes(bad), *frames[3:]]))
+    assert (got.checked, got.bad_checksums) == (5, 1)
+
+
+def test_old_tags():
+    body = b"TT2" + (6).to_bytes(3, "big") + b"\0Title" + b"TP1" + (3).to_bytes(3, "big") + b"\0Me" + bytes(10)
+    tag = b"ID3\x02\0\0" + bytes((0, 0, 0, len(body))) + body
+    assert M.id3v2(tag + b"rest") == (len(tag), {"TT2": "Title", "TP1": "Me"})
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id bigint, text string").coalesce(1)
+    assert [r["doc_id"] for r in M.media_digest(docs).collect()] == ids
+    assert [r["doc_id"] for r in M.text_media(docs).collect()] == ids
+
+
 def test_tags_and_tables():
     media = M.write(M.pad(b"x"))
     s = M.read(media + b"TAG" + b"A title".ljust(30, b"\0") + bytes(95))
