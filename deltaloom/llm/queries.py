@@ -5,15 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.llm import chat, common, fair_mix, html_crf, langid, mpeg_audio, pii, quality_llr, simhash, spm, toxicity
 from deltaloom.llm.samples import remainder
 
-#: Folder of the public tokenizers' files; ``LLM_TOKENIZERS`` names another one.
-TOKENIZERS = os.environ.get("LLM_TOKENIZERS", "/opt/tokenizers")
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The SentencePiece model; ``LLM_TOKENIZERS`` names another folder of the public tokenizers' files.
+MODEL = f"{os.environ['LLM_TOKENIZERS']}/piece_bpe_32k.model" if "LLM_TOKENIZERS" in os.environ else public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

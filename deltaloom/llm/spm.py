@@ -2,15 +2,14 @@
 
 The text is normalised here as the model's specification says: at each place the longest
 prefix found in the compiled character map (a double-array trie) is replaced, and each
-normalised byte records the source byte that it stems from. Pieces partition the normalised
-bytes, so their bounds project to spans of the original UTF-8. The segmentation itself
-is the library's, on the original text, so ids are the library's ids.
+normalised byte records the source byte that it stems from. That normalised text is what gets
+segmented, by the library with its own normalisation switched off, so its ids are those that the whole
+model gives. Pieces partition the normalised bytes, so their bounds project to spans of the original UTF-8.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from deltaloom.llm.common import slices, texts_of
+from deltaloom.llm.common import computed, slices, texts_of
 
 SPACE = "▁".encode()
-BYTE_PIECE, USER_PIECE = 6, 4
+UNKNOWN_PIECE, USER_PIECE, BYTE_PIECE = 2, 4, 6
 
 
 class CharMap:
@@ -83,9 +82,9 @@ class Normaliser:
             return b"", np.zeros(1, np.int64)
         source = np.frombuffer(text, np.uint8)
         width = np.where(source == 32, len(self.space), 1)
-        origin = np.repeat(np.arange(source.size), width)
+        origin = np.repeat(np.arange(source.size, dtype=np.int32 if source.size < 1 << 30 else np.int64), width)
         dummy = self.space if self.dummy else b""
-        return dummy + text.replace(b" ", self.space), np.r_[np.zeros(len(dummy), np.int64), origin, source.size]
+        return dummy + text.replace(b" ", self.space), np.r_[np.zeros(len(dummy), origin.dtype), origin, np.array([source.size], origin.dtype)]
 
     def _general(self, text: bytes) -> tuple[bytes, np.ndarray]:
         at, end, out, origin = 0, len(text), bytearray(), []
@@ -125,23 +124,39 @@ class Normaliser:
 
 class Codec:
     def __init__(self, model: bytes):
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.whole = sentencepiece.SentencePieceProcessor(model_proto=model)  # decodes; never sees a text to encode
         proto = model_pb2.ModelProto.FromString(model)
         users = tuple(p.piece.encode() for p in proto.pieces if p.type == USER_PIECE)
         self.normaliser = Normaliser(proto.normalizer_spec, users, proto.trainer_spec.treat_whitespace_as_suffix)
         self.lengths = np.array([1 if p.type == BYTE_PIECE else len(p.piece.encode()) for p in proto.pieces])
+        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN_PIECE)
         self.names = [str(i) for i in range(len(proto.pieces))]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, num_threads=1) if texts else []
-
-    def spans(self, text: bytes, ids: list[int]) -> np.ndarray:
-        """Start and end byte in ``text`` of every piece, as an (n, 2) array."""
-        normal, origin = self.normaliser.align(text)
-        ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, int)
-        if (ends[-1] if ids else 0) != len(normal):
+        off = model_pb2.NormalizerSpec(name="identity", add_dummy_prefix=False, remove_extra_whitespaces=False, escape_whitespaces=False)
+        proto.normalizer_spec.CopyFrom(off)
+        proto.DiscardUnknownFields()  # among them checks of the model with its own normalisation
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray]]:
+        """Of each text the ids, and start and end byte of every piece as an (n, 2) array. Bytes between two pieces' spans are those that normalisation dropped."""
+        aligned = [self.normaliser.align(t.encode()) for t in texts]
+        ids = self.segmenter.encode([n.decode() for n, _ in aligned], num_threads=1) if texts else []
+        return [(own, self.spans(n, origin, own)) for (n, origin), own in zip(aligned, ids, strict=True)]
+
+    def spans(self, normal: bytes, origin: np.ndarray, ids: list[int]) -> np.ndarray:
+        """The source spans of the pieces ``ids`` of a normalised text."""
+        if not ids:
+            return np.zeros((0, 2), origin.dtype)
+        if self.unknown in ids:  # its piece's name says nothing of the characters that it stands for
+            found = self.segmenter.encode(normal.decode(), out_type="proto").pieces
+            ends = np.cumsum([len(p.surface.encode()) for p in found])
+        else:
+            ends = np.cumsum(self.lengths[ids])
+        if ends[-1] != len(normal):
             raise ValueError("pieces do not cover the normalised text")
-        return origin[np.c_[np.r_[0, ends[:-1]][: ends.size], ends]]
+        return origin[np.c_[np.r_[0, ends[:-1]], ends]]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.whole.decode(ids) if ids else ""
 
 
 @lru_cache(maxsize=4)
@@ -172,8 +187,7 @@ def encode_documents(docs: DataFrame, model_path: str, *, text_col: str = "text"
         c, out = codec(model.value), []
         texts = [clean(t) for t in texts_of(column)]
         for part in slices(map(len, texts)):
-            for text, ids in zip(texts[part], c.encode(texts[part]), strict=True):
-                out.append([{"id": i, "start": a, "end": b} for i, (a, b) in zip(ids, c.spans(text.encode(), ids).tolist(), strict=True)])
+            out += [[{"id": i, "start": a, "end": b} for i, (a, b) in zip(ids, spans.tolist(), strict=True)] for ids, spans in c.encode(texts[part])]
         return pd.Series(out)
 
     return docs.withColumn(out_col, pieces(F.col(f"`{text_col}`")))
@@ -185,37 +199,29 @@ def decode_documents(docs: DataFrame, model_path: str, *, ids_col: str = "ids",
 
     @F.pandas_udf("string")
     def text(column: pd.Series) -> pd.Series:
-        p = codec(model.value).processor
-        return pd.Series([p.decode([int(i) for i in ids]) if ids is not None and len(ids) else "" for ids in column], dtype=object)
+        c = codec(model.value)
+        return pd.Series([c.decode([int(i) for i in ids]) if ids is not None else "" for ids in column], dtype=object)
 
     return docs.withColumn(out_col, text(F.col(f"`{ids_col}`")))
 
 
-DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
 def encoding_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """Encode and decode every whole text of (doc_id, text); null is empty, other columns are ignored, repeated rows stay.
+    """Encode and decode every whole text of (doc_id, text); null is empty, other columns are ignored, repeated rows stay, no rows give no rows.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of what decode(ids)
     gives, spans_sha256 of the pieces' byte bounds (start, end as little-endian 32-bit integers).
     """
     model = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
+    def sha(data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(texts: list[str]) -> list[tuple]:
         c = codec(model.value)
-        for pdf in batches:
-            every = [clean(t) for t in texts_of(pdf["text"])]
-            for part in slices(map(len, every)):
-                texts = every[part]
-                ids = c.encode(texts)
-                rows = []
-                for i, text, own in zip(pdf["doc_id"].iloc[part], texts, ids, strict=True):
-                    bounds = c.spans(text.encode(), own).astype("<i4").tobytes()
-                    rows.append((i, len(own), sha(",".join(map(c.names.__getitem__, own))), sha(c.processor.decode(own) if own else ""), hashlib.sha256(bounds).hexdigest()))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in DIGEST_SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, DIGEST_SCHEMA)
+        coded = c.encode([clean(t) for t in texts])
+        return [(len(ids), sha(",".join(map(c.names.__getitem__, ids)).encode()), sha(c.decode(ids).encode()), sha(spans.astype("<i4").tobytes())) for ids, spans in coded]
+
+    return computed(docs.select(F.col("doc_id").cast("bigint"), F.col("text")), DIGEST, digests)

@@ -21,9 +21,8 @@ texts = st.text(st.sampled_from(list("ab E\n\té▁中\U0001f600�1")) | st.cha
 @given(texts)
 def test_spans_cover_the_text(text):
     raw = text.encode()
-    [ids] = CODEC.encode([text])
+    [(ids, spans)] = CODEC.encode([text])
     assert ids == LIBRARY.encode(text)
-    spans = CODEC.spans(raw, ids)
     assert len(spans) == len(ids)
     if ids:
         assert spans[0][0] == 0 and spans[-1][1] == len(raw)
@@ -112,4 +111,50 @@ def test_whole_documents(spark):
 
 def test_pieces_that_cannot_cover_raise():
     with pytest.raises(ValueError):
-        CODEC.spans(b"abc", LIBRARY.encode("something else"))
+        CODEC.spans(*CODEC.normaliser.align(b"abc"), LIBRARY.encode("something else"))
+
+
+def small_model(**spec) -> bytes:
+    """A BPE model without byte fallback, written by hand; nothing is trained."""
+    m = model_pb2.ModelProto()
+    names = [("<unk>", 2), ("<s>", 3), ("</s>", 3), ("@user", 4), *[(p, 1) for p in ("▁a", "ab", "fi", "▁fi", "fix", "11")], *[(c, 1) for c in "▁abfix1é"]]
+    for i, (piece, kind) in enumerate(names):
+        m.pieces.add(piece=piece, score=-float(i), type=kind)
+    m.trainer_spec.model_type = model_pb2.TrainerSpec.BPE
+    m.trainer_spec.vocab_size = len(names)
+    m.normalizer_spec.CopyFrom(model_pb2.NormalizerSpec(name="own", **spec))
+    return m.SerializeToString()
+
+
+MAP = {"ﬁ".encode(): b"fi", b"\t": b" ", "①".encode(): b"1", "①①".encode(): b"111", b"A": b"a", b"#": b""}
+
+
+@pytest.mark.parametrize("trim", [True, False])
+@pytest.mark.parametrize("dummy", [True, False])
+@settings(max_examples=150, deadline=None)
+@given(text=st.lists(st.sampled_from([*"ab fix1é\tﬁ①A#Zß中@", "@user", "  "]), max_size=30).map("".join))
+def test_a_model_with_a_map_and_unknown_pieces(trim, dummy, text):
+    model = small_model(precompiled_charsmap=trie(MAP), add_dummy_prefix=dummy, remove_extra_whitespaces=trim, escape_whitespaces=True)
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    [(ids, spans)] = spm.codec(model).encode([text])
+    assert ids == library.encode(text)
+    raw = text.encode()
+    assert all(0 <= a <= b <= len(raw) for a, b in spans.tolist())
+    assert all(a[1] == b[0] for a, b in zip(spans.tolist(), spans.tolist()[1:], strict=False))
+    for i, (a, b) in zip(ids, spans.tolist(), strict=True):  # what stands in a span becomes the piece
+        if i and "#" not in text and not trim and library.id_to_piece(i) == "é":
+            assert raw[a:b].decode().strip() == "é"
+    if text == "Zß":
+        assert ids.count(0) == 1
+
+
+def test_unknown_pieces_have_their_own_span():
+    model = small_model(add_dummy_prefix=True, remove_extra_whitespaces=False, escape_whitespaces=True)
+    [(ids, spans)] = spm.codec(model).encode(["a中文b"])
+    assert ids[1] == 0 and spans.tolist()[1] == [1, 7] and spans.tolist()[-1] == [7, 8]
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id bigint, text string").coalesce(1)
+    assert [r["doc_id"] for r in spm.encoding_digest(docs, MODEL).collect()] == ids
