@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import durable
+from deltaloom.llm.common import durable, row_hash
 
 #: Words as the contract counts them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -131,7 +131,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Takes the options of ``queue_of`` and ``plan_mix``.
     """
     plan = {k: options.pop(k) for k in ("weights", "share", "max_repeats") if k in options}
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row = row_hash(docs)
     id_col = options.get("id_col", "doc_id")
     decided = plan_mix(queue_of(docs, keep={"m_row": row}, **options), **plan)
     decided = decided.groupBy("m_id", "m_row").agg(F.max("copies").alias("m_copies")).filter("m_copies > 0")

@@ -21,12 +21,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm.common import durable, slices, texts_of, unused
+from deltaloom.llm.common import computed, durable, row_hash, slices, unused
 
 SEED, BITS, DISTANCE, FAN = 42, 64, 3, 16
 #: Codes in a group beyond which it is dealt again, and rows of one task.
@@ -56,17 +55,8 @@ def fingerprint(text: str) -> int:
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, ``code`` (the fingerprint's bits as a signed long) and the kept columns of each row; null text has no words."""
     own = [F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in keep]]
-    text = unused(docs, "m_text")
-    rows = docs.select(*own, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", code bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in batches:
-            texts = texts_of(pdf.column(text))
-            codes = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([*[pdf.column(i) for i in range(pdf.num_columns - 1)], pa.array(codes.view(np.int64))], [*pdf.schema.names[:-1], "code"])
-
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*own, F.col(f"`{text_col}`").alias(unused(docs, "m_text")))
+    return computed(rows, "code bigint", lambda texts: [(signed(fingerprint(t)),) for t in texts])
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -163,8 +153,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def deal(nodes: DataFrame, most: int = GROUP, levels: int = 3) -> DataFrame:
-    """Rows (code, mask): the groups to search, each being the codes equal under a mask."""
+def deal(nodes: DataFrame, most: int = GROUP, levels: int = 6) -> DataFrame:
+    """Rows (code, mask): the groups to search, each being the codes equal under a mask.
+
+    Every level takes a quarter of the bits that are free: after the sixth 12 are left, which at most 4,096 different codes share.
+    """
     masks = split_mask(0)
     rows = nodes.select("code", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
     done = []
@@ -176,8 +169,8 @@ def deal(nodes: DataFrame, most: int = GROUP, levels: int = 3) -> DataFrame:
         keyed = rows.withColumn("key", F.col("code").bitwiseAND(F.col("mask")))
         done.append(keyed.join(sizes, ["mask", "key"], "left_anti").select("code", "mask"))
         finer = F.create_map(*[x for m in masks for x in (F.lit(signed(m)), F.array(*[F.lit(signed(s)) for s in split_mask(m)]))])
-        rows = keyed.join(sizes, ["mask", "key"], "left_semi").select("code", F.explode(finer[F.col("mask")]).alias("mask"))
-        masks = [s for m in masks for s in split_mask(m)]
+        rows = keyed.join(sizes, ["mask", "key"], "left_semi").select("code", F.explode(finer[F.col("mask")]).alias("mask")).distinct()
+        masks = list(dict.fromkeys(s for m in masks for s in split_mask(m)))  # two masks may lead to the same finer one
     return reduce(DataFrame.unionByName, [*done, rows])
 
 
@@ -218,8 +211,8 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id", label_col: str
     is read several times and should be durable.
     """
     nodes = durable(coded.groupBy("code").agg(F.min(f"`{id_col}`").alias("m_least"), F.count(F.lit(1)).alias("m_rows")))
-    dealt = deal(nodes)
-    n = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 4 // TASK_ROWS)
+    dealt = durable(deal(nodes))
+    n = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // TASK_ROWS)
     dealt = dealt.repartition(n, "mask", F.col("code").bitwiseAND(F.col("mask")))
     labels = components(durable(dealt.mapInPandas(stars, "a bigint, b bigint").distinct()))
     linked = labels.join(nodes, labels["node"] == nodes["code"]).select("code", "label", "m_least")
@@ -227,7 +220,8 @@ def near_duplicates(coded: DataFrame, *, id_col: str = "doc_id", label_col: str
     named = linked.join(least, "label").select("code", "label", "component_id")
     label = [F.coalesce("label", "code").alias(label_col)] if label_col else []
     named = durable(nodes.join(named, "code", "left").select("code", F.coalesce("component_id", "m_least").alias("component_id"), *label, "m_rows"))
-    # a code with more than a thousandth of the rows would be one task's; there are under a thousand of them
+    # a code with more than a thousandth of the rows would be one task's; there are under a thousand of them. Of the others
+    # Spark's skew join splits large ones, as the other side has one row for each code
     few = (named.agg(F.sum("m_rows")).first()[0] or 0) // HEAVY
     heavy, light = (named.filter(c).drop("m_rows") for c in (F.col("m_rows") > few, F.col("m_rows") <= few))
     rows = coded.drop("component_id")
@@ -241,7 +235,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     Null ids come last. Rows equal in every column count once. Null text has no words, like empty text, and such rows are
     near-duplicates of each other. Columns stay, whatever their names; no rows give no rows.
     """
-    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), F.col(f"`{id_col}`").alias("id"), row_hash(docs).alias("row"))
     narrow = own.select(F.col("id").alias("m_id"), "row", F.col(f"d.`{text_col}`").alias("text"))
     found = near_duplicates(durable(fingerprints(narrow, id_col="m_id", keep=("row",))), id_col="m_id", label_col="m_label")
     first = F.struct(F.col("m_id").isNull().alias("null"), "m_id", F.col("row").alias("m_row"), "n")

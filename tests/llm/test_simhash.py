@@ -108,3 +108,24 @@ def test_dedup_keeps_a_row_of_each_component(spark):
     mixed = spark.createDataFrame([(None, texts[0]), (big, texts[1]), (big + 2, texts[2])], "doc_id bigint, text string").coalesce(1)
     assert {r["doc_id"] for r in D.fingerprints(mixed).collect()} == {None, big, big + 2}
     assert {r["doc_id"] for r in D.dedup(mixed).collect()} == {None, big, big + 2}
+
+
+def test_dedup_of_odd_ids_and_map_columns(spark):
+    texts = [f"words of text number {i} are " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(2**60 + 1, texts[0]), (2**60 + 3, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (1, texts[5]), (1, texts[0] + " more"), (1, texts[2]), (1, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "map('k', text, 'n', CAST(NULL AS STRING)) AS extra", "CAST(NULL AS STRING) AS a", "text AS b").coalesce(1)
+    kept = D.dedup(docs)
+    assert kept.columns == docs.columns
+    codes = [D.fingerprint(t) for _, t in rows]
+    want = len(set(slow_components(codes)))
+    got = kept.collect()
+    assert len(got) == want and {(r["doc_id"], r["text"]) for r in got} <= set(rows)
+    assert len({slow_components(codes)[rows.index((r["doc_id"], r["text"]))] for r in got}) == want
+
+
+def test_deal_ends_with_small_groups(spark, monkeypatch):
+    codes = [(0xABCD << 48) | i << 20 for i in range(3000)]  # alike in 37 bits
+    nodes = spark.createDataFrame([(D.signed(c),) for c in codes], "code bigint")
+    dealt = D.deal(nodes, most=40)
+    sizes = dealt.groupBy("mask", (dealt.code.bitwiseAND(dealt.mask)).alias("k")).count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 1 << 12
