@@ -4,13 +4,14 @@ Protected entities are the values that the base patterns find (emails, addresses
 discloses e, an entity's kind or its very value, if their pointwise mutual information over the corpus, PMI(t; e) = log p(t, e) / (p(t) p(e)), reaches ``ALPHA`` times the
 information of e itself, -log p(e). All three are shares of documents: those that hold the term and
 e, the term, and e; documents of equal text count once. In every document that holds e, each
-occurrence of a term that discloses e is sanitised as well. What stands in every document has no information and is disclosed by nothing.
-Base entities are generalised to their kind, disclosing terms are removed.
+occurrence of a term that discloses e is sanitised as well. An entity that more than half of the documents hold tells less than
+``LEAST_INFORMATION`` and is disclosed by nothing. Base entities are generalised to their kind, disclosing terms are removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -27,8 +28,8 @@ from deltaloom.llm.common import add_fields, durable, texts_of, unused
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Documents that a pair needs; share of -log p(e) that discloses.
-SUPPORT, ALPHA = 5, 0.7
-#: Terms that may travel with every task; more are joined instead.
+SUPPORT, ALPHA, LEAST_INFORMATION = 5, 0.7, math.log(2)
+#: Terms, or keys of repeated texts, that may travel with every task; more are joined or counted without them, to the same result.
 BROADCAST_TERMS = 200_000
 #: Terms that a task counts before it hands its counts on.
 TALLY = 300_000
@@ -147,72 +148,120 @@ def entities(text: str, spans: list[Span]) -> set[tuple[int, int]]:
     return hashed | {(k, ANY) for k, _ in hashed}
 
 
-def windows(text: str) -> Iterator[tuple[str, int, int]]:
-    """(term, kind, hash of the entity's value) of each term and each entity of a text; "" is the entity alone."""
-    spans = base_spans(text)
-    words = lettered(terms_in(text, spans)) if spans else []
-    yield from ((term, kind, value) for kind, value in entities(text, spans) if value != ANY for term in ["", *words])
+TALLIES = "term string, kind int, m_key bigint, n bigint"
+
+
+def tallies(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of ``TALLIES``; m_key is null where a task has added documents up."""
+    return pd.DataFrame(rows, columns=["term", "kind", "m_key", "n"]).astype({"m_key": "Int64"})
 
 
 def disclosing(docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """(term, kind, value) that disclose, from all documents: a kind (value ANY), or one entity by the hash of its value.
 
-    Null texts hold nothing; no documents give no rows. Values in fewer than ``support`` documents cannot be disclosed
-    as such; the terms of documents with other ones are joined to them, their number being the document's terms
-    times its values.
+    Null texts hold nothing; no documents give no rows; documents of equal text (by 64 bits of its hash) count once. Values
+    in fewer than ``support`` documents cannot be disclosed as such.
+
+    Only terms that stand beside an entity in ``support`` documents can disclose one, so the documents with entities are
+    counted first, and of all the others only how many hold one of these terms. Of texts that stand there several
+    times each (document, term) is sent and counted once; all others are added up within their task.
     """
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text")).withColumn("m_key", F.xxhash64("m_text"))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text"))
+    held_in, held = _holders(texts)
+    sizes = durable(held.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support))
+    pairs = durable(_pairs(held_in, held, sizes.filter(F.col("value") != ANY).select("kind", "value"), support))
+    keys = durable(texts.groupBy(F.xxhash64("m_text").alias("m_key")).agg(F.count("*").alias("n_copies")))
+    total = float(max(1, keys.count()))
+    terms = _documents_of(texts, pairs.select("term").distinct(), keys.filter("n_copies > 1").select("m_key"))
+    both = pairs.join(terms, "term").join(sizes, ["kind", "value"])
+    information = -F.log(F.col("n_entity") / total)
+    pmi = F.log(F.col("n_pair") / total) - F.log(F.col("n_term") / total) + information
+    return durable(both.filter((pmi >= alpha * information) & (information >= LEAST_INFORMATION)).select("term", "kind", "value"))
+
+
+def _holders(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different texts with entities (m_text, m_key), and what each holds (m_key, kind, value)."""
+
+    def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[("@" in t or DIGIT.search(t) is not None) and bool(base_spans(t)) for t in pdf["m_text"]]]
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = {(k, *e) for k, t in zip(pdf["m_key"], pdf["m_text"], strict=True) if "@" in t or DIGIT.search(t) for e in entities(t, base_spans(t))}
-            yield pd.DataFrame(list(rows), columns=["m_key", "kind", "value"])
+            rows = [(k, *e) for k, t in zip(pdf["m_key"], pdf["m_text"], strict=True) for e in entities(t, base_spans(t))]
+            yield pd.DataFrame(rows, columns=["m_key", "kind", "value"])
 
-    held = durable(texts.mapInPandas(hold, "m_key bigint, kind int, value bigint").distinct())
-    sizes = durable(held.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support))
-    values = sizes.filter(F.col("value") != ANY).select("kind", "value")
+    held_in = durable(texts.mapInPandas(holding, "m_text string").distinct().withColumn("m_key", F.xxhash64("m_text")))
+    return held_in, durable(held_in.mapInPandas(hold, "m_key bigint, kind int, value bigint"))
+
+
+def _pairs(held_in: DataFrame, held: DataFrame, values: DataFrame, support: int) -> DataFrame:
+    """(term, kind, value, n_pair): documents that hold a term and an entity, where they are ``support`` at least."""
     few = values.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     # without it, terms of all documents with entities are sent to the join
-    often = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]) for r in values.collect()}) if few else None
+    often = held.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]) for r in values.collect()}) if few else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: list[dict[bytes, int]] = [{} for _ in range(len(KINDS) + 1)]  # the last of all documents
-        columns = ["term", "kind", "m_key", "n"]
+        of_kind: list[dict[bytes, int]] = [{} for _ in KINDS]
 
         def tally() -> pd.DataFrame:
-            rows = [(w, k if k < len(KINDS) else NONE, None, own[x]) for k, own in enumerate(total) for x in own for w in lettered([x])]
-            return pd.DataFrame(rows, columns=columns).astype({"m_key": "Int64"})
+            return tallies([(w, k, None, own[x]) for k, own in enumerate(of_kind) for x in own for w in lettered([x])])
 
-        n = 0
         for pdf in batches:
             for key, t in zip(pdf["m_key"], pdf["m_text"], strict=True):
-                n += 1
-                spans = base_spans(t) if "@" in t or DIGIT.search(t) else []
+                spans = base_spans(t)
                 terms = terms_in(t, spans)
-                for own in [total[-1], *[total[k] for k in {s.kind for s in spans}]]:
+                for own in (of_kind[k] for k in {s.kind for s in spans}):
                     for w in terms:
                         own[w] = own.get(w, 0) + 1
-                if spans and (often is None or not often.value.isdisjoint(entities(t, spans))):
-                    yield pd.DataFrame({"term": lettered(terms), "kind": NONE, "m_key": key, "n": 1}).astype({"m_key": "Int64"})
-            if sum(map(len, total)) > TALLY:
+                if often is None or not often.value.isdisjoint(entities(t, spans)):
+                    yield tallies([(w, NONE, key, 1) for w in lettered(terms)])
+            if sum(map(len, of_kind)) > TALLY:
                 yield tally()
-                total = [{} for _ in total]
+                of_kind = [{} for _ in KINDS]
         yield tally()
-        yield pd.DataFrame([("", NONE, None, n)], columns=columns).astype({"m_key": "Int64"})
-
-    counts = texts.select("m_text").distinct().withColumn("m_key", F.xxhash64("m_text")).mapInPandas(count, "term string, kind int, m_key bigint, n bigint")
-    counts = counts.groupBy("term", "kind", "m_key").agg(F.sum("n").alias("n"))
-    counts = durable(counts.filter((F.col("n") >= support) | F.col("m_key").isNotNull() | (F.col("term") == "")))
-    total = float(counts.filter("term = ''").agg(F.sum("n")).first()[0] or 1)
-    sums = counts.filter("m_key IS NULL AND term <> ''")
-    terms = sums.filter(F.col("kind") == NONE).select("term", F.col("n").alias("n_term"))
-    of_kinds = sums.filter(F.col("kind") != NONE).select("term", "kind", F.lit(ANY).cast("bigint").alias("value"), F.col("n").alias("n_pair"))
+
+    counts = durable(held_in.mapInPandas(count, TALLIES).groupBy("term", "kind", "m_key").agg(F.sum("n").alias("n")).filter((F.col("n") >= support) | F.col("m_key").isNotNull()))
+    of_kinds = counts.filter("m_key IS NULL").select("term", "kind", F.lit(ANY).cast("bigint").alias("value"), F.col("n").alias("n_pair"))
     beside = counts.filter("m_key IS NOT NULL").select("m_key", "term").join(held.join(values, ["kind", "value"], "left_semi"), "m_key")
     of_values = beside.groupBy("term", "kind", "value").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
-    pairs = of_kinds.unionByName(of_values).join(terms, "term").join(sizes, ["kind", "value"])
-    information = -F.log(F.col("n_entity") / total)
-    pmi = F.log(F.col("n_pair") / total) - F.log(F.col("n_term") / total) + information
-    return durable(pairs.filter((pmi >= alpha * information) & (information > 0)).select("term", "kind", "value"))
+    return of_kinds.unionByName(of_values)
+
+
+def _documents_of(texts: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(term, n_term): in how many different texts each of ``terms`` stands; ``repeated`` has the keys of texts that stand there several times."""
+    spark = texts.sparkSession
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    asked = spark.sparkContext.broadcast(frozenset(r["term"].encode() for r in terms.collect())) if few else None
+    keyed = texts.withColumn("m_key", F.xxhash64("m_text"))
+    if repeated.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        keyed = keyed.join(F.broadcast(repeated.withColumn("m_again", F.lit(True))), "m_key", "left")
+    else:  # every text may be one of several
+        keyed = keyed.withColumn("m_again", F.lit(True))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[bytes, int] = {}
+
+        def tally() -> pd.DataFrame:
+            return tallies([(w, NONE, None, total[x]) for x in total for w in lettered([x])])
+
+        for pdf in batches:
+            for key, t, again in zip(pdf["m_key"], pdf["m_text"], pdf["m_again"].notna(), strict=True):
+                found = terms_in(t, base_spans(t) if "@" in t or DIGIT.search(t) else [])
+                found = found if asked is None else found & asked.value
+                if again:
+                    yield tallies([(w, NONE, key, 1) for w in lettered(found)])
+                    continue
+                for w in found:
+                    total[w] = total.get(w, 0) + 1
+            if len(total) > TALLY:
+                yield tally()
+                total = {}
+        yield tally()
+
+    each = keyed.mapInPandas(count, TALLIES).groupBy("term", "m_key").agg(F.sum("n").alias("n"))  # combined in each task, so copies send a row a task
+    counted = each.groupBy("term").agg(F.sum(F.when(F.col("m_key").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+    return counted.join(terms, "term", "left_semi")
 
 
 def term_spans(text: str, spans: list[Span], terms: Terms) -> list[Span]:
@@ -283,7 +332,7 @@ def find(docs: DataFrame, terms: DataFrame, *, text_col: str = "text", sanitised
 
 def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str, names: list[str], rows_of) -> DataFrame:
     """``find`` where the terms are too many to travel: equal texts share the pairs of their terms and entities."""
-    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.length(f"`{text_col}`"))
+    key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -293,7 +342,7 @@ def _find_joined(docs: DataFrame, terms: DataFrame, text_col: str, schema: str,
                     rows = [(k, None, *e) for e in entities(t, spans)] + [(k, w, NONE, ANY) for w in lettered(terms_in(t, spans))]
                     yield pd.DataFrame(rows, columns=["m_key", "term", "kind", "value"])
 
-    both = docs.select(key.alias("m_key"), F.col(f"`{text_col}`").alias("m_text")).mapInPandas(parts, "m_key bigint, term string, kind int, value bigint")
+    both = docs.select(key.alias("m_key"), F.col(f"`{text_col}`").alias("m_text")).mapInPandas(parts, "m_key string, term string, kind int, value bigint")
     both = durable(both.distinct())
     held = both.filter("term IS NULL").drop("term")
     words = both.filter("term IS NOT NULL").select("m_key", "term").join(held.join(terms.select("kind", "value").distinct(), ["kind", "value"], "left_semi"), "m_key")
