@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,14 +24,17 @@ from deltaloom.llm.chain import Crf, viterbi
 from deltaloom.llm.common import add_fields, slices, texts_of
 from deltaloom.llm.html_pages import labelled_pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+#: Comments, declarations and tags. A tag with a quote that is never closed ends at its first ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-main|hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 BLOCKS = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article nav header footer aside main form fieldset legend blockquote pre figure figcaption "
     "address details summary select option button dialog hr center menu".split()
 )
-#: Elements whose text is no page text, up to their end tag.
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas xmp noembed noframes".split())
+#: Elements whose text is no page text, up to their end tag: noscript is part of a page's scripts. What math, svg, object and canvas hold is text like any other.
+RAW = frozenset("script noscript style title textarea template iframe noembed noframes".split())
+#: Elements whose text is shown as it stands, up to their end tag.
+VERBATIM = frozenset(["xmp", "listing"])
 VOID = frozenset("hr br img input meta link wbr area base col embed source track".split())
 #: A start tag of the key closes the nearest open element of the values, within the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -37,12 +42,50 @@ WORDS = re.compile(r"[a-z]+")
 NOTICES = re.compile(r"©|copyright|all rights reserved|cookie|subscri|newsletter|advertis|sponsor|privacy|terms of|log ?in|sign ?up|\breply\b|\bcomments?\b|\bshare\b|posted by", re.I)
 
 
+class Place:
+    """An open block element. Features of its ancestors are held once for all that share them, so depth costs nothing."""
+
+    __slots__ = ("tag", "parent", "held", "inner", "label", "_features")
+
+    def __init__(self, tag: str, names: tuple[str, ...], label: int | None, parent: Place | None, known: Collection[str] | None):
+        own = {f"name={x}" for x in names if len(x) > 1} | ({f"under={tag}"} - {"under=html", "under=body", "under=p"})
+        if known is not None:
+            own &= known
+        above = parent.held if parent else frozenset()
+        self.tag, self.parent, self.held = tag, parent, above if own <= above else above | own
+        # the element right below the innermost article or main; None outside of these
+        self.inner = "" if tag in FRAMES else None if parent is None or parent.inner is None else parent.inner or tag
+        self.label = label if label is not None else parent.label if parent else 0
+        self._features: tuple[str, ...] | None = None
+
+    def features(self) -> tuple[str, ...]:
+        if self._features is None:
+            own = {f"leaf={self.tag}", f"parent={self.parent.tag if self.parent else 'none'}"}
+            if self.inner is not None:
+                own |= {"framed", f"in-article={self.inner}"}
+            self._features = tuple(sorted(self.held | own))
+        return self._features
+
+
+FRAMES = ("article", "main")
+OUTSIDE = ("leaf=none", "parent=none")
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # open block elements with their names, the outermost first
+    place: Place | None  # the innermost open block element
     linked: int  # characters within links
-    label: int  # of training pages
+
+    @property
+    def label(self) -> int:
+        """Of training pages."""
+        return self.place.label if self.place else 0
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Features that the block has from its ancestors."""
+        return self.place.features() if self.place else OUTSIDE
 
 
 def names_of(attributes: str) -> tuple[tuple[str, ...], int | None]:
@@ -62,11 +105,14 @@ def names_of(attributes: str) -> tuple[tuple[str, ...], int | None]:
 names_of = lru_cache(maxsize=65536)(names_of)
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page that have text. Unclosed and misnested elements are tolerated; an unclosed comment or raw element lasts to the end."""
+def blocks_of(page: str, known: Collection[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page that have text, with those features of their ancestors that are ``known`` (None: all).
+
+    Unclosed and misnested elements are tolerated, at any depth; an unclosed comment or raw element lasts to the end.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    labels: list[int] = []
+    stack: list[Place] = []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = link = at = 0
     n = len(page)
@@ -76,30 +122,43 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text)), labels[-1] if labels else 0))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def take(raw: str) -> None:
         nonlocal linked
         if raw:
-            text = html.unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            linked += len(text) if link else 0
+            pieces.append(raw)
+            linked += len(raw) if link else 0
+
+    def close(tags: Collection[str], bounds: Collection[str] = ()) -> None:
+        """Close the nearest open element of ``tags`` with all that it holds, unless one of ``bounds`` is nearer."""
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag in bounds:
+                    return
+                if stack[i].tag in tags:
+                    for x in stack[i:]:
+                        opened[x.tag] -= 1
+                    del stack[i:]
+                    return
 
     while at < n:
         m = TOKEN.search(page, at)
+        raw = page[at:] if m is None else page[at : m.start()]
+        take(html.unescape(raw) if "&" in raw else raw)
         if m is None:
-            take(page[at:])
             break
-        take(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW:
-            if not closing and not m[3].endswith("/"):
+        if tag in RAW or tag in VERBATIM:
+            if not closing and not (tag in RAW and m[3].endswith("/")):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+                if tag in VERBATIM:
+                    take(page[at : end.start() if end else n])
                 at = end.end() if end else n
         elif tag == "br":
             pieces.append(" ")
@@ -108,44 +167,20 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCKS:
             end_block()
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:], labels[i:]
-                        break
+                close((tag,))
                 continue
-            if stack and stack[-1][0] == "p":
-                stack.pop(), labels.pop()
+            if stack and stack[-1].tag == "p":
+                close(("p",))
             if tag in CLOSES:
-                ends, bounds = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in bounds:
-                        break
-                    if stack[i][0] in ends:
-                        del stack[i:], labels[i:]
-                        break
-            if tag not in VOID and len(stack) < 256:
+                close(*CLOSES[tag])
+            if tag not in VOID:
                 names, label = names_of(m[3])
-                stack.append((tag, names))
-                labels.append(labels[-1] if label is None and labels else label or 0)
+                stack.append(Place(tag, names, label, stack[-1] if stack else None, known))
+                opened[tag] += 1
     end_block()
     return out
 
 
-@lru_cache(maxsize=65536)
-def path_features(path: tuple) -> tuple[str, ...]:
-    """Features that a block has from its ancestors."""
-    tags = [t for t, _ in path]
-    out = {f"under={t}" for t in tags if t not in ("html", "body", "p")}
-    out |= {f"name={x}" for _, names in path for x in names if len(x) > 1}
-    out.add("leaf=" + (tags[-1] if tags else "none"))
-    out.add("parent=" + (tags[-2] if len(tags) > 1 else "none"))
-    if any(t in ("article", "main") for t in tags):
-        inner = max(i for i, t in enumerate(tags) if t in ("article", "main"))
-        out.add("framed")
-        out.add("in-article=" + "/".join(tags[inner + 1 : inner + 2]))
-    return tuple(sorted(out))
-
-
 def text_features(b: Block, i: int, n: int) -> list[str]:
     size, words = len(b.text), b.text.count(" ") + 1
     share = b.linked / size
@@ -165,20 +200,21 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
 class Model:
     crf: Crf
     names: dict[str, int]
-    WIDTH = 40
 
-    def rows(self, blocks: list[Block]) -> list[list[int]]:
-        get, n, out = self.names.get, len(blocks), []
-        for i, b in enumerate(blocks):
-            known = [k for f in (*path_features(b.path), *text_features(b, i, n)) if (k := get(f))][: self.WIDTH]
-            out.append(known + [0] * (self.WIDTH - len(known)))
-        return out
+    def blocks(self, page: str) -> list[Block]:
+        return blocks_of(page, self.names.keys())
+
+    def rows(self, pages: list[list[Block]]) -> np.ndarray:
+        """Numbers of the known features of every block, padded to the longest row by 0."""
+        get = self.names.get
+        out = [[k for f in (*b.path, *text_features(b, i, len(blocks))) if (k := get(f))] for blocks in pages for i, b in enumerate(blocks)]
+        width = max(map(len, out), default=0)
+        return np.array([r + [0] * (width - len(r)) for r in out], np.int64).reshape(len(out), width)
 
     def main_blocks(self, pages: list[list[Block]]) -> np.ndarray:
         """Whether each block of all pages, in order, belongs to its page's article."""
         lengths = np.array([len(p) for p in pages], np.int64)
-        rows = np.array([r for p in pages for r in self.rows(p)], np.int64).reshape(-1, self.WIDTH)
-        return viterbi(self.crf.scores(rows), lengths, self.crf.trans) == 1
+        return viterbi(self.crf.scores(self.rows(pages)), lengths, self.crf.trans) == 1
 
     @classmethod
     def fit(cls, pages: list[str]) -> Model:
@@ -187,12 +223,11 @@ class Model:
         seen: dict[str, int] = {}
         for blocks in parsed:
             for i, b in enumerate(blocks):
-                for f in (*path_features(b.path), *text_features(b, i, len(blocks))):
+                for f in (*b.path, *text_features(b, i, len(blocks))):
                     seen[f] = seen.get(f, 0) + 1
         model = cls(Crf(np.zeros(1), np.zeros((2, 2))), {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= 5), 1)})
-        rows = np.array([r for p in parsed for r in model.rows(p)], np.int64).reshape(-1, cls.WIDTH)
         labels = np.array([b.label for p in parsed for b in p], np.int64)
-        model.crf = Crf.fit(rows, labels, np.array([len(p) for p in parsed]), len(model.names) + 1, rounds=80)
+        model.crf = Crf.fit(model.rows(parsed), labels, np.array([len(p) for p in parsed]), len(model.names) + 1, rounds=80)
         return model
 
 
@@ -217,7 +252,7 @@ def extract(pages: DataFrame, model: Model | None = None, *, html_col: str = "ht
     def main_text(column: pd.Series) -> pd.DataFrame:
         m, sources, out = shared.value, texts_of(column), []
         for part in slices(map(len, sources)):
-            parsed = [blocks_of(p) for p in sources[part]]
+            parsed = [m.blocks(p) for p in sources[part]]
             keep, at = m.main_blocks(parsed), 0
             for blocks in parsed:
                 text = "\n\n".join(b.text for b, k in zip(blocks, keep[at : at + len(blocks)], strict=True) if k)

@@ -21,7 +21,7 @@ NAMES = {
     "main": ("article", "content", "post", "entry", "entry-content", "post-body", "story", "main", "article-body", "text"),
 }
 PHRASES = {
-    "footer": ("© 2024 {}", "&copy; {}", "All rights reserved.", "Privacy policy", "Terms of use", "Copyright {}"),
+    "footer": ("{}", "{}", "All rights reserved.", "Privacy policy", "Terms of use", "Contact", "About {}"),
     "notice": ("We use cookies. {}", "Accept", "Subscribe to our newsletter", "{}", "This site uses cookies {}"),
     "ad": ("Advertisement", "Sponsored", "{}", "{}", "Buy now {}"),
     "comments": ("{} says:", "Reply", "{}", "{}", "Posted by {}", "3 comments"),
@@ -92,7 +92,7 @@ class Writer:
             body += " " + self.link(2) + " " + self.text(6)
         kind = r.random()
         if kind < 0.7:
-            return r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p><b>{}<br>", "<div>{}</div>")).format(body)
+            return r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><em>{}</em></p>", "<p><span>{}</span>", "<div>{}</div>")).format(body)
         if kind < 0.8:
             return f"<h{(k := r.randint(2, 4))}>{self.text(r.randint(1, 8))}</h{k}>"
         if kind < 0.9:

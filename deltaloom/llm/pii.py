@@ -31,8 +31,8 @@ TERM = "term"
 SUPPORT, ALPHA, LEAST_INFORMATION = 5, 0.7, math.log(2)
 #: Terms, or keys of repeated texts, that may travel with every task; more are joined or counted without them, to the same result.
 BROADCAST_TERMS = 200_000
-#: Terms that a task counts before it hands its counts on.
-TALLY = 300_000
+#: Terms that a task counts, and (document, term) rows that it gathers, before it hands them on.
+TALLY, SENT = 300_000, 50_000
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 EDGE_BYTES = EDGE.encode()
 
@@ -245,18 +245,23 @@ def _documents_of(texts: DataFrame, terms: DataFrame, repeated: DataFrame) -> Da
         def tally() -> pd.DataFrame:
             return tallies([(w, NONE, None, total[x]) for x in total for w in lettered([x])])
 
+        sent: list[tuple] = []
         for pdf in batches:
             for key, t, again in zip(pdf["m_key"], pdf["m_text"], pdf["m_again"].notna(), strict=True):
                 found = terms_in(t, base_spans(t) if "@" in t or DIGIT.search(t) else [])
                 found = found if asked is None else found & asked.value
                 if again:
-                    yield tallies([(w, NONE, key, 1) for w in lettered(found)])
+                    sent += [(w, NONE, key, 1) for w in (lettered(found) if asked is None else map(bytes.decode, found))]
+                    if len(sent) > SENT:
+                        yield tallies(sent)
+                        sent = []
                     continue
                 for w in found:
                     total[w] = total.get(w, 0) + 1
             if len(total) > TALLY:
                 yield tally()
                 total = {}
+        yield tallies(sent)
         yield tally()
 
     each = keyed.mapInPandas(count, TALLIES).groupBy("term", "m_key").agg(F.sum("n").alias("n"))  # combined in each task, so copies send a row a task

@@ -1,11 +1,13 @@
 """HTML extraction against what an independent parser finds in the articles, and on odd markup."""
 
+import random
 from html.parser import HTMLParser
 
 import pyarrow.parquet as pq
 import pytest
 
 from deltaloom.llm import html_crf as H
+from deltaloom.llm.html_pages import NAMES
 
 PAGES = "/root/testdata/sf0.01/pages.parquet"
 BLOCK = {"p", "h1", "h2", "h3", "li", "ul", "div", "article", "td", "tr", "table", "blockquote", "pre", "body", "html", "nav", "footer"}
@@ -61,7 +63,7 @@ def test_whole_table_of_pages(spark):
 
 def extract(*pages: str) -> list[str]:
     model = H.default_model()
-    parsed = [H.blocks_of(p) for p in pages]
+    parsed = [model.blocks(p) for p in pages]
     keep, out, at = model.main_blocks(parsed), [], 0
     for blocks in parsed:
         out.append("\n\n".join(b.text for b, k in zip(blocks, keep[at : at + len(blocks)], strict=True) if k))
@@ -106,3 +108,52 @@ def test_odd_markup_does_not_raise(spark):
 def test_very_long_page():
     page = "<article>" + "<p>word one two three four five six seven eight.</p>" * 20_000 + "</article>"
     assert extract(page)[0].count("\n\n") == 19_999
+
+
+def all_text(page: str) -> list[str]:
+    return [b.text for b in H.blocks_of(page)]
+
+
+def test_depth_has_no_cap():
+    for depth in (10, 300, 1000, 20_000):
+        page = f"<nav><a href='/'>Home</a></nav><article><h1>A title</h1>{'<div>' * depth}{BODY}{'</div>' * depth}{BODY * 2}</article><footer>All rights reserved.</footer>"
+        text = BODY[3:-4]
+        assert extract(page) == ["\n\n".join(["A title", text, text, text])]
+    many = "".join(f"<div class='n{i}'>word {i} " for i in range(20_000)) + "</section>" * 20_000
+    blocks = H.default_model().blocks("<article>" + many + "</article>")
+    assert len(blocks) == 20_000 and "under=article" in blocks[-1].path
+
+
+def test_every_feature_counts():
+    names = " ".join(n for kind in ("main", "menu", "side", "ad", "footer", "comments") for n in NAMES[kind])
+    m = H.default_model()
+    [rows] = m.rows([m.blocks(f"<div class='{names}'><section id='x'><p>Some text.</p></section></div>")])
+    assert (rows > 0).sum() > 40
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>Energy is <math><mi>E</mi></math> as known</p>", ["Energy is E as known"]),
+        ("<p>a <svg><text>b</text></svg> <object>c</object><noscript>d</noscript></p>", ["a b c"]),
+        ("<p>code: <xmp><b>x</b> &amp;</xmp> end</p>", ["code: <b>x</b> &amp; end"]),
+        ('<p title="abc>First text</p><p>Second</p>', ["First text", "Second"]),
+        ("<p>It's <b title='x>bold</b> here</p>", ["It's bold here"]),
+        ('<p title="a > b">Text</p>', ["Text"]),
+        ("<p>one <i>two</i><template>no</template><iframe>no</iframe></p>", ["one two"]),
+        ("<p>a < b and c > d</p>", ["a < b and c > d"]),
+    ],
+)
+def test_text_and_markup(page, text):
+    assert all_text(page) == text
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_blocks_of_broken_markup_are_those_of_a_parser(seed):
+    r = random.Random(seed)
+    tags = ["p", "div", "li", "ul", "b", "i", "span", "h2", "td", "tr", "table", "blockquote", "br"]
+    parts = []
+    for _ in range(200):
+        parts.append(r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", f"<{r.choice(tags)} class='a b' title=\"x > y\">", "word ", "two words ", "caf&eacute; ", "\n", "<!-- no -->"]))
+    page = "".join(parts).replace("</br>", "")
+    assert "\n\n".join(all_text(page)) == by_parser(f"<article>{page}")
