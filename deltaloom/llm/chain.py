@@ -153,7 +153,7 @@ class Crf:
         return np.c_[np.zeros(len(features)), w[features].sum(1) + bias]
 
     @classmethod
-    def fit(cls, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features: int, *, rounds: int = 60, rate: float = 0.15, decay: float = 1e-5, weight: np.ndarray | None = None) -> Crf:
+    def fit(cls, features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features: int, *, rounds: int = 60, rate: float = 0.15, decay: float = 1e-5) -> Crf:
         """Maximum conditional likelihood by Adam with an L2 penalty; deterministic."""
         lengths = np.asarray(lengths, np.int64)
         crf = cls(np.zeros(n_features), np.zeros((2, 2)))

@@ -26,3 +26,12 @@ def draw(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
         return rows
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(GRAIN, -(-most * GRAIN // max(1, n)))))])
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(GRAIN)) < share[F.col(label)])
+
+
+def within_chars(rows: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
+    """Those of a few drawn rows, by a hash of ``key``, whose texts come to about ``most`` characters for each value of ``label``."""
+    sizes = {r[0]: r[1] or 0 for r in rows.groupBy(label).agg(F.sum(F.length(text))).collect()}
+    if not sizes:
+        return rows
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(GRAIN, -(-most * GRAIN // max(1, n)))))])
+    return rows.filter(F.pmod(F.xxhash64(F.lit("characters"), F.col(key)), F.lit(GRAIN)) < share[F.col(label)])

@@ -1,6 +1,8 @@
 """Language ID, quality ratios and toxicity: against slow versions, on held-out rows, and on odd rows."""
 
+import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 
 from deltaloom.llm import langid, quality_llr, samples, toxicity
+from deltaloom.llm.chain import Crf
 from deltaloom.llm.grams import Bytes
 
 SF = "/root/testdata/sf0.01"
@@ -219,6 +222,56 @@ def test_offending_offsets(spark):
     assert toxicity.Model.fit(rows[:40]).documents(np.array([3]), np.array([0.5, 0.5, 0.5])).tolist() == [0.0]
 
 
+def slow_probabilities(m: toxicity.Model, text: str) -> list[float]:
+    """Of each token, by enumerating all labellings."""
+    words = text.lower().split()
+    scores = []
+    for i, w in enumerate(words):
+        own = toxicity.numbers_of(w)
+        found = [k for k in own[: toxicity.WIDTH] if k]
+        found += [toxicity.numbers_of(words[i - 1])[-2]] if i else []
+        found += [toxicity.numbers_of(words[i + 1])[-1]] if i + 1 < len(words) else []
+        scores.append(m.crf.weights[0] + sum(m.crf.weights[k] for k in found))
+    total, toxic = 0.0, np.zeros(len(words))
+    for path in itertools.product((0, 1), repeat=len(words)):
+        p = math.exp(sum(s * y for s, y in zip(scores, path, strict=True)) + sum(m.crf.trans[a, b] for a, b in itertools.pairwise(path)))
+        total += p
+        toxic += p * np.array(path)
+    return (toxic / total).tolist()
+
+
+def toxic_rows() -> list[tuple[str, int]]:
+    """Clean texts, and toxic ones: some with a frequent insult, some with one that stands there once, always after the same word."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    plain = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(f"{plain(12)} quite {r.choice(words)} {plain(6)} utter", 0) for _ in range(200)]
+    rows += [(f"{plain(8)} utter numskull {plain(6)}", 1) for _ in range(120)]
+    return rows + [(f"{plain(8)} utter {w} {plain(6)}", 1) for w in (f"zq{i:03}xyv" for i in range(10))]
+
+
+def test_toxic_tokens_outside_of_the_list_are_found(spark):
+    rows = toxic_rows()
+    listed = toxicity.telling([(toxicity.words_of(t), y) for t, y in rows])
+    assert "=numskull" in listed and listed.isdisjoint(toxicity.features_of("wvuts"))
+    m = toxicity.Model.fit(rows)
+    text = "abc utter wvuts def"  # never seen, known by its neighbour alone
+    t = toxicity.Tokens.of([toxicity.words_of(text)])
+    got = m.toxic(t)
+    assert np.allclose(got, slow_probabilities(m, text)) and got[2] > 0.5 > max(got[0], got[3])
+    clean = toxicity.Tokens.of([toxicity.words_of("abc quite wvuts def")])
+    assert m.toxic(clean).max() < 0.5
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_token_probabilities_are_those_of_all_labellings(seed):
+    r = random.Random(seed)
+    m = toxicity.Model(Crf(np.random.default_rng(seed).normal(size=toxicity.BUCKETS + 1), np.random.default_rng(seed + 9).normal(size=(2, 2))))
+    texts = [" ".join(r.choice(["Ab", "abcdefgh,", "!!", "é", "numskull"]) for _ in range(n)) for n in (7, 0, 1, 5)]
+    got = m.toxic(toxicity.Tokens.of([toxicity.words_of(t) for t in texts]))
+    assert np.allclose(got, [p for t in texts if t for p in slow_probabilities(m, t)])
+
+
 def test_toxicity_of_odd_rows(spark, docs, labels):
     m = toxicity.train(docs, labels)
     got = toxicity.score(odd(spark, "score predicted spans m_got"), m, spans=True).collect()
