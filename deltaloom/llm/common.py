@@ -32,6 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(sizes: Iterable[int], most: int = SLICE_CHARS) -> Iterator[slice]:
     """Consecutive slices of about ``most`` characters each; a longer text gets a slice of its own."""
     start = total = n = 0

@@ -7,7 +7,8 @@ queue in a fixed pseudo-random order; copy ``e`` of a document finishes at the v
 sources are then range-sorted by finish time and the queue is cut where the running total
 reaches the budget.
 
-Both running totals are two-level sums, so that neither a hot source nor the global order
+Rows that are equal in all that the queue knows of them (id, text, source) are one row with a count, so that thousands of
+copies cost a row for each task. Both running totals are two-level sums, so that neither a hot source nor the global order
 lands in one task: rows are dealt into ranges of the order (hash ranges in a source, ranges
 of virtual time globally), ranges are summed first, and only the range that holds the cut
 is sorted row by row.
@@ -31,9 +32,9 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def shuffle_key(key: Column, seed: str) -> Column:
-    """60 pseudo-random bits of ``key``, the same in every run and engine."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))))
+def shuffle_key(key: Column, text: Column, seed: str) -> Column:
+    """60 pseudo-random bits of a row's id and text, the same in every run and engine; rows of the same (or no) id differ by their texts."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -74,14 +75,24 @@ def plan_mix(queue: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: f
     ``queue`` has m_id, m_source (null is a source of its own, last in order), size (tokens,
     not null), m_hash (60 bits that order the queue) and any other narrow columns, all
     kept. Adds source_size, target (double) and copies (0 to ``max_repeats``).
-    Ties in time fall to source order, copy, hash and id; rows equal in all of these are
-    interchangeable and are cut together. A source without tokens has target 0 and its
+    Ties in time fall to source order, copy, hash and id; rows equal in all columns of the queue are
+    interchangeable and are taken or left together. A source without tokens has target 0 and its
     documents, of size 0, are taken. An empty queue gives an empty result.
     """
+    decided = _decide(queue, weights, share, max_repeats)
+    if decided.filter("m_equal > 1").isEmpty():
+        return decided.drop("m_equal")
+    on = F.expr(" AND ".join(f"q.`{c}` <=> d.`{c}`" for c in queue.columns))
+    return queue.alias("q").join(decided.alias("d"), on).select("q.*", "d.source_size", "d.target", "d.copies")
+
+
+def _decide(queue: DataFrame, weights: tuple[int, ...], share: float, max_repeats: int) -> DataFrame:
+    """``plan_mix`` with one row for rows that are equal, and their number as m_equal."""
     if not 0 <= share <= max_repeats:
         raise ValueError("share must lie between 0 and max_repeats")
+    queue = queue.groupBy(*queue.columns).agg(F.count("*").alias("m_equal")).withColumn("m_words", F.col("size") * F.col("m_equal"))
     by_range = F.shiftright("m_hash", 60 - HASH_RANGES.bit_length() + 1).alias("m_range")
-    ranges = queue.groupBy("m_source", by_range).agg(F.sum("size").alias("m_sum"))
+    ranges = queue.groupBy("m_source", by_range).agg(F.sum("m_words").alias("m_sum"))
     ranges = durable(ranges)
     aims = targets(ranges.groupBy("m_source").agg(F.sum("m_sum").alias("source_size")), weights, share, max_repeats)
     before = Window.partitionBy("m_source").orderBy("m_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,13 +102,13 @@ def plan_mix(queue: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: f
     rows = queue.select("*", by_range).alias("q")
     rows = rows.join(starts.alias("s"), F.expr("q.m_source <=> s.m_source AND q.m_range = s.m_range")).select("q.*", "s.m_start", "s.source_size", "s.m_at", "s.target")
     upto = Window.partitionBy("m_source", "m_range").orderBy("m_hash", "m_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = durable(rows.withColumn("m_queued", F.col("m_start") + F.sum("size").over(upto)).drop("m_start", "m_range"))
+    rows = durable(rows.withColumn("m_queued", F.col("m_start") + F.sum("m_words").over(upto)).drop("m_start", "m_range"))
 
     def key(e: Column) -> Column:
         finish = F.when(F.col("target") > 0, (e * F.col("source_size") + F.col("m_queued")).cast("double") / F.col("target")).otherwise(F.lit(0.0))
         return F.struct(finish.alias("finish"), F.col("m_at").alias("at"), e.cast("int").alias("e"), F.col("m_hash").alias("h"), F.col("m_id").alias("id"))
 
-    copies = rows.select("size", F.explode(F.array(*[key(F.lit(e)) for e in range(max_repeats)])).alias("k"))
+    copies = rows.select(F.col("m_words").alias("size"), F.explode(F.array(*[key(F.lit(e)) for e in range(max_repeats)])).alias("k"))
     copies = copies.withColumn("slot", F.least(F.floor(F.col("k.finish") * TIME_RANGES), F.lit(LAST_RANGE)))
     slots = copies.groupBy("slot").agg(F.sum("size").alias("s"))
     order = Window.partitionBy().orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
@@ -115,12 +126,12 @@ def plan_mix(queue: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: f
         else:
             at = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["at"]).alias("at"), F.lit(last["e"]).alias("e"), F.lit(last["h"]).alias("h"), F.lit(last["id"]).cast(queue.schema["m_id"].dataType).alias("id"))
             taken = sum((F.when(key(F.lit(e)) <= at, 1).otherwise(0) for e in range(max_repeats)), F.lit(0))
-    return rows.withColumn("copies", taken.cast("int")).drop("m_queued", "m_at")
+    return rows.withColumn("copies", taken.cast("int")).drop("m_queued", "m_at", "m_words")
 
 
 def queue_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:", keep: dict[str, Column] | None = None) -> DataFrame:
     """The narrow rows that ``plan_mix`` takes, of documents with any other columns; ids and sources may be null, and null text counts no words."""
-    own = [F.col(f"`{id_col}`").alias("m_id"), F.col(f"`{source_col}`").cast("string").alias("m_source"), size_of(F.col(f"`{text_col}`")).alias("size"), shuffle_key(F.col(f"`{id_col}`"), seed).alias("m_hash")]
+    own = [F.col(f"`{id_col}`").alias("m_id"), F.col(f"`{source_col}`").cast("string").alias("m_source"), size_of(F.col(f"`{text_col}`")).alias("size"), shuffle_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("m_hash")]
     return durable(docs.select(*own, *[c.alias(n) for n, c in (keep or {}).items()]))
 
 
@@ -130,10 +141,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Rows equal in every column share one decision, the largest that any of them got.
     Takes the options of ``queue_of`` and ``plan_mix``.
     """
-    plan = {k: options.pop(k) for k in ("weights", "share", "max_repeats") if k in options}
+    plan = {"weights": (5, 2, 1), "share": 1.5, "max_repeats": 2}
+    plan |= {k: options.pop(k) for k in plan if k in options}
     row = row_hash(docs)
     id_col = options.get("id_col", "doc_id")
-    decided = plan_mix(queue_of(docs, keep={"m_row": row}, **options), **plan)
+    decided = _decide(queue_of(docs, keep={"m_row": row}, **options), **plan)
     decided = decided.groupBy("m_id", "m_row").agg(F.max("copies").alias("m_copies")).filter("m_copies > 0")
     own = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("d"), row.alias("row"))
     joined = own.join(decided, F.col(f"d.`{id_col}`").eqNullSafe(F.col("m_id")) & (F.col("row") == F.col("m_row")))

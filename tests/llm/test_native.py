@@ -81,6 +81,27 @@ def test_mix_of_odd_rows(spark):
         fair_mix.plan_mix(fair_mix.queue_of(docs), share=3)
 
 
+def test_mix_of_null_ids_equal_rows_and_maps(spark):
+    texts = [None, "", "a b", "c d e", "f"]
+    rows = [(None, texts[i % 5], "s") for i in range(2000)] + [(None, f"t{i} u", "s") for i in range(500)] + [(1, f"v{i}", None) for i in range(200)] + [(2**60 + i, "w x y", "r") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "map('k', text) AS extra")
+    queue = fair_mix.queue_of(docs)
+    assert queue.select("m_hash").distinct().count() > 700  # rows without an id are not all in one place
+    mixed = fair_mix.plan_mix(queue).collect()
+    assert len(mixed) == len(rows) and all(0 <= r["copies"] <= 2 for r in mixed)
+    of = {}
+    for r in mixed:
+        of.setdefault((r["m_id"], r["m_source"], r["size"], r["m_hash"]), set()).add(r["copies"])
+    assert all(len(c) == 1 for c in of.values())
+    target, taken = {r["m_source"]: r["target"] for r in mixed}, {}
+    for r in mixed:
+        taken[r["m_source"]] = taken.get(r["m_source"], 0) + r["size"] * r["copies"]
+    largest = 400 * 3  # equal rows are taken together
+    assert all(abs(taken[s] - t) <= largest for s, t in target.items())
+    out = fair_mix.mix_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in mixed)
+
+
 # chat
 
 
