@@ -1,7 +1,7 @@
 """Corpus pipeline: language ID, near-duplicates, personal data, mixing, encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; ``run`` writes each
-stage's result as Parquet into the shared folder and reads it again for the next one.
+stage's result as Parquet into the shared folder and reads it again for the next one; what no stage needs any more is deleted.
 """
 
 from __future__ import annotations
@@ -53,4 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            common.remove(spark, f"{folder}/{i - 1}")
     return docs
