@@ -29,9 +29,9 @@ from deltaloom.llm.common import computed, durable, row_hash, slices, unused
 
 SEED, BITS, DISTANCE, FAN = 42, 64, 3, 16
 #: Codes in a group beyond which it is dealt again, and rows of one task.
-GROUP, TASK_ROWS = 50_000, 200_000
+GROUP, TASK_ROWS = 50_000, 100_000
 #: (query, node) pairs that an index looks at together.
-FRONTIER = 4_000_000
+FRONTIER = 1_000_000
 FULL = (1 << 64) - 1
 #: A code that stands in more than one of so many rows is joined by broadcast.
 HEAVY = 1000
