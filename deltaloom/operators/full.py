@@ -72,6 +72,12 @@ def rows_of(d: Checked, rows: DataFrame, guard: bool = False, only: list[str] |
     return rows.select(*keys, *fields, (none if failed is None else failed).alias(ERROR))
 
 
+def can_fail(d: Checked, only: list[str] | None = None) -> bool:
+    """Whether a field of a one-row-for-each-row definition can fail on some row."""
+    c = compiler_of(d, True)
+    return any(c.value(e).err is not None for n, e in d.fields if only is None or n in only)
+
+
 # groups
 
 

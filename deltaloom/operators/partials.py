@@ -197,11 +197,12 @@ class Partials:
         for c, t in a.columns().items():
             x = F.col(f"{at}.{c}")
             if t == exact.SUMS:
-                y = F.transform_values(x, lambda k, v: (v.cast("decimal(28,0)") * m.cast("decimal(9,0)")).cast("decimal(38,0)"))
+                y = F.transform_values(x, lambda k, v: (v * m.cast("decimal(19,0)")).cast("decimal(38,0)"))
             elif t == "bigint":
                 y = x * m
+            elif int(scale := t.rpartition(",")[2].rstrip(")")) <= 6:  # Spark keeps so many decimals of an exact product
+                y = (x * m.cast("decimal(19,0)")).cast(t)
             else:
-                scale = t.rpartition(",")[2].rstrip(")")
                 y = (x.cast(f"decimal(28,{scale})") * m.cast("decimal(9,0)")).cast(t)
             out.append(y.alias(c))
         return out
@@ -211,14 +212,23 @@ class Partials:
         return [(F.create_map().cast(t) if t == exact.SUMS else F.lit(0).cast(t)).alias(c) for c, t in a.columns().items()]
 
     def summed(self, parts: DataFrame) -> DataFrame:
-        """Partials of the same group added up."""
-        out = []
-        for c, t in self.columns.items():
-            if t == exact.SUMS:
-                out.append(F.aggregate(F.collect_list(c), F.create_map().cast(t), exact.merge_sums).alias(c))
-            else:
-                out.append(F.sum(c).cast(t).alias(c))
-        return parts.groupBy(*[f"`{k}`" for k in self.keys]).agg(*out)
+        """Partials of the same group added up, combined map-side; maps of sums by their powers, of which a group has some 2,000 at most."""
+        keys = [f"`{k}`" for k in self.keys]
+        maps = [c for c, t in self.columns.items() if t == exact.SUMS]
+        added = {c: t for c, t in self.columns.items() if c not in maps}
+        if not maps:
+            return parts.groupBy(*keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in added.items()])
+        kind = "array<struct<i:int,p:int,v:decimal(38,0)>>"
+        numbered = lambda i: lambda x: F.struct(F.lit(i).alias("i"), x["key"].alias("p"), x["value"].alias("v"))
+        entries = [F.transform(F.map_entries(c), numbered(i)).cast(kind) for i, c in enumerate(maps)]
+        own = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("p"), F.lit(0).cast("decimal(38,0)").alias("v"))).cast(kind)
+        each = parts.select(*keys, *added, F.explode(F.concat(own, *entries)).alias("__a"))
+        once = [F.when(F.col("__a.i") == -1, F.col(c)).alias(c) for c in added]
+        each = each.select(*keys, *once, F.col("__a.i").alias("__i"), F.col("__a.p").alias("__p"), F.col("__a.v").alias("__v"))
+        by_power = each.groupBy(*keys, "__i", "__p").agg(*[F.sum(c).cast(t).alias(c) for c, t in added.items()], F.sum("__v").cast("decimal(38,0)").alias("__v"))
+        made = [F.map_from_entries(F.collect_list(F.when((F.col("__i") == i) & (F.col("__v") != 0), F.struct("__p", "__v")))).cast(exact.SUMS).alias(c) for i, c in enumerate(maps)]
+        out = by_power.groupBy(*keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in added.items()], *made)
+        return out.select(*keys, *self.columns)
 
 
 def key_value(x: Column, t: SqlType) -> Column:

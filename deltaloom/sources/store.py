@@ -1,8 +1,10 @@
-"""Versioned tables on shared storage: parquet in buckets by key, and one manifest per committed batch.
+"""Versioned tables on shared storage: a base in buckets by key, small folders of later changes, and one manifest per committed batch.
 
-A table's rows live in a fixed number of buckets by a hash of its bucketing columns. A batch
-rewrites only the buckets that its changes touch; an entry of the manifest says which version of
-every bucket holds. Nothing that a manifest names is ever overwritten, and a new manifest is written beside the
+A table's base is one folder of parquet with a partition for each bucket, a hash of its bucketing columns. A batch writes only
+what it changes, as a folder of whole rows and of keys that are gone, so its cost follows the changes and
+not the table. Reading lays the changes over the base. Change folders are merged once they are many, and
+once they hold a set share of the base's bytes all is written anew, so that a byte of changes costs a bounded number of
+bytes in the long run. Nothing that a manifest names is ever overwritten, and a new manifest is written beside the
 old ones and renamed, so a batch is applied as a whole or not at all, and a lost executor or driver leaves at most
 files that no manifest names.
 """
@@ -15,11 +17,16 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKET = "__b"
+#: A row's bucket; whether its key is gone; the number of the folder of changes that it stands in.
+BUCKET, GONE, AT = "__b", "__gone", "__at"
+#: The share of the base's bytes (and the least bytes) of changes from which a table is written anew, and the most folders of changes.
+SHARE, LEAST_BYTES, MOST_DELTAS = 0.25, 32 << 20, 12
+#: Tables of so many buckets at most are read whole: a batch touches nearly all of them anyway.
+FEW_BUCKETS = 16
 
 
 @dataclass(frozen=True)
@@ -31,7 +38,14 @@ class Entry:
     key: tuple[str, ...]
     bucket_by: tuple[str, ...]
     buckets: int
-    versions: dict[str, str]  # bucket number to the folder that holds it
+    base: str = ""  # folder of the rows as last written whole; without one there are none
+    size: int = 0  # its bytes
+    deltas: tuple[tuple[str, int], ...] = ()  # folders of later changes, the oldest first, and their bytes
+    top: int = 0  # number of the last folder of changes
+
+    @property
+    def folders(self) -> list[str]:
+        return [x for x in (self.base, *[d for d, _ in self.deltas]) if x]
 
     @property
     def struct(self) -> T.StructType:
@@ -79,6 +93,10 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below a folder."""
+        return int(self.fs.getContentSummary(self.path(name)).getLength())
+
 
 def bucket_of(columns: Iterable[str], n: int) -> Column:
     """The bucket of a row; NULLs hash like any value."""
@@ -108,7 +126,7 @@ class Store:
 
     def entry(self, manifest: dict, name: str) -> Entry | None:
         found = manifest["tables"].get(name)
-        return Entry(**{**found, "key": tuple(found["key"]), "bucket_by": tuple(found["bucket_by"])}) if found else None
+        return Entry(**{**found, "key": tuple(found["key"]), "bucket_by": tuple(found["bucket_by"]), "deltas": tuple(map(tuple, found["deltas"]))}) if found else None
 
     @staticmethod
     def put(manifest: dict, e: Entry) -> None:
@@ -117,43 +135,95 @@ class Store:
     # tables
 
     def empty(self, name: str, schema: T.StructType, key: Iterable[str], bucket_by: Iterable[str] | None = None, buckets: int | None = None) -> Entry:
-        return Entry(name, json.dumps(schema.jsonValue()), tuple(key), tuple(bucket_by or key), buckets or self.buckets, {})
+        return Entry(name, json.dumps(schema.jsonValue()), tuple(key), tuple(bucket_by or key), buckets or self.buckets)
 
     def read(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
-        """The rows of all or some buckets, without the bucket number."""
-        wanted = None if buckets is None else {str(b) for b in buckets}
-        paths = [f"{self.root}/{v}/{BUCKET}={b}" for b, v in e.versions.items() if wanted is None or b in wanted]
-        if not paths:
+        """The rows of all or some buckets."""
+        rows = self._base(e, buckets)
+        if not e.deltas:
+            return rows
+        late = self._latest(e, buckets)
+        kept = rows.alias("o").join(late.select(*[f"`{k}`" for k in e.key]).alias("k"), same_key("o", "k", e.key), "left_anti")
+        return kept.select("o.*").unionByName(late.filter(f"NOT {GONE}").select(*self._names(e)))
+
+    @staticmethod
+    def _names(e: Entry) -> list[str]:
+        return [f"`{f.name}`" for f in e.struct]
+
+    def _base(self, e: Entry, buckets: Iterable[int] | None) -> DataFrame:
+        if not e.base:
             return self.spark.createDataFrame([], e.struct)
-        return self.spark.read.schema(e.struct).parquet(*paths)
-
-    def write(self, e: Entry, rows: DataFrame, touched: Iterable[int] | None = None) -> Entry:
-        """A new version of the buckets ``touched`` (None: all) that holds ``rows``, which have to lie in them."""
-        version = f"data/{e.name.replace('.', '/')}/{uuid.uuid4().hex}"
-        names = [f.name for f in e.struct]
-        touched = list(range(e.buckets)) if touched is None else list(touched)
-        placed = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in e.struct]).withColumn(BUCKET, bucket_of(e.bucket_by, e.buckets))
-        place = F.array_position(F.lit(touched), F.col(BUCKET)) - 1 if touched else F.lit(0)  # a task for each bucket
-        placed = placed.repartitionById(max(1, len(touched)), place.cast("int")).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in e.key if k in names])
-        placed.write.partitionBy(BUCKET).parquet(f"{self.root}/{version}")
-        there = {n.split("=")[1] for n in self.files.list(version) if n.startswith(f"{BUCKET}=")}
-        versions = {b: v for b, v in e.versions.items() if int(b) not in touched} | {b: version for b in there}
-        return replace(e, versions=versions)
-
-    def touched(self, e: Entry, changed: DataFrame) -> list[int]:
-        """Buckets of the keys in ``changed``: one number for each bucket at most."""
-        return sorted(r[0] for r in changed.select(bucket_of(e.bucket_by, e.buckets).alias(BUCKET)).distinct().collect())
+        rows = self.spark.read.schema(T.StructType([*e.struct, T.StructField(BUCKET, T.IntegerType())])).parquet(f"{self.root}/{e.base}")
+        if buckets is not None:  # a filter on partitions: other folders are not opened
+            rows = rows.filter(F.col(BUCKET).isin(list(buckets)))
+        return rows.select(*self._names(e))
+
+    def _latest(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The last change of every key that has changed since the base was written: its row, or that it is GONE."""
+        marks = [T.StructField(GONE, T.BooleanType()), T.StructField(AT, T.LongType()), T.StructField(BUCKET, T.IntegerType())]
+        rows = self.spark.read.schema(T.StructType([*e.struct, *marks])).parquet(*[f"{self.root}/{d}" for d, _ in e.deltas])
+        if buckets is not None:
+            rows = rows.filter(F.col(BUCKET).isin(list(buckets)))
+        if len(e.deltas) == 1:
+            return rows.drop(AT, BUCKET)
+        row = F.struct(*[f"`{f.name}`" for f in e.struct if f.name not in e.key], GONE)
+        last = rows.groupBy(*[f"`{k}`" for k in e.key]).agg(F.max_by(row, AT).alias("r"))
+        return last.select(*[F.col(f"`{f.name}`" if f.name in e.key else f"r.`{f.name}`") for f in e.struct], f"r.{GONE}")
+
+    def _folder(self, e: Entry) -> str:
+        return f"data/{e.name.replace('.', '/')}/{uuid.uuid4().hex}"
 
-    def upsert(self, e: Entry, keys: DataFrame, rows: DataFrame, touched: list[int] | None = None) -> Entry:
-        """Replace the rows of all ``keys`` by ``rows``, whose keys are among them."""
-        touched = self.touched(e, keys) if touched is None else touched
-        names = [f"`{f.name}`" for f in e.struct]
-        kept = self.read(e, touched).alias("o").join(keys.alias("k"), same_key("o", "k", e.key), "left_anti")
-        return self.write(e, kept.select(*names).unionByName(rows.select(*names)), touched)
+    @staticmethod
+    def _cast(e: Entry) -> list[Column]:
+        return [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in e.struct]
+
+    def write(self, e: Entry, rows: DataFrame) -> Entry:
+        """The table with ``rows`` as a new base."""
+        folder = self._folder(e)
+        placed = rows.select(*self._cast(e)).withColumn(BUCKET, bucket_of(e.bucket_by, e.buckets))
+        placed = placed.repartitionById(e.buckets, F.col(BUCKET)).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in e.key])  # a task for each bucket
+        placed.write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
+        return replace(e, base=folder, size=self.files.size(folder), deltas=(), top=0)
+
+    def change(self, e: Entry, changed: DataFrame) -> Entry:
+        """The table after changes: whole rows, or keys that are GONE (a column of ``changed``), each key once at most."""
+        folder = self._folder(e)
+        rows = changed.select(*self._cast(e), GONE, F.lit(e.top + 1).cast("bigint").alias(AT), bucket_of(e.bucket_by, e.buckets).alias(BUCKET))
+        rows.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
+        e = replace(e, deltas=(*e.deltas, (folder, self.files.size(folder))), top=e.top + 1)
+        if sum(n for _, n in e.deltas) > max(LEAST_BYTES, SHARE * e.size):
+            return self.write(e, self.read(e))
+        if len(e.deltas) > MOST_DELTAS:
+            folder = self._folder(e)
+            merged = self._latest(e).withColumns({AT: F.lit(e.top).cast("bigint"), BUCKET: bucket_of(e.bucket_by, e.buckets)})
+            merged.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
+            e = replace(e, deltas=((folder, self.files.size(folder)),))
+        return e
+
+    def touched(self, e: Entry, changed: DataFrame) -> list[int] | None:
+        """Buckets of the keys in ``changed``, one number for each bucket at most; None, which is all, of a table with few."""
+        if e.buckets <= FEW_BUCKETS:
+            return None
+        return sorted(r[0] for r in changed.select(bucket_of(e.bucket_by, e.buckets).alias(BUCKET)).distinct().collect())
 
-    def changed(self, e: Entry, keys: DataFrame, rows: DataFrame, touched: list[int]) -> DataFrame:
+    def upsert(self, e: Entry, keys: DataFrame, rows: DataFrame, failed: str | None = None) -> tuple[Entry, int]:
+        """Replace the rows of all ``keys``, each of them once, by ``rows``, whose keys are among them.
+
+        Keys whose row has a value in the column ``failed`` keep what they have; returns their number, too, counted while the rest is written.
+        """
+        found = rows.select(*self._names(e), F.lit(False).alias(GONE), *([F.col(failed).isNotNull().alias("__failed")] if failed else []))
+        both = keys.alias("k").join(found.alias("r"), same_key("k", "r", e.key), "left")
+        columns = [F.col(f"{'k' if f.name in e.key else 'r'}.`{f.name}`") for f in e.struct]
+        gone = F.coalesce(F.col(f"r.{GONE}"), F.lit(True)).alias(GONE)
+        if failed is None:
+            return self.change(e, both.select(*columns, gone)), 0
+        seen = Observation()
+        marked = both.select(*columns, gone, F.coalesce("r.__failed", F.lit(False)).alias("__failed")).observe(seen, F.count(F.when(F.col("__failed"), 1)).alias("n"))
+        return self.change(e, marked.filter("NOT __failed").drop("__failed")), seen.get["n"]
+
+    def changed(self, e: Entry, keys: DataFrame, rows: DataFrame) -> DataFrame:
         """(old, new) structs of what ``upsert`` changes, from the entry before it."""
-        old = self.read(e, touched).alias("o").join(keys.alias("k"), same_key("o", "k", e.key), "left_semi")
+        old = self.read(e, self.touched(e, keys)).alias("o").join(keys.alias("k"), same_key("o", "k", e.key), "left_semi")
         return feed(e, old, rows)
 
 

@@ -13,23 +13,23 @@ import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from deltaloom.errors import EngineError, refuse
 from deltaloom.operators import changes as delta
-from deltaloom.operators.full import ERROR, JoinPlan, full, full_state, key_types, rows_of
+from deltaloom.operators.full import ERROR, JoinPlan, can_fail, full, full_state, key_types, rows_of
 from deltaloom.operators.partials import N, Partials
 from deltaloom.plans import types as S
 from deltaloom.plans.definition import Checked, Relation, check
 from deltaloom.plans.nodes import Alter, Col, Lifecycle, Transform, quote_table
-from deltaloom.plans.parser import GRAMMAR, parse
+from deltaloom.plans.parser import GRAMMAR, parse, split_statements
 from deltaloom.plans.render import target_select_sql
-from deltaloom.sources.store import Entry, Store, feed, same_key
+from deltaloom.sources.store import GONE, Entry, Store, feed, same_key
 
 WAITING, BACKFILLING, CATCHING_UP, LIVE, QUARANTINED, PAUSED = "waiting_to_backfill", "backfilling", "catching_up", "live", "quarantined", "paused"
 #: Failures of one column, or held keys of a transform, from which it is stopped.
@@ -40,6 +40,31 @@ POISON = "__poison"
 POISON_SCHEMA = T.StructType([*[T.StructField(n, T.StringType()) for n in ("transform", "src_table", "key", "field", "state")], T.StructField("seq", T.LongType())])
 
 
+#: Spark derives constraints through every alias of an expression, twice as many for each field that shares it.
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
+def planned(method):
+    """A method whose queries are planned without derived constraints, which would take exponential time for wide definitions."""
+
+    @wraps(method)
+    def run(self, *args, **options):
+        with self._lock:
+            if not self._depth:
+                self._constraints = self.spark.conf.get(CONSTRAINTS)
+                self.spark.conf.set(CONSTRAINTS, "false")
+            self._depth += 1
+        try:
+            return method(self, *args, **options)
+        finally:
+            with self._lock:
+                self._depth -= 1
+                if not self._depth:
+                    self.spark.conf.set(CONSTRAINTS, self._constraints)
+
+    return run
+
+
 @dataclass(frozen=True)
 class Changed:
     """Changes of one table in a batch: every image pair (``raw``), and one net pair for each key (``net``, with the key's columns; rows to be read again have equal images)."""
@@ -54,7 +79,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, *, buckets: int = 8, fuse: int = FUSE, threads: int = 4):
         self.spark, self.fuse, self.threads = spark, fuse, threads
         self._kept: list[DataFrame] = []
-        self._lock = threading.RLock()
+        self._lock, self._depth = threading.RLock(), 0
         self.store = Store(spark, root, buckets)
         if self.store.latest() is None:
             first = {"number": 0, "batch": -1, "seq": 0, "sources": {}, "transforms": {}, "tables": {}, "metrics": {}}
@@ -156,6 +181,7 @@ class Engine:
 
     # statements
 
+    @planned
     def apply(self, text: str) -> dict:
         """Run one statement. Nothing reads source rows here; builds run in ``build`` and before the next batch."""
         s = parse(text)
@@ -204,7 +230,7 @@ class Engine:
         got = [(f.name, f.dataType.simpleString()) for f in e.struct]
         if [(n, T.StructType.fromDDL(f"`x` {t}")[0].dataType.simpleString()) for n, t in want] != got:
             raise refuse("TargetNotAdoptable", f"{d.target}: {got} is not {want}")
-        if e.versions and not self.store.read(e).isEmpty():
+        if e.base and not self.store.read(e).isEmpty():
             raise refuse("TargetNotAdoptable", f"{d.target} has rows")
         del m["sources"][d.target], m["tables"][d.target]
 
@@ -314,6 +340,7 @@ class Engine:
 
     # builds
 
+    @planned
     def build(self) -> list[str]:
         """Build every definition that waits; returns their names."""
         m = self.manifest
@@ -324,6 +351,7 @@ class Engine:
             self._commit(m)
         return waiting
 
+    @planned
     def request_backfill(self, table: str) -> list[str]:
         """Rebuild every live reader of a table in place."""
         m = self.manifest
@@ -345,7 +373,7 @@ class Engine:
             if d.kind in ("one_to_one", "join_one_to_one"):
                 rows = full(d, frames, guard=True)
                 entry = self.store.empty(name, self._target_schema(d), d.key, buckets=self._buckets(m, d))
-                if self._can_fail(rows):
+                if can_fail(d):
                     rows = self._stash(m, rows)
                     self._hold(m, d, rows.filter(F.col(ERROR).isNotNull()))
                     rows = rows.filter(F.col(ERROR).isNull())
@@ -372,11 +400,6 @@ class Engine:
             shaped = replace(before, schema=json.dumps(self._target_schema(d).jsonValue()))
             self._propagate(m, {name: self._changes_of(m, d, feed(shaped, self._shown(d, self.store.read(before)), self._shown(d, self.store.read(after))))})
 
-    @staticmethod
-    def _can_fail(rows: DataFrame) -> bool:
-        """Whether any field can fail: ERROR is then more than a NULL literal."""
-        return "22003" in (plan := rows._jdf.queryExecution().analyzed().toString()) or "22012" in plan or "22008" in plan
-
     def _build_sides(self, m: dict, d: Checked) -> None:
         j = JoinPlan(d)
         for s, (label, t) in enumerate(zip("pm", d.text.tables, strict=True)):
@@ -397,6 +420,7 @@ class Engine:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    @planned
     def process(self, changes: dict[str, DataFrame], batch_id: int | None = None, seq: int | None = None) -> bool:
         """Apply one batch of changes (op, old, new and, if there, seq and change_id) by source. False if it was applied before."""
         self.build()
@@ -443,17 +467,20 @@ class Engine:
             rows = rows.withColumn("seq", F.lit(seq).cast("bigint"))
         if "change_id" not in rows.columns:
             rows = rows.withColumn("change_id", F.monotonically_increasing_id())
-        rows = self._stash(m, rows.select("op", "seq", "change_id", *[F.col(c).cast(e.struct).alias(c) for c in ("old", "new")]))
         no_key = reduce(lambda a, b: a | b, [(F.col(side).isNotNull() & F.col(f"{side}.`{k}`").isNull()) for side in ("old", "new") for k in key])
-        seen = {r["op"]: r for r in rows.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(no_key, 1)).alias("no_key"), F.max("seq").alias("last")).collect()}
-        ops = {op: r["n"] for op, r in seen.items()}
-        if bad := set(ops) - set(delta.OPS):
-            raise ValueError(f"unknown op {sorted(map(str, bad))}")
-        if any(r["no_key"] for r in seen.values()):
+        seen = Observation()  # counted while the changes are written
+        rows = rows.select("op", "seq", "change_id", *[F.col(c).cast(e.struct).alias(c) for c in ("old", "new")])
+        counts = [F.count(F.when(F.col("op") == op, 1)).alias(op) for op in delta.OPS]
+        rows = self._stash(m, rows.observe(seen, F.count(F.lit(1)).alias("all"), *counts, F.count(F.when(no_key, 1)).alias("no_key"), F.max(F.when(F.col("op") == "truncate", F.col("seq"))).alias("floor")))
+        got = seen.get
+        ops = {op: got[op] for op in delta.OPS if got[op]}
+        if sum(ops.values()) < got["all"]:
+            raise ValueError(f"unknown op among {got['all']} changes of {name}")
+        if got["no_key"]:
             for r in self._readers(m, name):
                 m["transforms"][r] |= {"status": PAUSED, "error": str(refuse("NullInNotNullKey", name))}
             rows = rows.filter(~F.coalesce(no_key, F.lit(False)))
-        imaged = delta.images(rows, key, seen["truncate"]["last"] if "truncate" in seen else None)
+        imaged = delta.images(rows, key, got["floor"])
         snapshot = self.store.read(e)
         if "truncate" in ops:
             gone = snapshot.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("change_id"), F.struct(*[f"`{f.name}`" for f in e.struct]).cast(e.struct).alias("old"), F.lit(None).cast(e.struct).alias("new"))
@@ -470,8 +497,7 @@ class Engine:
             once = net.alias("a").join(many.alias("b"), same_key("a", "b", key), "left_anti")
             net = self._keep(once.unionByName(delta.fold(several.select("seq", "change_id", "old", "new"), key)))
         moved = net.filter(~F.col("old").eqNullSafe(F.col("new")))
-        entry = self.store.upsert(e, moved.select(*keys), moved.filter("new IS NOT NULL").select("new.*"), self.store.touched(e, net))
-        self.store.put(m, entry)
+        self.store.put(m, self.store.change(e, moved.select(F.coalesce("new", "old").alias("r"), F.col("new").isNull().alias(GONE)).select("r.*", GONE)))
         self._count(m, changes_total=sum(ops.values()))
         return Changed(imaged, net)
 
@@ -529,35 +555,34 @@ class Engine:
         keys, rows = delta.join_one_to_one(d, nets, lambda n: self._frame(m, n), True)
         return self._put_rows(m, d, keys, rows, [n for n, _ in d.fields])
 
-    def _put_rows(self, m: dict, d: Checked, keys: DataFrame, rows: DataFrame, healthy: list[str]) -> DataFrame:
-        """Write a 1-1 target's rows for some keys; keys whose row fails are held and keep what they have."""
+    def _put_rows(self, m: dict, d: Checked, keys: DataFrame, rows: DataFrame, healthy: list[str]) -> DataFrame | None:
+        """Write a 1-1 target's rows for some keys; keys whose row fails are held and keep what they have. Returns the target's changes if anything reads it."""
         x, e = m["transforms"][d.target], self.store.entry(m, d.target)
         keys = self._keep(keys)
-        touched = self.store.touched(e, keys)
         if len(healthy) < len(d.fields):  # paused columns keep their values
-            old = self.store.read(e, touched)
+            old = self.store.read(e, self.store.touched(e, keys))
             both = rows.alias("f").join(old.alias("o"), same_key("f", "o", d.key), "left")
             rows = both.select(*[F.col(f"o.`{n}`" if n in x["paused_columns"] else f"f.`{n}`").alias(n) for n in d.types], F.col(f"f.{ERROR}").alias(ERROR))
-        can_fail = self._can_fail(rows)
-        rows = self._keep(rows)
         if x["held"]:
             self._unhold(m, d.target, keys)
-        if can_fail:
+        fails = can_fail(d, healthy)
+        read = self._readers(m, d.target)
+        rows = self._keep(rows) if fails or read else rows
+        entry, n_failed = self.store.upsert(e, keys, rows, ERROR if fails else None)
+        self.store.put(m, entry)
+        good = rows.filter(F.col(ERROR).isNull())
+        if n_failed:
             failed = rows.filter(F.col(ERROR).isNotNull())
-            deaths = {r["field"]: r["count"] for r in failed.groupBy(F.col(f"{ERROR}.field").alias("field")).count().collect()}
-            if deaths:
-                for f, n in deaths.items():
-                    x["deaths"][f] = x["deaths"].get(f, 0) + n
-                self._hold(m, d, failed)
-                keys = keys.alias("k").join(failed.select(*[f"`{k}`" for k in d.key]).alias("f"), same_key("k", "f", d.key), "left_anti")
-                rows = rows.filter(F.col(ERROR).isNull())
-                tripped = [f for f, n in x["deaths"].items() if n >= self.fuse and f not in x["paused_columns"]]
-                if tripped and d.kind == "one_to_one":
-                    x["paused_columns"] = sorted({*x["paused_columns"], *tripped})
-                elif x["held"] >= self.fuse:
-                    x |= {"status": QUARANTINED, "error": f"{x['held']} keys failed"}
-        self.store.put(m, self.store.upsert(e, keys, rows.drop(ERROR), touched))
-        return self.store.changed(e, keys, rows.drop(ERROR), touched)
+            for f, n in failed.groupBy(F.col(f"{ERROR}.field")).count().collect():
+                x["deaths"][f] = x["deaths"].get(f, 0) + n
+            self._hold(m, d, failed)
+            keys = keys.alias("k").join(failed.select(*[f"`{k}`" for k in d.key]).alias("f"), same_key("k", "f", d.key), "left_anti")
+            tripped = [f for f, n in x["deaths"].items() if n >= self.fuse and f not in x["paused_columns"]]
+            if tripped and d.kind == "one_to_one":
+                x["paused_columns"] = sorted({*x["paused_columns"], *tripped})
+            elif x["held"] >= self.fuse:
+                x |= {"status": QUARANTINED, "error": f"{x['held']} keys failed"}
+        return self.store.changed(e, keys, good.drop(ERROR)) if read else None
 
     def _aggregate(self, m: dict, d: Checked, raws: dict[str, Changed]) -> DataFrame | None:
         p = Partials(d.fields, key_types(d), d.scope)
@@ -574,13 +599,14 @@ class Engine:
         touched = self.store.touched(e, parts)
         merged = self._keep(p.merged(parts, self.store.read(e, touched)))
         names = [f"`{k}`" for k in p.keys]
-        rows = merged.select("new.*")
+        rows = merged.select("new.*", (F.col(f"new.{N}") <= 0).alias(GONE))
         if p.extremes:
             probe = merged.filter("probe").filter(F.col(f"new.{N}") > 0).select(*names)
             if not probe.isEmpty():
                 again = delta.probed(d, p, probe, self._frame(m, source))
-                rows = merged.filter("NOT probe").select("new.*").unionByName(again.select(*[f"`{f.name}`" for f in p.schema]))
-        entry = self.store.upsert(e, merged.select(*names), rows.filter(F.col(N) > 0), touched)
+                kept = merged.filter((~F.col("probe")) | (F.col(f"new.{N}") <= 0)).select("new.*", (F.col(f"new.{N}") <= 0).alias(GONE))
+                rows = kept.unionByName(again.select(*[f"`{f.name}`" for f in p.schema], F.lit(False).alias(GONE)))
+        entry = self.store.change(e, rows)
         self.store.put(m, entry)
         if not self._readers(m, d.target):
             return None
@@ -593,7 +619,7 @@ class Engine:
         j = JoinPlan(d)
         deltas: list[DataFrame | None] = [None, None]
         entries = [self.store.entry(m, f"{d.target}.__{s}") for s in "pm"]
-        touched: list[list[int]] = [[], []]
+        touched: list[list[int] | None] = [[], []]
         for s, r in enumerate(d.relations):
             if r.name in raws:
                 signed = delta.sides(raws[r.name].raw, delta.read_columns(d, s))
@@ -603,7 +629,8 @@ class Engine:
                 deltas[s] = self._keep(part.select(*[f"`{c}`" for c in columns]).filter(live))
                 touched[s] = self.store.touched(entries[s], deltas[s])
         dp, dm = deltas
-        p_old, m_old = self.store.read(entries[0], touched[1]), self.store.read(entries[1], {*touched[0], *touched[1]})
+        either = None if None in touched else sorted({*touched[0], *touched[1]})
+        p_old, m_old = self.store.read(entries[0], touched[1]), self.store.read(entries[1], either)
         new = list(entries)
         for s in (0, 1):
             if deltas[s] is not None:
@@ -612,11 +639,11 @@ class Engine:
         if dm is not None:  # cells of other join keys in those buckets have no part in it
             k = dm.select(*j.k).distinct()
             p_old = p_old.join(k, j.k, "left_semi")
-        m_new = self.store.read(new[1], {*touched[0], *touched[1]})
+        m_new = self.store.read(new[1], either)
         parts = delta.join_delta(j, dp, dm, p_old, m_old, m_new)
         return self._put_groups(m, d, j.p, parts, None)
 
-    def _add_cells(self, m: dict, j: JoinPlan, s: int, e: Entry, part: DataFrame, touched: list[int]) -> Entry:
+    def _add_cells(self, m: dict, j: JoinPlan, s: int, e: Entry, part: DataFrame, touched: list[int] | None) -> Entry:
         """Add partials to the cells of P or M."""
         from deltaloom.functions import exact
 
@@ -627,8 +654,7 @@ class Engine:
         for c, t in columns.items():
             o, x = F.col(f"o.`{c}`"), F.col(f"d.`{c}`")
             made.append((x if c in key else exact.merge_sums(o, x) if t == exact.SUMS else (F.coalesce(o, F.lit(0)) + x).cast(t)).alias(c))
-        cells = self._keep(both.select(*made))
-        return self.store.upsert(e, cells.select(*[f"`{k}`" for k in key]), cells.filter(F.col(N) > 0), touched)
+        return self.store.change(e, both.select(*made).withColumn(GONE, F.col(N) <= 0))
 
     # quarantine
 
@@ -653,7 +679,7 @@ class Engine:
         with self._lock:
             e = self.store.entry(m, POISON)
             rows = self._stash(m, rows.select(*[f.name for f in e.struct]))
-            self.store.put(m, self.store.upsert(e, rows.select("transform", "key"), rows))
+            self.store.put(m, self.store.upsert(e, rows.select("transform", "key"), rows)[0])
             self._recount(m, name)
 
     def _recount(self, m: dict, name: str) -> None:
@@ -670,7 +696,7 @@ class Engine:
             if marked is None:
                 marked = self.store.read(e).filter(F.col("transform") == name).select("transform", "key")
             marked = self._stash(m, marked)
-            self.store.put(m, self.store.upsert(e, marked, self.spark.createDataFrame([], POISON_SCHEMA)))
+            self.store.put(m, self.store.upsert(e, marked, self.spark.createDataFrame([], POISON_SCHEMA))[0])
             self._recount(m, name)
 
     def quarantined(self, name: str | None = None) -> DataFrame:
@@ -689,6 +715,7 @@ class Engine:
     def poisoned_since(self, seq: int) -> DataFrame:
         return self.quarantined().filter(F.col("seq") >= seq)
 
+    @planned
     def release_key(self, name: str, **key) -> bool:
         """Try a held key again; True if it applies now."""
         m = self.manifest
@@ -711,6 +738,7 @@ class Engine:
         self._commit(m)
         return self.quarantined(name).filter(F.col("key") == text).isEmpty()
 
+    @planned
     def correct_partition(self, name: str, values: dict[str, object], rows: DataFrame | None = None) -> bool:
         """A partition of a source attached or replaced (``rows``), or dropped or emptied (None): its rows and what is grouped from them are corrected."""
         m = self.manifest
@@ -743,7 +771,8 @@ class Engine:
         return "".join(x["text"] + ";\n" for x in self.manifest["transforms"].values())
 
     def restore_definitions_sql(self, text: str) -> list[str]:
-        return [self.apply(line.removesuffix(";"))["defined"] for line in text.splitlines() if line.strip()]
+        """Apply dumped statements; literals may hold anything."""
+        return [self.apply(s)["defined"] for s in split_statements(text)]
 
     def target_select_sql(self, name: str) -> str:
         m = self.manifest
@@ -772,6 +801,7 @@ class Engine:
             time.sleep(poll)
         return seq
 
+    @planned
     def self_check(self, name: str) -> dict:
         """Compare a target with a full recompute, as multisets both ways. Held keys and paused columns are left out."""
         m = self.manifest
@@ -800,19 +830,21 @@ class Engine:
     def detect_capture_disruptions(self) -> list[str]:
         """Tables of which a file folder is gone; their readers have to be paused and resumed once the source is registered again."""
         m = self.manifest
-        return sorted({n for n, e in m["tables"].items() for b, v in e["versions"].items() if not self.store.files.exists(f"{v}/__b={b}")})
+        return sorted(n for n in m["tables"] if not all(map(self.store.files.exists, self.store.entry(m, n).folders)))
 
+    @planned
     def rebucket(self, name: str, buckets: int) -> None:
         """Give a table that has grown (a source, or a target with its hidden parts) another number of buckets."""
         m = self.manifest
         for part in [t for t in m["tables"] if t == name or t.startswith(f"{name}.__")]:
             e = self.store.entry(m, part)
-            self.store.put(m, self.store.write(replace(e, buckets=buckets, versions={}), self.store.read(e)))
+            self.store.put(m, self.store.write(replace(e, buckets=buckets), self.store.read(e)))
         self._commit(m)
 
     def vacuum(self) -> int:
         """Delete files that the latest manifest does not name, and older manifests; returns the number of folders."""
-        live = {v for e in self.manifest["tables"].values() for v in e["versions"].values()}
+        m = self.manifest
+        live = {v for n in m["tables"] for v in self.store.entry(m, n).folders}
         gone = 0
         for name in self.store.files.list("data"):
             for version in self._versions(f"data/{name}"):

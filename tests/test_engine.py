@@ -3,11 +3,16 @@
 import datetime as dt
 import random
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.errors import EngineError
+from deltaloom.operators.full import JoinPlan, key_types
+from deltaloom.operators.partials import N, Partials
+from deltaloom.session import Session
+from deltaloom.sources import store
 from deltaloom.sources.changelog import ChangeLog, snapshot_diff, truncate
 from deltaloom.streaming.engine import Engine
 
@@ -147,6 +152,7 @@ def test_log_stream_and_tokens(spark, tmp_path):
     assert log.drain() == 2
     assert {tuple(x) for x in e.table("t").collect()} == {(2, 1)}
     assert "deltaloom_changes_total" in e.metrics()
+    e.rebucket("t", 3)
     assert e.vacuum() > 0 and log.trim() == 2 and log.pending() == []
     assert e.self_check("t")["ok"]
 
@@ -337,3 +343,91 @@ def test_tampering_is_found(spark, tmp_path):
     e.store.put(m, e.store.write(entry, e.table("t").withColumn("w", F.col("w") + 1)))
     e._commit(m)
     assert e.self_check("t") == {"target": "t", "ok": False, "missing": 2, "extra": 2, "held_keys": 0}
+
+
+def test_wide_targets_hold_failing_keys(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2, fuse=100)
+    base = spark.createDataFrame([(1, 6, 2), (2, 5, 0)], "id int, a int, b int")
+    e.source("s", base, ["id"])
+    e.apply("TRANSFORM t FROM s SELECT " + ", ".join(f"a + {i} AS f{i}" for i in range(60)) + ", CAST(a AS numeric) / b AS q")
+    e.apply("TRANSFORM g FROM s GROUP BY b SELECT " + ", ".join(f"SUM(a + {i}) AS f{i}" for i in range(40)))
+    before = spark.conf.get("spark.sql.constraintPropagation.enabled")
+    e.build()
+    assert e.quarantine_status("t")["held_keys"] == 1 and [r["id"] for r in e.table("t").collect()] == [1]
+    e.process({"s": snapshot_diff(base, spark.createDataFrame([(1, 6, 0), (2, 5, 1), (3, 2147483647, 1)], "id int, a int, b int"), ["id"])})
+    assert {(x["key"], x["field"]) for x in e.sample_quarantined("t")} == {('{"id":1}', "q"), ('{"id":3}', "f1")}
+    assert {r["id"]: r["f0"] for r in e.table("t").collect()} == {1: 6, 2: 5}
+    assert e.self_check("t")["ok"] and spark.conf.get("spark.sql.constraintPropagation.enabled") == before
+
+
+def test_dumps_hold_any_literal(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 6)], "id int, a int")
+    texts = ["TRANSFORM t FROM s SELECT 'a\nb;\n\\ it''s \u2028 \"' AS \"x;y\", a AS a", "TRANSFORM u FROM t SELECT a + 1 AS b"]
+    engines = [Engine(spark, str(tmp_path / n), buckets=1) for n in "ab"]
+    for e in engines:
+        e.source("s", rows, ["id"])
+    for t in texts:
+        engines[0].apply(t)
+    dump = engines[0].dump_definitions_sql()
+    assert engines[1].restore_definitions_sql(dump) == ["t", "u"] and engines[1].dump_definitions_sql() == dump
+    for e in engines:
+        e.build()
+    assert engines[0].table("t").collect() == engines[1].table("t").collect() and engines[0].table("t").first()["x;y"] == "a\nb;\n\\ it's \u2028 \""
+
+
+@pytest.mark.parametrize(("share", "least", "most"), [(0.25, 32 << 20, 2), (0.0, 0, 12), (0.25, 32 << 20, 12)])
+def test_changes_are_laid_over_the_base(spark, tmp_path, monkeypatch, share, least, most):
+    monkeypatch.setattr(store, "SHARE", share)
+    monkeypatch.setattr(store, "LEAST_BYTES", least)
+    monkeypatch.setattr(store, "MOST_DELTAS", most)
+    monkeypatch.setattr(store, "FEW_BUCKETS", 0)
+    r = random.Random(most)
+    e = Engine(spark, str(tmp_path), buckets=5)
+    rows = {i: order(r, i) for i in range(30)}
+    e.source("orders", frame(spark, rows, ORDERS), ["id"])
+    e.apply("TRANSFORM view FROM orders SELECT amount * 2 AS twice, status AS status")
+    e.apply("TRANSFORM totals FROM orders GROUP BY status SELECT COUNT(*) AS n, MAX(amount) AS top")
+    e.apply("TRANSFORM chain FROM view GROUP BY status SELECT SUM(twice) AS twice")
+    e.build()
+    for _ in range(5):
+        now = mutate(r, rows, order, r.sample(range(40), 8))
+        e.process({"orders": snapshot_diff(frame(spark, rows, ORDERS), frame(spark, now, ORDERS), ["id"])})
+        rows = now
+    entry = e.store.entry(e.manifest, "orders")
+    assert len(entry.deltas) == {2: 1, 12: 0 if not share else 5}[most] or most == 2 and 1 <= len(entry.deltas) <= 2
+    assert {tuple(x) for x in e.table("orders").collect()} == {tuple(x) for x in frame(spark, rows, ORDERS).collect()}
+    assert all(e.self_check(n)["ok"] for n in ("view", "totals", "chain"))
+    some = e.store.read(entry, [0, 3]).collect()
+    assert {x["id"] for x in some} == {x["id"] for x in e.table("orders").withColumn("b", store.bucket_of(["id"], 5)).filter("b IN (0, 3)").collect()}
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    sizes = []
+    for n in (2_000, 200_000):
+        e = Engine(spark, str(tmp_path / str(n)), buckets=2)
+        rows = spark.range(n).selectExpr("id", "id % 100 AS g", "CAST(id AS DECIMAL(12,2)) AS v")
+        e.source("s", rows, ["id"])
+        e.apply("TRANSFORM t FROM s SELECT v * 2 AS w")
+        e.apply("TRANSFORM g FROM s GROUP BY g SELECT SUM(v) AS v")
+        e.build()
+        e.process({"s": snapshot_diff(rows.limit(0), spark.range(n, n + 50).selectExpr("id", "id % 100 AS g", "CAST(1 AS DECIMAL(12,2)) AS v"), ["id"])})
+        m = e.manifest
+        sizes.append(sum(size for name in ("s", "t", "g") for _, size in e.store.entry(m, name).deltas))
+    assert 0 < sizes[1] < 1.5 * sizes[0]
+
+
+def test_join_cells_of_any_multiplicity(spark):
+    s = Session()
+    s.source("facts", spark.createDataFrame([(1, 1, Decimal("0.01"), 0.1)], "id int, k int, v decimal(12,2), f double"), ["id"])
+    s.source("dims", spark.createDataFrame([(1, 1, "x", Decimal("2.50"), 1e290)], "id int, k int, g string, w decimal(12,2), h double"), ["id"])
+    d = s.check("TRANSFORM t FROM facts JOIN dims ON facts.k = dims.k GROUP BY dims.g SELECT COUNT(*) AS n, SUM(facts.v) AS v, SUM(dims.w) AS w, SUM(facts.f) AS f, SUM(dims.h) AS h")
+    j = JoinPlan(d)
+    left, right = (j.side(i, s.frames[n]) for i, n in enumerate(("facts", "dims")))
+    many = 3_000_000_000
+    big = "CAST(12345678901234567890123.45 AS DECIMAL(38,2))"
+    left = left.withColumns({N: F.lit(many), **{c: F.expr(big) for c in left.columns if c.startswith("__s")}})
+    right = right.withColumn(N, F.lit(7))
+    state = j.total(j.matched(left, right), j.matched(left, right))
+    [row] = state.select(*Partials(d.fields, key_types(d), d.scope).visible(state, d.types)).collect()
+    assert row["n"] == 2 * many * 7 and row["v"] == 2 * 7 * Decimal("12345678901234567890123.45") and row["w"] == 2 * many * Decimal("2.50")
+    assert row["f"] == float(Fraction(0.1) * 14) and row["h"] == float(Fraction(1e290) * 2 * many)
