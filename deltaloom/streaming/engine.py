@@ -7,6 +7,7 @@ manifest is there, and a batch number that the latest manifest has passed is ski
 from __future__ import annotations
 
 import json
+import re
 import threading
 import time
 import uuid
@@ -36,6 +37,8 @@ WAITING, BACKFILLING, CATCHING_UP, LIVE, QUARANTINED, PAUSED = "waiting_to_backf
 FUSE = 5
 #: Rows of a source for which one bucket is made; a batch rewrites whole buckets, and a task writes one.
 BUCKET_ROWS = 2_000_000
+#: Upper bounds of the latency histograms, in seconds.
+LATENCIES = (0.01, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60)
 POISON = "__poison"
 POISON_SCHEMA = T.StructType([*[T.StructField(n, T.StringType()) for n in ("transform", "src_table", "key", "field", "state")], T.StructField("seq", T.LongType())])
 
@@ -320,6 +323,8 @@ class Engine:
         if x["status"] not in (PAUSED, QUARANTINED):
             raise refuse("TransformNotPaused", name)
         self._checked(m, name)
+        if stale := [r for r in x["reads"] if m["sources"].get(r, {}).get("drifted")]:
+            raise refuse("TransformNotLive", f"the schema of {', '.join(stale)} has changed; replace the source first")
         x |= {"status": BACKFILLING, "error": None, "deaths": {}, "paused_columns": [], "schemas": {r: self._fingerprint(m, r) for r in x["reads"]}}
         self._rebuild(m, name)
         return {"resumed": name, "status": x["status"]}
@@ -361,14 +366,15 @@ class Engine:
         self._commit(m)
         return done
 
-    def _rebuild(self, m: dict, name: str) -> None:
-        """Recompute a target in full; its readers get the difference to what it held."""
+    def _rebuild(self, m: dict, name: str, readers: bool = True) -> None:
+        """Recompute a target in full; its readers, if they are wanted, get the difference to what it held."""
         x = m["transforms"][name]
         d = self._checked(m, name)
         before = self.store.entry(m, name)
         frames = lambda n: self._frame(m, n)
         x["status"] = BACKFILLING
         self._unhold(m, name)
+        began = time.time()
         try:
             if d.kind in ("one_to_one", "join_one_to_one"):
                 rows = full(d, frames, guard=True)
@@ -395,7 +401,8 @@ class Engine:
         x["status"] = QUARANTINED if x["held"] >= self.fuse else LIVE
         if x["status"] == QUARANTINED:
             x["error"] = f"{x['held']} keys failed while building"
-        if before is not None and self._readers(m, name):
+        self._count(m, builds_total=1, build_seconds_total=time.time() - began)
+        if readers and before is not None and self._readers(m, name):
             after = self.store.entry(m, name)
             shaped = replace(before, schema=json.dumps(self._target_schema(d).jsonValue()))
             self._propagate(m, {name: self._changes_of(m, d, feed(shaped, self._shown(d, self.store.read(before)), self._shown(d, self.store.read(after))))})
@@ -441,24 +448,74 @@ class Engine:
         m["batch"] = m["batch"] + 1 if batch_id is None else batch_id
         m["seq"] = max(m["seq"], top)
         self._count(m, batches_total=1, batch_seconds_total=time.time() - began)
+        self._observe(m, "batch_duration_seconds", time.time() - began)
         self._commit(m)
         self.store.files.delete("tmp")
         return True
 
     def _count(self, m: dict, **more: float) -> None:
-        for k, v in more.items():
-            m["metrics"][k] = round(m["metrics"].get(k, 0) + v, 6)
+        with self._lock:
+            for k, v in more.items():
+                m["metrics"][k] = round(m["metrics"].get(k, 0) + v, 6)
+
+    def _observe(self, m: dict, name: str, seconds: float) -> None:
+        """Count a duration in its histogram: by the first bound that is no less, the sum of seconds last."""
+        with self._lock:
+            h = m.setdefault("histograms", {}).setdefault(name, [0] * (len(LATENCIES) + 1) + [0.0])
+            h[next((i for i, x in enumerate(LATENCIES) if seconds <= x), len(LATENCIES))] += 1
+            h[-1] = round(h[-1] + seconds, 6)
 
     def _drifted(self, m: dict, name: str, rows: DataFrame) -> bool:
-        """Pause the readers of a source whose changes no longer have its schema."""
-        want = self.store.entry(m, name).struct
-        got = rows.schema["new"].dataType
-        if [(f.name, f.dataType) for f in got] == [(f.name, f.dataType) for f in want]:
+        """Whether changes no longer have what a source's rows had. Its readers are paused then, until ``replace_source``; added columns do no harm."""
+        want, got = self.store.entry(m, name).struct, {f.name: f.dataType for f in rows.schema["new"].dataType}
+        lost = [f.name for f in want if got.get(f.name) != f.dataType]
+        if lost:
+            m["sources"][name]["drifted"] = True
+        if not m["sources"][name].get("drifted"):
             return False
         for r in self._readers(m, name):
-            m["transforms"][r] |= {"status": PAUSED, "error": f"schema of {name} changed: {want.simpleString()} to {got.simpleString()}"}
+            m["transforms"][r] |= {"status": PAUSED, "error": f"schema of {name} changed: {', '.join(lost) or 'it'} is missing or of another type"}
         return True
 
+    @planned
+    def replace_source(self, name: str, rows: DataFrame, *, types: dict[str, str] | None = None) -> dict[str, str]:
+        """Take a source's rows as they are now, whose columns may have been added, dropped, renamed or given other types.
+
+        All that reads it, directly or by way of other targets, is checked again and rebuilt, or paused with the reason
+        where it no longer holds. Returns the status of each.
+        """
+        m = self.manifest
+        if name not in m["sources"]:
+            raise refuse("SourceTableNotFound", name)
+        s, e = m["sources"][name], self.store.entry(m, name)
+        if gone := [k for k in s["key"] if k not in rows.columns]:
+            raise refuse("SourceKeyChanged", f"{name}: {', '.join(gone)}")
+        s |= {"drifted": False, "types": {**s["types"], **(types or {})}, "unique": [u for u in s["unique"] if set(u) <= set(rows.columns)]}
+        self.store.put(m, self.store.write(replace(e, schema=json.dumps(rows.schema.jsonValue())), rows))
+        out, reached, waiting = {}, {name}, list(m["transforms"])
+        while waiting:  # each after all that it reads
+            found = next(t for t in waiting if not set(m["transforms"][t]["reads"]) & set(waiting))
+            waiting.remove(found)
+            if not set(m["transforms"][found]["reads"]) & reached:
+                continue
+            x = m["transforms"][found]
+            reached.add(found)
+            if x["status"] == WAITING:
+                continue
+            was_paused = x["status"] == PAUSED and x["error"] == "paused by statement"
+            try:
+                self._checked(m, found)
+                if not was_paused:
+                    x |= {"status": BACKFILLING, "error": None}
+                    self._rebuild(m, found, readers=False)
+            except EngineError as error:
+                x |= {"status": PAUSED, "error": str(error)}
+            x["schemas"] = {r: self._fingerprint(m, r) for r in x["reads"]}
+            out[found] = x["status"]
+        self._count(m, drift_rebuilds_total=sum(s == LIVE for s in out.values()))
+        self._commit(m)
+        return out
+
     def _take_in(self, m: dict, name: str, rows: DataFrame, seq: int) -> Changed:
         """Bring a source's snapshot up to date; returns its changes."""
         e = self.store.entry(m, name)
@@ -469,7 +526,8 @@ class Engine:
             rows = rows.withColumn("change_id", F.monotonically_increasing_id())
         no_key = reduce(lambda a, b: a | b, [(F.col(side).isNotNull() & F.col(f"{side}.`{k}`").isNull()) for side in ("old", "new") for k in key])
         seen = Observation()  # counted while the changes are written
-        rows = rows.select("op", "seq", "change_id", *[F.col(c).cast(e.struct).alias(c) for c in ("old", "new")])
+        image = lambda c: F.when(F.col(c).isNotNull(), F.struct(*[F.col(f"{c}.`{f.name}`") for f in e.struct])).cast(e.struct).alias(c)
+        rows = rows.select("op", "seq", "change_id", image("old"), image("new"))
         counts = [F.count(F.when(F.col("op") == op, 1)).alias(op) for op in delta.OPS]
         rows = self._stash(m, rows.observe(seen, F.count(F.lit(1)).alias("all"), *counts, F.count(F.when(no_key, 1)).alias("no_key"), F.max(F.when(F.col("op") == "truncate", F.col("seq"))).alias("floor")))
         got = seen.get
@@ -523,9 +581,10 @@ class Engine:
 
     def _advance(self, m: dict, name: str, raws: dict[str, Changed]) -> Changed | None:
         """Bring one definition up to date; returns its own changes if anything reads it."""
-        d = self._checked(m, name)
+        d, began = self._checked(m, name), time.time()
         try:
             out = {"one_to_one": self._one_to_one, "join_one_to_one": self._join_one_to_one, "aggregate": self._aggregate, "join": self._join}[d.kind](m, d, raws)
+            self._observe(m, f"transform_seconds:{name}", time.time() - began)
             if out is None or not self._readers(m, name):
                 return None
             return self._changes_of(m, d, out)
@@ -735,8 +794,10 @@ class Engine:
             out = self._put_rows(m, d, row, rows_of(d, joined(d, lambda n: self._frame(m, n), now), True), [n for n, _ in d.fields])
             if self._readers(m, name):
                 self._propagate(m, {name: self._changes_of(m, d, out)})
+        done = self.store.read(self.store.entry(m, POISON)).filter((F.col("transform") == name) & (F.col("key") == text)).isEmpty()
+        self._count(m, held_key_retries_total=1, held_key_retries_succeeded_total=int(done))
         self._commit(m)
-        return self.quarantined(name).filter(F.col("key") == text).isEmpty()
+        return done
 
     @planned
     def correct_partition(self, name: str, values: dict[str, object], rows: DataFrame | None = None) -> bool:
@@ -763,6 +824,16 @@ class Engine:
             out.append(f'CREATE TABLE "{n}" ({columns}, UNIQUE ({", ".join(chr(34) + k + chr(34) for k in d.key)}));\n')
         return "".join(out)
 
+    def filter_schema_dump(self, text: str) -> str:
+        """A dump of CREATE TABLE statements without the targets that definitions make again, and without their hidden parts."""
+        m, kept = self.manifest, []
+        for s in split_statements(text):
+            made = re.match(r'CREATE\s+TABLE\s+(?:"((?:[^"]|"")*)"|([\w.]+))', s, re.I)
+            name = (made[1] or made[2]).rpartition(".")[2] if made else None
+            if name not in m["transforms"] and not (name or "").startswith("__") and ".__" not in (made[0] if made else ""):
+                kept.append(s + ";\n")
+        return "".join(kept)
+
     def definitions(self) -> dict[str, dict]:
         return {n: {k: x[k] for k in ("text", "grammar", "reads", "status")} for n, x in self.manifest["transforms"].items()}
 
@@ -820,12 +891,60 @@ class Engine:
         return {"target": name, "ok": not missing and not extra, "missing": missing, "extra": extra, "held_keys": x["held"]}
 
     def metrics(self) -> str:
-        """Counters and gauges in the Prometheus text format."""
+        """Counters, gauges and histograms in the Prometheus text format."""
         m = self.manifest
-        lines = [f"deltaloom_{k} {v}" for k, v in sorted(m["metrics"].items())]
-        lines += [f"deltaloom_seq {m['seq']}", f"deltaloom_batch {m['batch']}", f"deltaloom_pending_commits {self._pending(m)}"]
-        lines += [f'deltaloom_held_keys{{transform="{quote_table(n)}"}} {x["held"]}' for n, x in m["transforms"].items()]
-        return "\n".join([*lines, *[f'deltaloom_status{{transform="{quote_table(n)}",status="{x["status"]}"}} 1' for n, x in m["transforms"].items()]]) + "\n"
+        of = m["transforms"]
+        pending = self._pending_commits(m)
+        gauges = {"up": 1, "seq": m["seq"], "batch": m["batch"], "pending_commits": len(pending), "pending_bytes": sum(n for n, _ in pending), "oldest_pending_age_seconds": round(time.time() - min(t for _, t in pending), 3) if pending else 0}
+        gauges |= {"definitions": len(of), "paused_definitions": sum(x["status"] == PAUSED for x in of.values()), "quarantined_definitions": sum(x["status"] == QUARANTINED for x in of.values())}
+        gauges |= {"definitions_with_paused_columns": sum(bool(x["paused_columns"]) for x in of.values()), "paused_columns": sum(len(x["paused_columns"]) for x in of.values()), "drifted_sources": sum(bool(s.get("drifted")) for s in m["sources"].values())}
+        entries = {t: self.store.entry(m, t) for t in m["tables"]}
+        gauges |= {"base_bytes": sum(e.size for e in entries.values()), "change_bytes": sum(n for e in entries.values() for _, n in e.deltas), "change_folders": sum(len(e.deltas) for e in entries.values())}
+        lines = [f"deltaloom_{k} {v}" for k, v in sorted((m["metrics"] | gauges).items())]
+        for n, x in of.items():
+            label = f'transform="{quote_table(n)}"'
+            lines += [f"deltaloom_held_keys{{{label}}} {x['held']}", f"deltaloom_column_failures_total{{{label}}} {sum(x['deaths'].values())}", f'deltaloom_status{{{label},status="{x["status"]}"}} 1']
+        for name, h in sorted(m.get("histograms", {}).items()):
+            kind, _, target = name.partition(":")
+            label = f'transform="{quote_table(target)}",' if target else ""
+            for i, bound in enumerate([*LATENCIES, "+Inf"]):
+                lines.append(f'deltaloom_{kind}_bucket{{{label}le="{bound}"}} {sum(h[: i + 1])}')
+            own = f"{{{label.rstrip(',')}}}" if label else ""
+            lines += [f"deltaloom_{kind}_sum{own} {h[-1]}", f"deltaloom_{kind}_count{own} {sum(h[:-1])}"]
+        return "\n".join(lines) + "\n"
+
+    def _pending_commits(self, m: dict) -> list[tuple[int, float]]:
+        """Bytes and time of each commit that has not been applied."""
+        files, out = self.store.files, []
+        for n in files.list("log/commits"):
+            if n.endswith(".json") and int(n.removesuffix(".json")) > m["seq"]:
+                marker = json.loads(files.read(f"log/commits/{n}"))
+                status = files.fs.getFileStatus(files.path(f"log/commits/{n}"))
+                out.append((sum(files.size(f"log/{t}") for t in marker["tables"]), status.getModificationTime() / 1000))
+        return out
+
+    def start_self_check(self, name: str) -> str:
+        """Audit a target in the background; returns the job's id for ``self_check_job``."""
+        job = uuid.uuid4().hex
+        target = self._name(self.manifest, name)
+        self.store.files.write(f"checks/{job}.started.json", json.dumps({"id": job, "target": target, "status": "running"}))
+
+        def run() -> None:
+            try:
+                out = {"status": "done", "result": self.self_check(target)}
+            except (EngineError, PySparkException) as error:
+                out = {"status": "failed", "error": str(error)[:500]}
+            self.store.files.write(f"checks/{job}.ended.json", json.dumps({"id": job, "target": target} | out))
+
+        threading.Thread(target=run, daemon=True).start()
+        return job
+
+    def self_check_job(self, job: str) -> dict | None:
+        """What an audit has come to; None of an unknown one."""
+        for state in ("ended", "started"):
+            if self.store.files.exists(f"checks/{job}.{state}.json"):
+                return json.loads(self.store.files.read(f"checks/{job}.{state}.json"))
+        return None
 
     def detect_capture_disruptions(self) -> list[str]:
         """Tables of which a file folder is gone; their readers have to be paused and resumed once the source is registered again."""

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 from decimal import Decimal
 from fractions import Fraction
 
@@ -323,14 +324,52 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--root", str(tmp_path / "f"), "restore", str(tmp_path / "dump.sql")], spark) == 0
 
 
-def test_schema_drift_pauses_readers(spark, tmp_path):
+def test_schema_drift(spark, tmp_path):
     e = Engine(spark, str(tmp_path), buckets=2)
-    e.source("s", spark.createDataFrame([(1, 10)], "id int, v int"), ["id"])
+    e.source("s", spark.createDataFrame([(1, 10, "x"), (2, 20, "y")], "id int, v int, c string"), ["id"])
+    e.apply("TRANSFORM t FROM s SELECT v + 1 AS w")
+    e.apply("TRANSFORM u FROM t GROUP BY w SELECT COUNT(*) AS n")
+    e.apply("TRANSFORM k FROM s SELECT c AS c")
+    e.build()
+    wider = spark.createDataFrame([(3, 5, "z", True)], "id int, v int, c string, more boolean")
+    e.process({"s": snapshot_diff(wider.limit(0), wider, ["id"])})  # an added column does no harm
+    assert e.status("t")["status"] == "live" and e.table("t").count() == 3
+    now = spark.createDataFrame([(1, 10), (4, 2**40)], "id int, v bigint")
+    e.process({"s": snapshot_diff(now.limit(0), now, ["id"])})
+    assert e.status("t")["status"] == e.status("k")["status"] == "paused" and "schema of s changed" in e.status("t")["error"]
+    with pytest.raises(EngineError, match="replace the source"):
+        e.apply("RESUME TRANSFORM t")
+    assert "deltaloom_drifted_sources 1" in e.metrics()
+    assert e.replace_source("s", now) == {"t": "live", "u": "live", "k": "paused"}
+    assert {tuple(r) for r in e.table("t").collect()} == {(1, 11), (4, 2**40 + 1)} and {r["w"] for r in e.table("u").collect()} == {11, 2**40 + 1}
+    assert "UnresolvedColumn" in e.status("k")["error"]
+    e.process({"s": snapshot_diff(now, now.filter("id = 1"), ["id"])})
+    assert e.self_check("t")["ok"] and e.self_check("u")["ok"] and e.table("u").count() == 1
+    with pytest.raises(EngineError, match="SourceKeyChanged"):
+        e.replace_source("s", now.drop("id"))
+
+
+def test_reports(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2)
+    rows = spark.createDataFrame([(1, 10)], "id int, v int")
+    e.source("s", rows, ["id"])
     e.apply("TRANSFORM t FROM s SELECT v AS w")
     e.build()
-    a, b = spark.createDataFrame([], "id int, v bigint"), spark.createDataFrame([(2, 5)], "id int, v bigint")
-    e.process({"s": snapshot_diff(a, b, ["id"])})
-    assert e.status("t")["status"] == "paused" and "schema of s changed" in e.status("t")["error"]
+    job = e.start_self_check("t")
+    for _ in range(300):
+        if e.self_check_job(job)["status"] != "running":
+            break
+        time.sleep(0.1)
+    assert e.self_check_job(job) == {"id": job, "target": "t", "status": "done", "result": {"target": "t", "ok": True, "missing": 0, "extra": 0, "held_keys": 0}}
+    assert e.self_check_job("nothing") is None
+    own = 'CREATE TABLE "mine" ("a;b" text);\nCREATE TABLE other (x int);\n'
+    assert e.filter_schema_dump(e.schema_dump() + own + 'CREATE TABLE "t.__p" (x int);') == own
+    ChangeLog(e).append({"s": snapshot_diff(rows, rows.limit(0), ["id"])})
+    assert "deltaloom_pending_commits 1" in e.metrics() and "deltaloom_pending_bytes 0" not in e.metrics()
+    ChangeLog(e).drain()
+    text = e.metrics()
+    for line in ("deltaloom_batches_total 1", "deltaloom_builds_total 1", "deltaloom_definitions 1", 'deltaloom_batch_duration_seconds_bucket{le="+Inf"} 1', 'deltaloom_transform_seconds_count{transform="t"} 1', "deltaloom_pending_commits 0"):
+        assert line in text.splitlines(), line
 
 
 def test_tampering_is_found(spark, tmp_path):
