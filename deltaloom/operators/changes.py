@@ -100,11 +100,14 @@ def read_columns(d: Checked, s: int = 0) -> list[str]:
 
 def aggregate(d: Checked, p: Partials, changes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Partials of the changes, and the sides that fail (r, state), if any can."""
-    rows = sides(changes, read_columns(d) or list(d.relations[0].key))
     c = compiler_of(d, True, "r")
+    err, key = p.errors(c), list(d.relations[0].key)
+    columns = read_columns(d)
+    if err is not None or not columns:  # rows that fail are named by their key
+        columns = list(dict.fromkeys([*columns, *key]))
+    rows = sides(changes, columns)
     if d.text.where is not None:
         rows = rows.filter(c.value(d.text.where).col)
-    err = p.errors(c)
     failed = None
     if err is not None:
         rows = rows.withColumn(ERROR, err)

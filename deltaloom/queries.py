@@ -6,6 +6,7 @@ and dates and times as text, so that two engines' values can be compared.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from deltaloom import maintenance_queries
 from deltaloom.errors import EngineError
 from deltaloom.plans.parser import statement_kind
 from deltaloom.session import Session
@@ -223,7 +225,10 @@ def workspace(spark: SparkSession) -> str:
     """A new folder on storage that all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/deltaloom-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return f"{sc.getCheckpointDir().rstrip('/')}/engine-{uuid.uuid4().hex}"
 
 
@@ -396,7 +401,7 @@ def _values(rows, columns: str) -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: plain(name) for name in PLAIN} | {name: f for name, (f, _) in DELTA.items()}
-    return out | {f.__name__: f for f in (self_check_clean, quarantine_division, refusals, statement_kinds)}
+    return out | {f.__name__: f for f in (self_check_clean, quarantine_division, refusals, statement_kinds)} | maintenance_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -405,4 +410,4 @@ def oracle_sql() -> dict[str, str]:
     out["quarantine_division"] = "SELECT 't' AS transform, c_custkey, 'ratio' AS field, '22012' AS state FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey = 3"
     out["refusals"] = _values(REFUSED, "statement, error")
     kinds = (("TRANSFORM t FROM s SELECT a AS b", "transform"), ("ALTER TRANSFORM t DROP b", "alter"), ("PAUSE TRANSFORM t.b", "pause"), ("RESUME TRANSFORM t", "resume"), ("DROP TRANSFORM t", "drop"))
-    return out | {"statement_kinds": _values(kinds, "statement, kind")}
+    return out | {"statement_kinds": _values(kinds, "statement, kind")} | maintenance_queries.oracle_sql(_values)

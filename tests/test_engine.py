@@ -470,3 +470,16 @@ def test_join_cells_of_any_multiplicity(spark):
     [row] = state.select(*Partials(d.fields, key_types(d), d.scope).visible(state, d.types)).collect()
     assert row["n"] == 2 * many * 7 and row["v"] == 2 * 7 * Decimal("12345678901234567890123.45") and row["w"] == 2 * many * Decimal("2.50")
     assert row["f"] == float(Fraction(0.1) * 14) and row["h"] == float(Fraction(1e290) * 2 * many)
+
+
+def test_aggregates_hold_rows_by_a_key_that_they_do_not_read(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2, fuse=100)
+    schema = "id int, g string, a decimal(10,2), b decimal(10,2)"
+    base = {1: (1, "x", Decimal(6), Decimal(2)), 2: (2, "y", Decimal(5), Decimal(1))}
+    e.source("s", frame(spark, base, schema), ["id"])
+    e.apply("TRANSFORM t FROM s GROUP BY g SELECT SUM(a / b) AS q, COUNT(*) AS n")
+    e.build()
+    now = {1: (1, "x", Decimal(6), Decimal(0)), 3: (3, "y", Decimal(4), Decimal(2)), 2: base[2]}
+    e.process({"s": snapshot_diff(frame(spark, base, schema), frame(spark, now, schema), ["id"])})
+    assert [(x["key"], x["state"]) for x in e.sample_quarantined("t")] == [('{"id":1}', "22012")] and e.status("t")["status"] == "live"
+    assert [tuple(r) for r in e.table("t").collect()] == [("y", Decimal(7), 2)] and e.self_check("t")["ok"]
