@@ -14,7 +14,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -229,44 +229,55 @@ def _pairs(held_in: DataFrame, held: DataFrame, values: DataFrame, support: int)
 
 
 def _documents_of(texts: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(term, n_term): in how many different texts each of ``terms`` stands; ``repeated`` has the keys of texts that stand there several times."""
+    """(term, n_term): in how many different texts each of ``terms`` stands; ``repeated`` has the keys of texts that stand there several times.
+
+    Terms are numbered where they may travel with the tasks, and their numbers are sent; otherwise all terms of all texts are.
+    """
     spark = texts.sparkSession
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = spark.sparkContext.broadcast(frozenset(r["term"].encode() for r in terms.collect())) if few else None
+    asked = None
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        names = sorted(r["term"] for r in terms.collect())
+        asked = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(names)})
     keyed = texts.withColumn("m_key", F.xxhash64("m_text"))
     if repeated.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         keyed = keyed.join(F.broadcast(repeated.withColumn("m_again", F.lit(True))), "m_key", "left")
     else:  # every text may be one of several
         keyed = keyed.withColumn("m_again", F.lit(True))
 
+    def found_in(t: str) -> Iterable:
+        found = terms_in(t, base_spans(t) if "@" in t or DIGIT.search(t) else [])
+        return lettered(found) if asked is None else map(asked.value.__getitem__, found & asked.value.keys())
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[bytes, int] = {}
+        total: dict = {}
+        sent: list[tuple] = []
 
-        def tally() -> pd.DataFrame:
-            return tallies([(w, NONE, None, total[x]) for x in total for w in lettered([x])])
+        def rows(found) -> pd.DataFrame:
+            return pd.DataFrame(list(found), columns=["term", "m_key", "n"]).astype({"m_key": "Int64"})
 
-        sent: list[tuple] = []
         for pdf in batches:
             for key, t, again in zip(pdf["m_key"], pdf["m_text"], pdf["m_again"].notna(), strict=True):
-                found = terms_in(t, base_spans(t) if "@" in t or DIGIT.search(t) else [])
-                found = found if asked is None else found & asked.value
                 if again:
-                    sent += [(w, NONE, key, 1) for w in (lettered(found) if asked is None else map(bytes.decode, found))]
+                    sent += [(w, key, 1) for w in found_in(t)]
                     if len(sent) > SENT:
-                        yield tallies(sent)
+                        yield rows(sent)
                         sent = []
-                    continue
-                for w in found:
-                    total[w] = total.get(w, 0) + 1
+                else:
+                    for w in found_in(t):
+                        total[w] = total.get(w, 0) + 1
             if len(total) > TALLY:
-                yield tally()
+                yield rows((w, None, n) for w, n in total.items())
                 total = {}
-        yield tallies(sent)
-        yield tally()
+        yield rows(sent)
+        yield rows((w, None, n) for w, n in total.items())
 
-    each = keyed.mapInPandas(count, TALLIES).groupBy("term", "m_key").agg(F.sum("n").alias("n"))  # combined in each task, so copies send a row a task
+    each = keyed.mapInPandas(count, f"term {'string' if asked is None else 'int'}, m_key bigint, n bigint")
+    each = each.groupBy("term", "m_key").agg(F.sum("n").alias("n"))  # combined in each task, so copies send a row a task
     counted = each.groupBy("term").agg(F.sum(F.when(F.col("m_key").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
-    return counted.join(terms, "term", "left_semi")
+    if asked is None:
+        return counted.join(terms, "term", "left_semi")
+    numbered = spark.createDataFrame(list(enumerate(names)), "i int, term string")
+    return numbered.join(counted.withColumnRenamed("term", "i"), "i").drop("i")
 
 
 def term_spans(text: str, spans: list[Span], terms: Terms) -> list[Span]:
