@@ -18,9 +18,10 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.llm.common import add_fields, durable, texts_of, unused
@@ -33,6 +34,8 @@ SUPPORT, ALPHA, LEAST_INFORMATION = 5, 0.7, math.log(2)
 BROADCAST_TERMS = 200_000
 #: Terms that a task counts, and (document, term) rows that it gathers, before it hands them on.
 TALLY, SENT = 300_000, 50_000
+#: Counts that a task sends in one row.
+BLOCK = 1024
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 EDGE_BYTES = EDGE.encode()
 
@@ -163,20 +166,26 @@ def disclosing(docs: DataFrame, *, text_col: str = "text", support: int = SUPPOR
     in fewer than ``support`` documents cannot be disclosed as such.
 
     Only terms that stand beside an entity in ``support`` documents can disclose one, so the documents with entities are
-    counted first, and of all the others only how many hold one of these terms. Of texts that stand there several
-    times each (document, term) is sent and counted once; all others are added up within their task.
+    counted first. In how many of them a term stands bounds its PMI from above, as it stands in so many documents at least; terms whose
+    bound is too low for all their entities are done. Of all the other documents only how many hold one of the remaining terms is
+    counted. Of texts that stand there several times each (document, term) is sent and counted once; all others are added up
+    within their task.
     """
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("m_text"))
     held_in, held = _holders(texts)
     sizes = durable(held.groupBy("kind", "value").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support))
-    pairs = durable(_pairs(held_in, held, sizes.filter(F.col("value") != ANY).select("kind", "value"), support))
+    pairs = _pairs(held_in, held, sizes.filter(F.col("value") != ANY).select("kind", "value"), support)
     keys = durable(texts.groupBy(F.xxhash64("m_text").alias("m_key")).agg(F.count("*").alias("n_copies")))
     total = float(max(1, keys.count()))
-    terms = _documents_of(texts, pairs.select("term").distinct(), keys.filter("n_copies > 1").select("m_key"))
-    both = pairs.join(terms, "term").join(sizes, ["kind", "value"])
     information = -F.log(F.col("n_entity") / total)
-    pmi = F.log(F.col("n_pair") / total) - F.log(F.col("n_term") / total) + information
-    return durable(both.filter((pmi >= alpha * information) & (information >= LEAST_INFORMATION)).select("term", "kind", "value"))
+
+    def enough(n_term: str) -> Column:
+        pmi = F.log(F.col("n_pair") / total) - F.log(F.col(n_term) / total) + information
+        return (pmi >= alpha * information - 1e-9 * (n_term != "n_term")) & (information >= LEAST_INFORMATION)
+
+    pairs = durable(pairs.join(sizes, ["kind", "value"]).filter(enough("n_holders")))
+    terms = _documents_of(texts, pairs.select("term").distinct(), keys.filter("n_copies > 1").select("m_key"))
+    return durable(pairs.join(terms, "term").filter(enough("n_term")).select("term", "kind", "value"))
 
 
 def _holders(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -196,88 +205,122 @@ def _holders(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _pairs(held_in: DataFrame, held: DataFrame, values: DataFrame, support: int) -> DataFrame:
-    """(term, kind, value, n_pair): documents that hold a term and an entity, where they are ``support`` at least."""
+    """(term, kind, value, n_pair, n_holders): documents that hold a term and an entity, where they are ``support`` at least, and all that hold the term and any entity."""
     few = values.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     # without it, terms of all documents with entities are sent to the join
     often = held.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]) for r in values.collect()}) if few else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of_kind: list[dict[bytes, int]] = [{} for _ in KINDS]
+        of_kind: list[dict[bytes, int]] = [{} for _ in range(len(KINDS) + 1)]  # the last of all kinds
 
         def tally() -> pd.DataFrame:
-            return tallies([(w, k, None, own[x]) for k, own in enumerate(of_kind) for x in own for w in lettered([x])])
+            return tallies([(w, k if k < len(KINDS) else NONE, None, own[x]) for k, own in enumerate(of_kind) for x in own for w in lettered([x])])
 
         for pdf in batches:
             for key, t in zip(pdf["m_key"], pdf["m_text"], strict=True):
                 spans = base_spans(t)
                 terms = terms_in(t, spans)
-                for own in (of_kind[k] for k in {s.kind for s in spans}):
+                for own in (of_kind[k] for k in {len(KINDS), *(s.kind for s in spans)}):
                     for w in terms:
                         own[w] = own.get(w, 0) + 1
                 if often is None or not often.value.isdisjoint(entities(t, spans)):
                     yield tallies([(w, NONE, key, 1) for w in lettered(terms)])
             if sum(map(len, of_kind)) > TALLY:
                 yield tally()
-                of_kind = [{} for _ in KINDS]
+                of_kind = [{} for _ in of_kind]
         yield tally()
 
     counts = durable(held_in.mapInPandas(count, TALLIES).groupBy("term", "kind", "m_key").agg(F.sum("n").alias("n")).filter((F.col("n") >= support) | F.col("m_key").isNotNull()))
-    of_kinds = counts.filter("m_key IS NULL").select("term", "kind", F.lit(ANY).cast("bigint").alias("value"), F.col("n").alias("n_pair"))
+    sums = counts.filter("m_key IS NULL")
+    holders = sums.filter(F.col("kind") == NONE).select("term", F.col("n").alias("n_holders"))
+    of_kinds = sums.filter(F.col("kind") != NONE).select("term", "kind", F.lit(ANY).cast("bigint").alias("value"), F.col("n").alias("n_pair"))
     beside = counts.filter("m_key IS NOT NULL").select("m_key", "term").join(held.join(values, ["kind", "value"], "left_semi"), "m_key")
     of_values = beside.groupBy("term", "kind", "value").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support)
-    return of_kinds.unionByName(of_values)
+    return of_kinds.unionByName(of_values).join(holders, "term")
 
 
 def _documents_of(texts: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
     """(term, n_term): in how many different texts each of ``terms`` stands; ``repeated`` has the keys of texts that stand there several times.
 
-    Terms are numbered where they may travel with the tasks, and their numbers are sent; otherwise all terms of all texts are.
+    Terms are numbered where they may travel with the tasks: of single texts a task then sends one vector of counts, in blocks, and of
+    repeated ones the terms' numbers. Otherwise all terms of all texts are sent.
     """
-    spark = texts.sparkSession
-    asked = None
+    asked, names = None, []
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         names = sorted(r["term"] for r in terms.collect())
-        asked = spark.sparkContext.broadcast({w.encode(): i for i, w in enumerate(names)})
+        asked = texts.sparkSession.sparkContext.broadcast({w.encode(): i for i, w in enumerate(names)})
     keyed = texts.withColumn("m_key", F.xxhash64("m_text"))
     if repeated.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         keyed = keyed.join(F.broadcast(repeated.withColumn("m_again", F.lit(True))), "m_key", "left")
     else:  # every text may be one of several
         keyed = keyed.withColumn("m_again", F.lit(True))
+    once, again = keyed.filter("m_again IS NULL"), keyed.filter("m_again")
 
     def found_in(t: str) -> Iterable:
         found = terms_in(t, base_spans(t) if "@" in t or DIGIT.search(t) else [])
         return lettered(found) if asked is None else map(asked.value.__getitem__, found & asked.value.keys())
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: list[tuple] = []
+        for pdf in batches:
+            for key, t in zip(pdf["m_key"], pdf["m_text"], strict=True):
+                sent += [(w, key) for w in found_in(t)]
+                if len(sent) > SENT:
+                    yield pd.DataFrame(sent, columns=["term", "m_key"])
+                    sent = []
+        yield pd.DataFrame(sent, columns=["term", "m_key"])
+
+    kind = "string" if asked is None else "int"
+    # combined in each task first, so copies send a row a task
+    counted = again.mapInPandas(send, f"term {kind}, m_key bigint").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    counted = counted.unionByName(_tallied(once, found_in) if asked is None else _vectors(once, found_in, len(names)))
+    counted = counted.groupBy("term").agg(F.sum("n").alias("n_term"))
+    if asked is None:
+        return counted.join(terms, "term", "left_semi")
+    numbered = texts.sparkSession.createDataFrame(list(enumerate(names)), "i int, term string")
+    return numbered.join(counted.withColumnRenamed("term", "i"), "i").drop("i")
+
 
-        def rows(found) -> pd.DataFrame:
-            return pd.DataFrame(list(found), columns=["term", "m_key", "n"]).astype({"m_key": "Int64"})
+def _tallied(texts: DataFrame, found_in) -> DataFrame:
+    """(term, n): how many texts of a task hold each term."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, int] = {}
         for pdf in batches:
-            for key, t, again in zip(pdf["m_key"], pdf["m_text"], pdf["m_again"].notna(), strict=True):
-                if again:
-                    sent += [(w, key, 1) for w in found_in(t)]
-                    if len(sent) > SENT:
-                        yield rows(sent)
-                        sent = []
-                else:
-                    for w in found_in(t):
-                        total[w] = total.get(w, 0) + 1
+            for t in pdf["m_text"]:
+                for w in found_in(t):
+                    total[w] = total.get(w, 0) + 1
             if len(total) > TALLY:
-                yield rows((w, None, n) for w, n in total.items())
+                yield pd.DataFrame(list(total.items()), columns=["term", "n"])
                 total = {}
-        yield rows(sent)
-        yield rows((w, None, n) for w, n in total.items())
+        yield pd.DataFrame(list(total.items()), columns=["term", "n"])
 
-    each = keyed.mapInPandas(count, f"term {'string' if asked is None else 'int'}, m_key bigint, n bigint")
-    each = each.groupBy("term", "m_key").agg(F.sum("n").alias("n"))  # combined in each task, so copies send a row a task
-    counted = each.groupBy("term").agg(F.sum(F.when(F.col("m_key").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
-    if asked is None:
-        return counted.join(terms, "term", "left_semi")
-    numbered = spark.createDataFrame(list(enumerate(names)), "i int, term string")
-    return numbered.join(counted.withColumnRenamed("term", "i"), "i").drop("i")
+    return texts.select("m_text").mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _vectors(texts: DataFrame, found_in, n: int) -> DataFrame:
+    """(term, n): how many texts hold each of ``n`` numbered terms. Tasks send blocks of counts, which are added up as they come in."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(-(-n // BLOCK) * BLOCK, np.int64)
+        for pdf in batches:
+            for t in pdf["m_text"]:
+                total[np.fromiter(found_in(t), np.int64)] += 1  # a text's terms are all different
+        blocks = total.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        yield pd.DataFrame({"block": some.astype(np.int32), "counts": [blocks[b].tobytes() for b in some]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for b, counts in zip(pdf["block"], pdf["counts"], strict=True):
+                total[b] = total.get(b, 0) + np.frombuffer(counts, np.int64)
+        for b, counts in total.items():
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"term": (b * BLOCK + at).astype(np.int32), "n": counts[at]})
+
+    sent = texts.select("m_text").mapInPandas(count, "block int, counts binary")
+    return sent.repartition("block").mapInPandas(add, "term int, n bigint")
 
 
 def term_spans(text: str, spans: list[Span], terms: Terms) -> list[Span]:
