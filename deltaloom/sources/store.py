@@ -108,6 +108,11 @@ def same_key(left: str, right: str, key: Iterable[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in key])
 
 
+def nullable(schema: T.StructType) -> T.StructType:
+    """The same columns, all of which may be NULL, as they are once read from files."""
+    return T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in schema])
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 8):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -135,7 +140,7 @@ class Store:
     # tables
 
     def empty(self, name: str, schema: T.StructType, key: Iterable[str], bucket_by: Iterable[str] | None = None, buckets: int | None = None) -> Entry:
-        return Entry(name, json.dumps(schema.jsonValue()), tuple(key), tuple(bucket_by or key), buckets or self.buckets)
+        return Entry(name, json.dumps(nullable(schema).jsonValue()), tuple(key), tuple(bucket_by or key), buckets or self.buckets)
 
     def read(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
         """The rows of all or some buckets."""

@@ -30,7 +30,7 @@ from deltaloom.plans.definition import Checked, Relation, check
 from deltaloom.plans.nodes import Alter, Col, Lifecycle, Transform, quote_table
 from deltaloom.plans.parser import GRAMMAR, parse, split_statements
 from deltaloom.plans.render import target_select_sql
-from deltaloom.sources.store import GONE, Entry, Store, feed, same_key
+from deltaloom.sources.store import GONE, Entry, Store, feed, nullable, same_key
 
 WAITING, BACKFILLING, CATCHING_UP, LIVE, QUARANTINED, PAUSED = "waiting_to_backfill", "backfilling", "catching_up", "live", "quarantined", "paused"
 #: Failures of one column, or held keys of a transform, from which it is stopped.
@@ -491,7 +491,7 @@ class Engine:
         if gone := [k for k in s["key"] if k not in rows.columns]:
             raise refuse("SourceKeyChanged", f"{name}: {', '.join(gone)}")
         s |= {"drifted": False, "types": {**s["types"], **(types or {})}, "unique": [u for u in s["unique"] if set(u) <= set(rows.columns)]}
-        self.store.put(m, self.store.write(replace(e, schema=json.dumps(rows.schema.jsonValue())), rows))
+        self.store.put(m, self.store.write(replace(e, schema=json.dumps(nullable(rows.schema).jsonValue())), rows))
         out, reached, waiting = {}, {name}, list(m["transforms"])
         while waiting:  # each after all that it reads
             found = next(t for t in waiting if not set(m["transforms"][t]["reads"]) & set(waiting))
