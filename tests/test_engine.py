@@ -14,7 +14,7 @@ from deltaloom.operators.full import JoinPlan, key_types
 from deltaloom.operators.partials import N, Partials
 from deltaloom.session import Session
 from deltaloom.sources import store
-from deltaloom.sources.changelog import ChangeLog, snapshot_diff, truncate
+from deltaloom.sources.changelog import ChangeLog, inserts, snapshot_diff, truncate, updates
 from deltaloom.streaming.engine import Engine
 
 ORDERS = "id bigint, customer_id bigint, amount decimal(12,2), status string, f double, day date"
@@ -483,3 +483,22 @@ def test_aggregates_hold_rows_by_a_key_that_they_do_not_read(spark, tmp_path):
     e.process({"s": snapshot_diff(frame(spark, base, schema), frame(spark, now, schema), ["id"])})
     assert [(x["key"], x["state"]) for x in e.sample_quarantined("t")] == [('{"id":1}', "22012")] and e.status("t")["status"] == "live"
     assert [tuple(r) for r in e.table("t").collect()] == [("y", Decimal(7), 2)] and e.self_check("t")["ok"]
+
+
+def test_sources_whose_columns_cannot_be_null(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2)
+    rows = spark.range(6).select("id", (F.col("id") % 2).cast("int").alias("g"), (F.col("id") * 10).alias("v"))
+    assert not rows.schema["id"].nullable
+    e.source("s", rows, ["id"])
+    e.apply("TRANSFORM sums FROM s GROUP BY g SELECT SUM(v) AS v, COUNT(*) AS n")
+    e.apply("TRANSFORM each FROM s SELECT v + 1 AS w")
+    e.build()
+    e.process({"s": updates(rows.filter("id = 1"), v=F.lit(0).cast("bigint"))})
+    e.process({"s": inserts(spark.range(6, 8).select("id", F.lit(1).alias("g"), F.lit(5).cast("bigint").alias("v")))})
+    e.process({"s": snapshot_diff(rows.filter("id = 0"), rows.filter("id < 0"), ["id"])})
+    assert sorted((r["g"], int(r["v"]), r["n"]) for r in e.table("sums").collect()) == [(0, 60, 2), (1, 90, 5)]
+    assert all(e.self_check(t)["ok"] for t in ("sums", "each"))
+    e.replace_source("s", rows.select("id", "g", "v", F.lit(1).alias("more")))
+    e.process({"s": updates(rows.withColumn("more", F.lit(1)).filter("id = 3"), g=F.lit(0))})
+    assert sorted((r["g"], int(r["v"]), r["n"]) for r in e.table("sums").collect()) == [(0, 90, 4), (1, 60, 2)]
+    assert all(e.self_check(t)["ok"] for t in ("sums", "each"))
