@@ -16,8 +16,9 @@ from deltaloom.llm import common, fair_mix, langid, pii, queries, simhash, spm
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, whose language cannot be told, go; all others stay as they are, also where no language could be learned."""
-    found = langid.detect(docs, langid.train(docs), letters=True, prefix="m_")
-    return found.filter("m_has_letter").select(*[f"`{c}`" for c in docs.columns])
+    prefix = common.unused_prefix(docs, "m_")
+    found = langid.detect(docs, langid.train(docs), letters=True, prefix=prefix)
+    return found.filter(f"{prefix}has_letter").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,13 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def unused_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, with underscores until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def add_fields(df: DataFrame, struct: Column, fields: list[str], prefix: str = "") -> DataFrame:
     """``df`` with the fields of a struct, computed once, as columns; columns of their names (after ``prefix``) are replaced, all others stay."""
     got = unused(df, "m_got")
