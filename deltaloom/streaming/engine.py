@@ -115,7 +115,7 @@ class Engine:
         if verify:
             for k in (key, *map(tuple, unique)):
                 full_key = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in k])
-                if not rows.filter(full_key).groupBy(*[f"`{c}`" for c in k]).count().filter("count > 1").isEmpty():
+                if not rows.filter(full_key).groupBy(*[f"`{c}`" for c in k]).agg(F.count(F.lit(1)).alias("__times")).filter("__times > 1").isEmpty():
                     raise refuse("KeyNotBacked", f"{name} ({', '.join(k)}) holds a value twice")
             if not rows.filter(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in key])).isEmpty():
                 raise refuse("NullInNotNullKey", f"{name} ({', '.join(key)})")
@@ -549,7 +549,7 @@ class Engine:
             imaged = imaged.unionByName(held.select(F.lit(-1).cast("bigint").alias("seq"), F.lit(0).cast("bigint").alias("change_id"), F.col("r").alias("old"), F.col("r").alias("new")))
         net = imaged.select(*delta.key_of(key), "old", "new")
         keys = [f"`{k}`" for k in key]
-        many = self._keep(net.groupBy(*keys).count().filter("count > 1").select(*keys))
+        many = self._keep(net.groupBy(*keys).agg(F.count(F.lit(1)).alias("__times")).filter("__times > 1").select(*keys))
         if not many.isEmpty():  # only keys that change several times are folded
             several = imaged.select("*", *delta.key_of(key)).alias("a").join(many.alias("b"), same_key("a", "b", key), "left_semi")
             once = net.alias("a").join(many.alias("b"), same_key("a", "b", key), "left_anti")

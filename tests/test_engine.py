@@ -502,3 +502,15 @@ def test_sources_whose_columns_cannot_be_null(spark, tmp_path):
     e.process({"s": updates(rows.withColumn("more", F.lit(1)).filter("id = 3"), g=F.lit(0))})
     assert sorted((r["g"], int(r["v"]), r["n"]) for r in e.table("sums").collect()) == [(0, 90, 4), (1, 60, 2)]
     assert all(e.self_check(t)["ok"] for t in ("sums", "each"))
+
+
+def test_a_key_named_count(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), buckets=2)
+    rows = spark.range(4).select(F.col("id").alias("count"), (F.col("id") % 2).alias("seq"), (F.col("id") * 10).alias("v"))
+    e.source("s", rows, ["count"])
+    e.apply("TRANSFORM sums FROM s GROUP BY seq SELECT SUM(v) AS v")
+    e.apply("TRANSFORM each FROM s SELECT v + 1 AS w")
+    e.build()
+    one = rows.filter("`count` = 1")
+    e.process({"s": updates(one, v=F.lit(0)).unionByName(updates(one.withColumn("v", F.lit(0).cast("bigint")), v=F.lit(5)))})
+    assert all(e.status(t)["status"] == "live" and e.self_check(t)["ok"] for t in ("sums", "each"))
