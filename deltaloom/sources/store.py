@@ -1,10 +1,10 @@
 """Versioned tables on shared storage: a base in buckets by key, small folders of later changes, and one manifest per committed batch.
 
-A table's base is one folder of parquet with a partition for each bucket, a hash of its bucketing columns. A batch writes only
-what it changes, as a folder of whole rows and of keys that are gone, so its cost follows the changes and
+A table's base is one folder of parquet; of a table with many buckets, hashes of its bucketing columns, it has a partition for
+each, while one with few is always read whole and written where its rows are made. A batch writes only what it changes, as a folder of whole rows and of keys that are gone, so its cost follows the changes and
 not the table. Reading lays the changes over the base. Change folders are merged once they are many, and
 once they hold a set share of the base's bytes all is written anew, so that a byte of changes costs a bounded number of
-bytes in the long run. Nothing that a manifest names is ever overwritten, and a new manifest is written beside the
+bytes in the long run. A batch that is known to change so much goes into the new base at once. Nothing that a manifest names is ever overwritten, and a new manifest is written beside the
 old ones and renamed, so a batch is applied as a whole or not at all, and a lost executor or driver leaves at most
 files that no manifest names.
 """
@@ -27,6 +27,8 @@ BUCKET, GONE, AT = "__b", "__gone", "__at"
 SHARE, LEAST_BYTES, MOST_DELTAS = 0.25, 32 << 20, 12
 #: Tables of so many buckets at most are read whole: a batch touches nearly all of them anyway.
 FEW_BUCKETS = 16
+#: Bytes of a row group in a base without partitions, so that few files can still be read by many tasks.
+ROW_GROUP = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,7 @@ class Entry:
     buckets: int
     base: str = ""  # folder of the rows as last written whole; without one there are none
     size: int = 0  # its bytes
+    rows: int = 0  # and its rows; 0 if it is small
     deltas: tuple[tuple[str, int], ...] = ()  # folders of later changes, the oldest first, and their bytes
     top: int = 0  # number of the last folder of changes
 
@@ -147,9 +150,16 @@ class Store:
         rows = self._base(e, buckets)
         if not e.deltas:
             return rows
-        late = self._latest(e, buckets)
-        kept = rows.alias("o").join(late.select(*[f"`{k}`" for k in e.key]).alias("k"), same_key("o", "k", e.key), "left_anti")
-        return kept.select("o.*").unionByName(late.filter(f"NOT {GONE}").select(*self._names(e)))
+        return self._over(e, rows, self._latest(e, buckets))
+
+    def _over(self, e: Entry, rows: DataFrame, late: DataFrame) -> DataFrame:
+        """Changes laid over rows."""
+        return self._without(e, rows, late).unionByName(late.filter(f"NOT {GONE}").select(*self._names(e)))
+
+    @staticmethod
+    def _without(e: Entry, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows of no key in ``keys``."""
+        return rows.alias("o").join(keys.select(*[f"`{k}`" for k in e.key]).alias("k"), same_key("o", "k", e.key), "left_anti").select("o.*")
 
     @staticmethod
     def _names(e: Entry) -> list[str]:
@@ -186,12 +196,31 @@ class Store:
         """The table with ``rows`` as a new base."""
         folder = self._folder(e)
         placed = rows.select(*self._cast(e)).withColumn(BUCKET, bucket_of(e.bucket_by, e.buckets))
-        placed = placed.repartitionById(e.buckets, F.col(BUCKET)).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in e.key])  # a task for each bucket
-        placed.write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
-        return replace(e, base=folder, size=self.files.size(folder), deltas=(), top=0)
+        if e.buckets > FEW_BUCKETS:
+            placed = placed.repartitionById(e.buckets, F.col(BUCKET)).sortWithinPartitions(BUCKET, *[f"`{k}`" for k in e.key])  # a task for each bucket
+            placed.write.partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
+        else:
+            placed.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/{folder}")
+        e = replace(e, base=folder, size=self.files.size(folder), deltas=(), top=0)
+        return replace(e, rows=self._base(e, None).count() if e.size > LEAST_BYTES else 0)  # from the files' footers
+
+    @staticmethod
+    def much(e: Entry, n: int) -> bool:
+        """Whether about ``n`` more changes, each of the bytes of a row, would have the table written anew."""
+        return e.rows > 0 and n * e.size / e.rows + sum(b for _, b in e.deltas) > max(LEAST_BYTES, SHARE * e.size)
 
-    def change(self, e: Entry, changed: DataFrame) -> Entry:
-        """The table after changes: whole rows, or keys that are GONE (a column of ``changed``), each key once at most."""
+    @staticmethod
+    def counted(e: Entry, kept: DataFrame) -> int:
+        """How many rows are kept, if a table is so large that it depends on it how they are written; else 0."""
+        return kept.count() if e.size + sum(b for _, b in e.deltas) > LEAST_BYTES else 0
+
+    def change(self, e: Entry, changed: DataFrame, n: int = 0) -> Entry:
+        """The table after changes: whole rows, or keys that are GONE (a column of ``changed``), each key once at most.
+
+        ``n`` says about how many they are, if that is known and ``changed`` may be computed twice.
+        """
+        if self.much(e, n):
+            return self.write(e, self._over(e, self.read(e), changed))
         folder = self._folder(e)
         rows = changed.select(*self._cast(e), GONE, F.lit(e.top + 1).cast("bigint").alias(AT), bucket_of(e.bucket_by, e.buckets).alias(BUCKET))
         rows.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
@@ -211,11 +240,19 @@ class Store:
             return None
         return sorted(r[0] for r in changed.select(bucket_of(e.bucket_by, e.buckets).alias(BUCKET)).distinct().collect())
 
-    def upsert(self, e: Entry, keys: DataFrame, rows: DataFrame, failed: str | None = None) -> tuple[Entry, int]:
-        """Replace the rows of all ``keys``, each of them once, by ``rows``, whose keys are among them.
+    def upsert(self, e: Entry, keys: DataFrame, rows: DataFrame, failed: str | None = None, n: int = 0) -> tuple[Entry, int]:
+        """Replace the rows of all ``keys``, each of them once, by ``rows``, whose keys are among them. ``n`` says about how many keys there are, if that is known.
 
         Keys whose row has a value in the column ``failed`` keep what they have; returns their number, too, counted while the rest is written.
         """
+        if self.much(e, n):
+            n_failed = 0
+            if failed is not None:
+                bad = rows.filter(F.col(failed).isNotNull())
+                if n_failed := bad.count():
+                    keys = self._without(e, keys, bad)
+                rows = rows.filter(F.col(failed).isNull())
+            return self.write(e, self._without(e, self.read(e), keys).unionByName(rows.select(*self._names(e)))), n_failed
         found = rows.select(*self._names(e), F.lit(False).alias(GONE), *([F.col(failed).isNotNull().alias("__failed")] if failed else []))
         both = keys.alias("k").join(found.alias("r"), same_key("k", "r", e.key), "left")
         columns = [F.col(f"{'k' if f.name in e.key else 'r'}.`{f.name}`") for f in e.struct]

@@ -555,7 +555,8 @@ class Engine:
             once = net.alias("a").join(many.alias("b"), same_key("a", "b", key), "left_anti")
             net = self._keep(once.unionByName(delta.fold(several.select("seq", "change_id", "old", "new"), key)))
         moved = net.filter(~F.col("old").eqNullSafe(F.col("new")))
-        self.store.put(m, self.store.change(e, moved.select(F.coalesce("new", "old").alias("r"), F.col("new").isNull().alias(GONE)).select("r.*", GONE)))
+        known = 0 if "truncate" in ops or "recompute" in ops else got["all"]
+        self.store.put(m, self.store.change(e, moved.select(F.coalesce("new", "old").alias("r"), F.col("new").isNull().alias(GONE)).select("r.*", GONE), known))
         self._count(m, changes_total=sum(ops.values()))
         return Changed(imaged, net)
 
@@ -627,7 +628,7 @@ class Engine:
         fails = can_fail(d, healthy)
         read = self._readers(m, d.target)
         rows = self._keep(rows) if fails or read else rows
-        entry, n_failed = self.store.upsert(e, keys, rows, ERROR if fails else None)
+        entry, n_failed = self.store.upsert(e, keys, rows, ERROR if fails else None, self.store.counted(e, keys))
         self.store.put(m, entry)
         good = rows.filter(F.col(ERROR).isNull())
         if n_failed:
@@ -658,14 +659,14 @@ class Engine:
         touched = self.store.touched(e, parts)
         merged = self._keep(p.merged(parts, self.store.read(e, touched)))
         names = [f"`{k}`" for k in p.keys]
-        rows = merged.select("new.*", (F.col(f"new.{N}") <= 0).alias(GONE))
+        rows, n = merged.select("new.*", (F.col(f"new.{N}") <= 0).alias(GONE)), self.store.counted(e, merged)
         if p.extremes:
             probe = merged.filter("probe").filter(F.col(f"new.{N}") > 0).select(*names)
             if not probe.isEmpty():
                 again = delta.probed(d, p, probe, self._frame(m, source))
                 kept = merged.filter((~F.col("probe")) | (F.col(f"new.{N}") <= 0)).select("new.*", (F.col(f"new.{N}") <= 0).alias(GONE))
-                rows = kept.unionByName(again.select(*[f"`{f.name}`" for f in p.schema], F.lit(False).alias(GONE)))
-        entry = self.store.change(e, rows)
+                rows, n = kept.unionByName(again.select(*[f"`{f.name}`" for f in p.schema], F.lit(False).alias(GONE))), 0
+        entry = self.store.change(e, rows, n)
         self.store.put(m, entry)
         if not self._readers(m, d.target):
             return None
@@ -713,7 +714,8 @@ class Engine:
         for c, t in columns.items():
             o, x = F.col(f"o.`{c}`"), F.col(f"d.`{c}`")
             made.append((x if c in key else exact.merge_sums(o, x) if t == exact.SUMS else (F.coalesce(o, F.lit(0)) + x).cast(t)).alias(c))
-        return self.store.change(e, both.select(*made).withColumn(GONE, F.col(N) <= 0))
+        rows, n = both.select(*made).withColumn(GONE, F.col(N) <= 0), self.store.counted(e, part)
+        return self.store.change(e, self._keep(rows) if self.store.much(e, n) else rows, n)
 
     # quarantine
 
