@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from deltaloom.errors import EngineError, refuse
 from deltaloom.operators import changes as delta
-from deltaloom.operators.full import ERROR, JoinPlan, can_fail, full, full_state, key_types, rows_of
-from deltaloom.operators.partials import N, Partials
+from deltaloom.operators.full import ERROR, JoinPlan, can_fail, full, full_state, key_types, row_image, rows_of
+from deltaloom.operators.partials import N, SIGN, Partials
 from deltaloom.plans import types as S
 from deltaloom.plans.definition import Checked, Relation, check
 from deltaloom.plans.nodes import Alter, Col, Lifecycle, Transform, quote_table
@@ -888,8 +888,9 @@ class Engine:
         if x["held"] and d.kind != "aggregate":
             held = self.quarantined(name).select("key")
             got = got.withColumn("__key", F.to_json(F.struct(*[f"`{k}`" for k in d.key]))).join(held, F.col("__key") == held["key"], "left_anti")
-        want, got = want.select(*columns), got.select(*columns)
-        missing, extra = want.exceptAll(got).count(), got.exceptAll(want).count()
+        sided = want.select(*columns, F.lit(1).alias(SIGN)).unionByName(got.select(*columns, F.lit(-1).alias(SIGN)))
+        odd = sided.groupBy(*columns).agg(F.sum(SIGN).alias(SIGN)).filter(F.col(SIGN) != 0)
+        missing, extra = odd.agg(*[F.coalesce(F.sum(F.greatest(s, F.lit(0))), F.lit(0)) for s in (F.col(SIGN), -F.col(SIGN))]).first()
         return {"target": name, "ok": not missing and not extra, "missing": missing, "extra": extra, "held_keys": x["held"]}
 
     def metrics(self) -> str:
