@@ -73,6 +73,17 @@ def rows_of(d: Checked, rows: DataFrame, guard: bool = False, only: list[str] |
 
 
 def can_fail(d: Checked, only: list[str] | None = None) -> bool:
+def row_image(d: Checked, at: str) -> Column:
+    """The target's row, as a struct, from a row of its only table in the struct ``at``; NULL without one, and outside of WHERE. No field may be able to fail."""
+    c = compiler_of(d, True, at)
+    kept = F.col(at).isNotNull()
+    if d.text.where is not None:
+        kept = kept & c.value(d.text.where).col
+    exprs = dict(d.fields)
+    cells = [(c.value(exprs[n]).col if n in exprs else c.column(None, n)).cast(S.to_spark(t)).alias(n) for n, t in d.types.items()]
+    return F.when(kept, F.struct(*cells))
+
+
     """Whether a field of a one-row-for-each-row definition can fail on some row."""
     c = compiler_of(d, True)
     return any(c.value(e).err is not None for n, e in d.fields if only is None or n in only)
