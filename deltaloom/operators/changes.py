@@ -131,7 +131,7 @@ def probed(d: Checked, p: Partials, groups: DataFrame, source: DataFrame) -> Dat
 def join_delta(j: JoinPlan, dp: DataFrame | None, dm: DataFrame | None, p_old: DataFrame, m_old: DataFrame, m_new: DataFrame) -> DataFrame:
     """Partials that T gains: dP x M_new + P_old x dM, and for an outer join the left cells that lose or find their only match.
 
-    The states may be cut down to join keys that dP or dM hold.
+    The states may be cut down to join keys that dP or dM hold, and a cell may stand in several rows that add up.
     """
     parts = []
     if dp is not None:
@@ -142,7 +142,7 @@ def join_delta(j: JoinPlan, dp: DataFrame | None, dm: DataFrame | None, p_old: D
         parts.append(j.matched(p_old, dm))
         if j.outer:
             k = dm.select(*j.k).distinct()
-            had, has = (m.select(*j.k).distinct().withColumn(name, F.lit(True)) for m, name in ((m_old, "had"), (m_new, "has")))
+            had, has = (j.present(m).withColumn(name, F.lit(True)) for m, name in ((m_old, "had"), (m_new, "has")))
             flips = k.join(had, j.k, "left").join(has, j.k, "left").filter(F.coalesce("had", F.lit(False)) != F.coalesce("has", F.lit(False)))
             weight = F.when(F.coalesce("has", F.lit(False)), -1).otherwise(1)
             flips = flips.select(*j.k, weight.cast("bigint").alias("__flip"))

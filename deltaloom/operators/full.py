@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.functions import exact
 from deltaloom.functions.expressions import Compiler, first
 from deltaloom.operators.partials import N, Arg, Partials, key_value
 from deltaloom.plans import types as S
@@ -72,7 +73,6 @@ def rows_of(d: Checked, rows: DataFrame, guard: bool = False, only: list[str] |
     return rows.select(*keys, *fields, (none if failed is None else failed).alias(ERROR))
 
 
-def can_fail(d: Checked, only: list[str] | None = None) -> bool:
 def row_image(d: Checked, at: str) -> Column:
     """The target's row, as a struct, from a row of its only table in the struct ``at``; NULL without one, and outside of WHERE. No field may be able to fail."""
     c = compiler_of(d, True, at)
@@ -84,6 +84,7 @@ def row_image(d: Checked, at: str) -> Column:
     return F.when(kept, F.struct(*cells))
 
 
+def can_fail(d: Checked, only: list[str] | None = None) -> bool:
     """Whether a field of a one-row-for-each-row definition can fail on some row."""
     c = compiler_of(d, True)
     return any(c.value(e).err is not None for n, e in d.fields if only is None or n in only)
@@ -161,7 +162,21 @@ class JoinPlan:
     def unmatched(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """Partials of the left cells whose join key has no match."""
         on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in self.k])
-        return self.alone(left.alias("l").join(right.select(*self.k).distinct().alias("r"), on, "left_anti"))
+        return self.alone(left.alias("l").join(self.present(right).alias("r"), on, "left_anti"))
+
+    def cells(self, s: int, rows: DataFrame) -> DataFrame:
+        """Rows of P or M added up by cell; cells of nothing are gone."""
+        columns = {c: t for c, t in self.side_columns(s).items() if c not in self.side_key(s)}
+        return self.p.summed(rows, self.side_key(s), columns).filter(self.something(s))
+
+    def something(self, s: int) -> Column:
+        """Whether a row of P or M adds anything."""
+        columns = {c: t for c, t in self.side_columns(s).items() if c not in self.side_key(s)}
+        return reduce(lambda a, b: a | b, [F.size(c) > 0 if t == exact.SUMS else F.col(c) != 0 for c, t in columns.items()])
+
+    def present(self, right: DataFrame) -> DataFrame:
+        """Join keys that M, of which rows may add up, has rows for."""
+        return right.groupBy(*self.k).agg(F.sum(N).alias(N)).filter(F.col(N) > 0).select(*self.k)
 
     def alone(self, left: DataFrame) -> DataFrame:
         """Left cells as groups without a right side."""

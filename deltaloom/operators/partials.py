@@ -211,11 +211,12 @@ class Partials:
         """An argument's partials of no rows."""
         return [(F.create_map().cast(t) if t == exact.SUMS else F.lit(0).cast(t)).alias(c) for c, t in a.columns().items()]
 
-    def summed(self, parts: DataFrame) -> DataFrame:
-        """Partials of the same group added up, combined map-side; maps of sums by their powers, of which a group has some 2,000 at most."""
-        keys = [f"`{k}`" for k in self.keys]
-        maps = [c for c, t in self.columns.items() if t == exact.SUMS]
-        added = {c: t for c, t in self.columns.items() if c not in maps}
+    def summed(self, parts: DataFrame, names: list[str] | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+        """Partials of the same group (or of the same ``names``, with other ``columns``) added up, combined map-side; maps of sums by their powers, of which a group has some 2,000 at most."""
+        keys = [f"`{k}`" for k in (self.keys if names is None else names)]
+        columns = self.columns if columns is None else columns
+        maps = [c for c, t in columns.items() if t == exact.SUMS]
+        added = {c: t for c, t in columns.items() if c not in maps}
         if not maps:
             return parts.groupBy(*keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in added.items()])
         kind = "array<struct<i:int,p:int,v:decimal(38,0)>>"
@@ -228,7 +229,7 @@ class Partials:
         by_power = each.groupBy(*keys, "__i", "__p").agg(*[F.sum(c).cast(t).alias(c) for c, t in added.items()], F.sum("__v").cast("decimal(38,0)").alias("__v"))
         made = [F.map_from_entries(F.collect_list(F.when((F.col("__i") == i) & (F.col("__v") != 0), F.struct("__p", "__v")))).cast(exact.SUMS).alias(c) for i, c in enumerate(maps)]
         out = by_power.groupBy(*keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in added.items()], *made)
-        return out.select(*keys, *self.columns)
+        return out.select(*keys, *columns)
 
 
 def key_value(x: Column, t: SqlType) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
@@ -45,6 +45,7 @@ class Entry:
     rows: int = 0  # and its rows; 0 if it is small
     deltas: tuple[tuple[str, int], ...] = ()  # folders of later changes, the oldest first, and their bytes
     top: int = 0  # number of the last folder of changes
+    adds: bool = False  # rows of one key add up, in the base and in changes, instead of the last one counting
 
     @property
     def folders(self) -> list[str]:
@@ -150,6 +151,8 @@ class Store:
         rows = self._base(e, buckets)
         if not e.deltas:
             return rows
+        if e.adds:
+            return rows.unionByName(self._changes(e, buckets).select(*self._names(e)))
         return self._over(e, rows, self._latest(e, buckets))
 
     def _over(self, e: Entry, rows: DataFrame, late: DataFrame) -> DataFrame:
@@ -173,12 +176,15 @@ class Store:
             rows = rows.filter(F.col(BUCKET).isin(list(buckets)))
         return rows.select(*self._names(e))
 
-    def _latest(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
-        """The last change of every key that has changed since the base was written: its row, or that it is GONE."""
+    def _changes(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
+        """All rows of the folders of changes, with GONE, AT and BUCKET."""
         marks = [T.StructField(GONE, T.BooleanType()), T.StructField(AT, T.LongType()), T.StructField(BUCKET, T.IntegerType())]
         rows = self.spark.read.schema(T.StructType([*e.struct, *marks])).parquet(*[f"{self.root}/{d}" for d, _ in e.deltas])
-        if buckets is not None:
-            rows = rows.filter(F.col(BUCKET).isin(list(buckets)))
+        return rows if buckets is None else rows.filter(F.col(BUCKET).isin(list(buckets)))
+
+    def _latest(self, e: Entry, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The last change of every key that has changed since the base was written: its row, or that it is GONE."""
+        rows = self._changes(e, buckets)
         if len(e.deltas) == 1:
             return rows.drop(AT, BUCKET)
         row = F.struct(*[f"`{f.name}`" for f in e.struct if f.name not in e.key], GONE)
@@ -221,18 +227,30 @@ class Store:
         """
         if self.much(e, n):
             return self.write(e, self._over(e, self.read(e), changed))
+        e = self._appended(e, changed)
+        if sum(n for _, n in e.deltas) > max(LEAST_BYTES, SHARE * e.size):
+            return self.write(e, self.read(e))
+        return self._merged(e, self._latest(e)) if len(e.deltas) > MOST_DELTAS else e
+
+    def add(self, e: Entry, rows: DataFrame, summed: Callable[[DataFrame], DataFrame]) -> Entry:
+        """The table after rows that add to what it holds, which is not read; ``summed`` adds up the rows of each key."""
+        e = self._appended(e, rows.withColumn(GONE, F.lit(False)))
+        if sum(n for _, n in e.deltas) > max(LEAST_BYTES, SHARE * e.size):
+            return self.write(e, summed(self.read(e)))
+        return self._merged(e, summed(self._changes(e).select(*self._names(e))).withColumn(GONE, F.lit(False))) if len(e.deltas) > MOST_DELTAS else e
+
+    def _appended(self, e: Entry, changed: DataFrame) -> Entry:
         folder = self._folder(e)
         rows = changed.select(*self._cast(e), GONE, F.lit(e.top + 1).cast("bigint").alias(AT), bucket_of(e.bucket_by, e.buckets).alias(BUCKET))
         rows.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
-        e = replace(e, deltas=(*e.deltas, (folder, self.files.size(folder))), top=e.top + 1)
-        if sum(n for _, n in e.deltas) > max(LEAST_BYTES, SHARE * e.size):
-            return self.write(e, self.read(e))
-        if len(e.deltas) > MOST_DELTAS:
-            folder = self._folder(e)
-            merged = self._latest(e).withColumns({AT: F.lit(e.top).cast("bigint"), BUCKET: bucket_of(e.bucket_by, e.buckets)})
-            merged.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
-            e = replace(e, deltas=((folder, self.files.size(folder)),))
-        return e
+        return replace(e, deltas=(*e.deltas, (folder, self.files.size(folder))), top=e.top + 1)
+
+    def _merged(self, e: Entry, late: DataFrame) -> Entry:
+        """The table with one folder of changes."""
+        folder = self._folder(e)
+        merged = late.withColumns({AT: F.lit(e.top).cast("bigint"), BUCKET: bucket_of(e.bucket_by, e.buckets)})
+        merged.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
+        return replace(e, deltas=((folder, self.files.size(folder)),))
 
     def touched(self, e: Entry, changed: DataFrame) -> list[int] | None:
         """Buckets of the keys in ``changed``, one number for each bucket at most; None, which is all, of a table with few."""

@@ -412,7 +412,7 @@ class Engine:
         j = JoinPlan(d)
         for s, (label, t) in enumerate(zip("pm", d.text.tables, strict=True)):
             schema = T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in j.side_columns(s).items()))
-            e = self.store.empty(f"{d.target}.__{label}", schema, j.side_key(s), j.k, self._buckets(m, d))
+            e = replace(self.store.empty(f"{d.target}.__{label}", schema, j.side_key(s), j.k, self._buckets(m, d)), adds=True)
             self.store.put(m, self.store.write(e, j.side(s, self._frame(m, t.name))))
 
     # batches
@@ -695,44 +695,30 @@ class Engine:
     def _join(self, m: dict, d: Checked, raws: dict[str, Changed]) -> DataFrame | None:
         j = JoinPlan(d)
         deltas: list[DataFrame | None] = [None, None]
-        entries = [self.store.entry(m, f"{d.target}.__{s}") for s in "pm"]
+        entries = [self._adding(self.store.entry(m, f"{d.target}.__{s}")) for s in "pm"]
         touched: list[list[int] | None] = [[], []]
         for s, r in enumerate(d.relations):
             if r.name in raws:
                 signed = delta.sides(raws[r.name].raw, delta.read_columns(d, s))
-                part = j.side(s, signed, F.col("__w"), "r")
-                columns = [c for c in j.side_columns(s)]
-                live = reduce(lambda a, b: a | b, [F.col(c) != 0 if t != "map<int,decimal(38,0)>" else F.size(c) > 0 for c, t in j.side_columns(s).items() if c.startswith("__") and c not in j.k])
-                deltas[s] = self._keep(part.select(*[f"`{c}`" for c in columns]).filter(live))
+                part = j.side(s, signed, F.col("__w"), "r").select(*[f"`{c}`" for c in j.side_columns(s)])
+                deltas[s] = self._keep(part.filter(j.something(s)))
                 touched[s] = self.store.touched(entries[s], deltas[s])
         dp, dm = deltas
         either = None if None in touched else sorted({*touched[0], *touched[1]})
         p_old, m_old = self.store.read(entries[0], touched[1]), self.store.read(entries[1], either)
-        new = list(entries)
         for s in (0, 1):
             if deltas[s] is not None:
-                new[s] = self._add_cells(m, j, s, entries[s], deltas[s], touched[s])
-                self.store.put(m, new[s])
+                self.store.put(m, self.store.add(entries[s], deltas[s], lambda rows, s=s: j.cells(s, rows)))
+        m_new = m_old
         if dm is not None:  # cells of other join keys in those buckets have no part in it
-            k = dm.select(*j.k).distinct()
-            p_old = p_old.join(k, j.k, "left_semi")
-        m_new = self.store.read(new[1], either)
+            p_old = p_old.join(dm.select(*j.k).distinct(), j.k, "left_semi")
+            m_new = m_old.unionByName(dm)
         parts = delta.join_delta(j, dp, dm, p_old, m_old, m_new)
         return self._put_groups(m, d, j.p, parts, None)
 
-    def _add_cells(self, m: dict, j: JoinPlan, s: int, e: Entry, part: DataFrame, touched: list[int] | None) -> Entry:
-        """Add partials to the cells of P or M."""
-        from deltaloom.functions import exact
-
-        key, columns = j.side_key(s), j.side_columns(s)
-        old = self.store.read(e, touched)
-        both = part.alias("d").join(old.alias("o"), same_key("d", "o", key), "left")
-        made = []
-        for c, t in columns.items():
-            o, x = F.col(f"o.`{c}`"), F.col(f"d.`{c}`")
-            made.append((x if c in key else exact.merge_sums(o, x) if t == exact.SUMS else (F.coalesce(o, F.lit(0)) + x).cast(t)).alias(c))
-        rows, n = both.select(*made).withColumn(GONE, F.col(N) <= 0), self.store.counted(e, part)
-        return self.store.change(e, self._keep(rows) if self.store.much(e, n) else rows, n)
+    def _adding(self, e: Entry) -> Entry:
+        """P or M as a table of rows that add up; folders of changes that replaced cells, as they once were, are merged first."""
+        return e if e.adds else replace(self.store.write(e, self.store.read(e)) if e.deltas else e, adds=True)
 
     # quarantine
 
