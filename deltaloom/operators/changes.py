@@ -135,20 +135,12 @@ def join_delta(j: JoinPlan, dp: DataFrame | None, dm: DataFrame | None, p_old: D
     """
     parts = []
     if dp is not None:
-        parts.append(j.matched(dp, m_new))
-        if j.outer:
-            parts.append(j.unmatched(dp, m_new))
+        parts.append(j.matched(dp, j.cells(1, m_new) if j.outer else m_new, j.outer))
     if dm is not None:
-        parts.append(j.matched(p_old, dm))
         if j.outer:
             k = dm.select(*j.k).distinct()
             had, has = (j.present(m).withColumn(name, F.lit(True)) for m, name in ((m_old, "had"), (m_new, "has")))
             flips = k.join(had, j.k, "left").join(has, j.k, "left").filter(F.coalesce("had", F.lit(False)) != F.coalesce("has", F.lit(False)))
-            weight = F.when(F.coalesce("has", F.lit(False)), -1).otherwise(1)
-            flips = flips.select(*j.k, weight.cast("bigint").alias("__flip"))
-            on = reduce(lambda a, b: a & b, [F.col(f"l.`{x}`") == F.col(f"f.`{x}`") for x in j.k])
-            cells = p_old.alias("l").join(flips.alias("f"), on)
-            own = [F.col(f"l.`{c}`") for c in [*j.groups[0], *j.k]]
-            signed = [x for a in j.args[0] for x in j.p.times(a, "l", F.col("f.__flip"))]
-            parts.append(j.alone(cells.select(*own, (F.col("l.__n") * F.col("f.__flip")).alias("__n"), *signed)))
+            dm = dm.unionByName(j.nothing(flips, F.when(F.coalesce("has", F.lit(False)), -1).otherwise(1)))
+        parts.append(j.matched(p_old, dm))
     return j.total(*parts)

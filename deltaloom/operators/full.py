@@ -106,7 +106,7 @@ def full_state(d: Checked, frames: Frames, guard: bool = False) -> DataFrame:
         return p.of_rows(rows, p.key_columns(), c)
     j = JoinPlan(d)
     left, right = (j.side(s, frames(t.name)) for s, t in enumerate(d.text.tables))
-    return j.total(j.matched(left, right), j.unmatched(left, right) if j.outer else None)
+    return j.total(j.matched(left, right, j.outer))
 
 
 class JoinPlan:
@@ -151,18 +151,17 @@ class JoinPlan:
     def side_key(self, s: int) -> list[str]:
         return [*self.groups[s], *self.k]
 
-    def matched(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Partials of every pair of cells that share a join key."""
+    def matched(self, left: DataFrame, right: DataFrame, outer: bool = False) -> DataFrame:
+        """Partials of every pair of cells that share a join key and, for an outer join, of the left cells without one, whose right side is nothing once; right cells are added up then."""
         on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in self.k])
-        both = left.alias("l").join(right.alias("r"), on)
+        both = left.alias("l").join(right.alias("r"), on, "left" if outer else "inner")
         own = [F.col(f"l.`{g}`") if g in self.groups[0] else F.col(f"r.`{g}`") for g in self.p.keys]
-        parts = [x for a in self.args[0] for x in self.p.times(a, "l", F.col(f"r.{N}"))] + [x for a in self.args[1] for x in self.p.times(a, "r", F.col(f"l.{N}"))]
-        return self.ordered(both.select(*own, (F.col(f"l.{N}") * F.col(f"r.{N}")).alias(N), *parts))
-
-    def unmatched(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Partials of the left cells whose join key has no match."""
-        on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in self.k])
-        return self.alone(left.alias("l").join(self.present(right).alias("r"), on, "left_anti"))
+        n = F.coalesce(F.col(f"r.{N}"), F.lit(1).cast("bigint")) if outer else F.col(f"r.{N}")
+        parts = [x for a in self.args[0] for x in self.p.times(a, "l", n)]
+        for a in self.args[1]:
+            made = self.p.times(a, "r", F.col(f"l.{N}"))
+            parts += [F.coalesce(x, none).alias(c) for x, none, c in zip(made, self.p.nothing(a), a.columns(), strict=True)] if outer else made
+        return self.ordered(both.select(*own, (F.col(f"l.{N}") * n).alias(N), *parts))
 
     def cells(self, s: int, rows: DataFrame) -> DataFrame:
         """Rows of P or M added up by cell; cells of nothing are gone."""
@@ -178,17 +177,17 @@ class JoinPlan:
         """Join keys that M, of which rows may add up, has rows for."""
         return right.groupBy(*self.k).agg(F.sum(N).alias(N)).filter(F.col(N) > 0).select(*self.k)
 
-    def alone(self, left: DataFrame) -> DataFrame:
-        """Left cells as groups without a right side."""
-        own = [F.col(f"l.`{g}`") if g in self.groups[0] else F.lit(None).cast(S.to_spark(self.d.types[g])).alias(g) for g in self.p.keys]
-        parts = [F.col(f"l.{c}").alias(c) for a in self.args[0] for c in a.columns()] + [x for a in self.args[1] for x in self.p.nothing(a)]
-        return self.ordered(left.alias("l").select(*own, F.col(f"l.{N}").alias(N), *parts))
+    def nothing(self, keys: DataFrame, times: Column) -> DataFrame:
+        """Rows of M that stand for no right side of some join keys, so many times."""
+        types = self.side_columns(1)
+        own = [F.lit(None).cast(types[g]).alias(g) for g in self.groups[1]]
+        return keys.select(*own, *self.k, times.cast("bigint").alias(N), *[x for a in self.args[1] for x in self.p.nothing(a)])
 
     def ordered(self, parts: DataFrame) -> DataFrame:
         return parts.select(*[f"`{k}`" for k in self.p.keys], *self.p.columns)
 
-    def total(self, *parts: DataFrame | None) -> DataFrame:
-        return self.p.summed(reduce(DataFrame.unionByName, [x for x in parts if x is not None]))
+    def total(self, *parts: DataFrame) -> DataFrame:
+        return self.p.summed(reduce(DataFrame.unionByName, parts))
 
 
 def spark_of(t) -> str:

@@ -242,7 +242,7 @@ class Store:
     def _appended(self, e: Entry, changed: DataFrame) -> Entry:
         folder = self._folder(e)
         rows = changed.select(*self._cast(e), GONE, F.lit(e.top + 1).cast("bigint").alias(AT), bucket_of(e.bucket_by, e.buckets).alias(BUCKET))
-        rows.sortWithinPartitions(BUCKET).write.parquet(f"{self.root}/{folder}")
+        (rows.sortWithinPartitions(BUCKET) if e.buckets > FEW_BUCKETS else rows).write.parquet(f"{self.root}/{folder}")
         return replace(e, deltas=(*e.deltas, (folder, self.files.size(folder))), top=e.top + 1)
 
     def _merged(self, e: Entry, late: DataFrame) -> Entry:

@@ -12,7 +12,7 @@ import threading
 import time
 import uuid
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce, wraps
 
@@ -83,6 +83,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, *, buckets: int = 8, fuse: int = FUSE, threads: int = 4):
         self.spark, self.fuse, self.threads = spark, fuse, threads
         self._kept: list[DataFrame] = []
+        self._writes: dict[str, Future] = {}
         self._lock, self._depth = threading.RLock(), 0
         self.store = Store(spark, root, buckets)
         if self.store.latest() is None:
@@ -162,6 +163,8 @@ class Engine:
     def _frame(self, m: dict, name: str) -> DataFrame:
         """A source's rows, or a target's, as the manifest has them."""
         bare = name if name in m["tables"] else name.rpartition(".")[2]
+        if bare in self._writes:
+            self._writes[bare].result()
         rows = self.store.read(self.store.entry(m, bare))
         if bare in m["sources"]:
             return rows
@@ -391,7 +394,7 @@ class Engine:
                     self._build_sides(m, d)
                     j = JoinPlan(d)
                     left, right = (self.store.read(self.store.entry(m, f"{name}.__{s}")) for s in "pm")
-                    state = j.total(j.matched(left, right), j.unmatched(left, right) if j.outer else None)
+                    state = j.total(j.matched(left, right, j.outer))
                 else:
                     state = full_state(d, frames)
                 entry = self.store.empty(name, p.schema, d.key, buckets=self._buckets(m, d))
@@ -410,11 +413,15 @@ class Engine:
 
     def _build_sides(self, m: dict, d: Checked) -> None:
         j = JoinPlan(d)
-        for s, (label, t) in enumerate(zip("pm", d.text.tables, strict=True)):
+
+        def build(s: int, label: str, t) -> None:
             schema = T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in j.side_columns(s).items()))
             e = replace(self.store.empty(f"{d.target}.__{label}", schema, j.side_key(s), j.k, self._buckets(m, d)), adds=True)
             self.store.put(m, self.store.write(e, j.side(s, self._frame(m, t.name))))
 
+        with ThreadPoolExecutor(self.threads) as pool:
+            list(pool.map(build, (0, 1), "pm", d.text.tables))
+
     # batches
 
     def _keep(self, rows: DataFrame) -> DataFrame:
@@ -435,16 +442,19 @@ class Engine:
         m = self.manifest
         if batch_id is not None and batch_id <= m["batch"]:
             return False
-        raws, began = {}, time.time()
+        began = time.time()
         top = m["seq"] + 1 if seq is None else seq
         if unknown := [n for n in changes if n not in m["sources"]]:
             raise refuse("SourceTableNotFound", ", ".join(unknown))
+        own = {n: rows for n, rows in changes.items() if not self._drifted(m, n, rows)}
         try:
-            for name, rows in changes.items():
-                if not self._drifted(m, name, rows):
-                    raws[name] = self._take_in(m, name, rows, top)
-            self._propagate(m, raws)
+            with ThreadPoolExecutor(self.threads) as pool:  # sources' snapshots are written while definitions advance
+                raws = dict(zip(own, pool.map(lambda n: self._take_in(m, n, own[n], top, pool), own), strict=True))
+                self._propagate(m, raws)
+                for write in self._writes.values():
+                    write.result()
         finally:
+            self._writes = {}
             self._release()
         m["batch"] = m["batch"] + 1 if batch_id is None else batch_id
         m["seq"] = max(m["seq"], top)
@@ -517,8 +527,8 @@ class Engine:
         self._commit(m)
         return out
 
-    def _take_in(self, m: dict, name: str, rows: DataFrame, seq: int) -> Changed:
-        """Bring a source's snapshot up to date; returns its changes."""
+    def _take_in(self, m: dict, name: str, rows: DataFrame, seq: int, pool: ThreadPoolExecutor) -> Changed:
+        """Have a source's snapshot brought up to date in ``pool``; returns its changes."""
         e = self.store.entry(m, name)
         key = tuple(m["sources"][name]["key"])
         if "seq" not in rows.columns:
@@ -557,7 +567,8 @@ class Engine:
             net = self._keep(once.unionByName(delta.fold(several.select("seq", "change_id", "old", "new"), key)))
         moved = net.filter(~F.col("old").eqNullSafe(F.col("new")))
         known = 0 if "truncate" in ops or "recompute" in ops else got["all"]
-        self.store.put(m, self.store.change(e, moved.select(F.coalesce("new", "old").alias("r"), F.col("new").isNull().alias(GONE)).select("r.*", GONE), known))
+        rows = moved.select(F.coalesce("new", "old").alias("r"), F.col("new").isNull().alias(GONE)).select("r.*", GONE)
+        self._writes[name] = pool.submit(lambda: self.store.put(m, self.store.change(e, rows, known)))
         self._count(m, changes_total=sum(ops.values()))
         return Changed(imaged, net, "recompute" not in ops)
 
@@ -709,10 +720,7 @@ class Engine:
         for s in (0, 1):
             if deltas[s] is not None:
                 self.store.put(m, self.store.add(entries[s], deltas[s], lambda rows, s=s: j.cells(s, rows)))
-        m_new = m_old
-        if dm is not None:  # cells of other join keys in those buckets have no part in it
-            p_old = p_old.join(dm.select(*j.k).distinct(), j.k, "left_semi")
-            m_new = m_old.unionByName(dm)
+        m_new = m_old if dm is None else m_old.unionByName(dm)
         parts = delta.join_delta(j, dp, dm, p_old, m_old, m_new)
         return self._put_groups(m, d, j.p, parts, None)
 
