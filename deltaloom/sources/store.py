@@ -26,7 +26,7 @@ BUCKET, GONE, AT = "__b", "__gone", "__at"
 #: The share of the base's bytes (and the least bytes) of changes from which a table is written anew, and the most folders of changes.
 SHARE, LEAST_BYTES, MOST_DELTAS = 0.25, 32 << 20, 12
 #: Tables of so many buckets at most are read whole: a batch touches nearly all of them anyway.
-FEW_BUCKETS = 16
+FEW_BUCKETS = 32
 #: Bytes of a row group in a base without partitions, so that few files can still be read by many tasks.
 ROW_GROUP = 32 << 20
 
